@@ -23,8 +23,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import digests, pack_documents
+
+    return digests(pack_documents(table(spark, sf_dir, "documents"), bpe_path()))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op8_packing": op8_packing,
 }
 
 ORACLE: dict[str, str] = {}

@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-CHUNK = 64
-SLICE = 1 << 19
-MAX_STATES = 1 << 16
+CHUNK = 256
+STRIDE = 4  # characters that one step of a chunk's state map reads
+SLICE = 1 << 20
+MAX_STATES = 1 << 17
 
 # Character classes and states of the splitter.
 OTHER, LETTER, NUMBER, SPACE, BLANK, APOSTROPHE, SUFFIX1, R, V, ELL, E, END = range(12)
 START, LET, NUM, OTH, SP1, WS1, SPN, WSN, AP, APR, APV, APL = range(12)
+BIAS = 128
 HERE, BEFORE = 1, 2  # a token starts at this character, at the one before it
 
 
@@ -115,6 +117,16 @@ def compose_scan(maps: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def stride_maps() -> np.ndarray:
+    """State maps of all strings of STRIDE classes, [string, state]."""
+    one = splitter()[0].reshape(12, 12)
+    out = one
+    for _ in range(STRIDE - 1):
+        out = one[np.arange(12)[None, :, None], out[:, None, :]].reshape(-1, 12)
+    return np.ascontiguousarray(out)
+
+
 def token_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Positions where pre-tokens start; the end characters of texts, at `ends`, count as starts too."""
     to, mark = splitter()
@@ -123,16 +135,20 @@ def token_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     cls = np.full(rows * CHUNK, END, np.uint8)
     cls[:n] = char_classes()[codes]
     cls[ends] = END
-    offset = np.ascontiguousarray(cls.reshape(rows, CHUNK).T).astype(np.intp) * 12
-    state = np.broadcast_to(np.arange(12, dtype=np.uint8), (rows, 12))
-    for j in range(CHUNK):  # maps of all chunks from all states
-        state = to[offset[j][:, None] + state]
-    begin = np.zeros(rows, np.uint8)
+    offset = cls.reshape(rows, CHUNK).T.astype(np.intp)
+    words = offset.reshape(-1, STRIDE, rows)
+    words = ((words[:, 0] * 12 + words[:, 1]) * 12 + words[:, 2]) * 12 + words[:, 3]
+    stride, state = stride_maps(), None
+    for w in words:  # maps of all chunks from all states
+        state = stride[w] if state is None else stride.ravel().take((w * 12)[:, None] + state)
+    begin = np.zeros(rows, np.intp)
     begin[1:] = compose_scan(state)[:-1, START]
+    offset *= 12
     marks = np.empty((CHUNK, rows), np.uint8)
     for j in range(CHUNK):
-        at = offset[j] + begin
-        marks[j], begin = mark[at], to[at]
+        at = offset[j]
+        at += begin
+        marks[j], begin = mark.take(at), to.take(at)
     flat = marks.T.ravel()[:n]
     starts = (flat & HERE).astype(bool)
     starts[:-1] |= (flat[1:] & BEFORE) > 0
@@ -142,10 +158,12 @@ def token_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class BpeTransducer:
     """Byte transducer whose transitions carry changes of the token count, compiled as it is used."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ids: bool = False):
+        self.with_ids = ids  # states then also tell the last token
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.specials = [t["content"] for t in model["added_tokens"]]
+        self.special_ids = {t["content"]: t["id"] for t in model["added_tokens"]}
         model = model["model"]
         to_byte = {c: b for b, c in byte_letters().items()}
         names = {v: bytes(to_byte[c] for c in k) for k, v in model["vocab"].items() if all(c in to_byte for c in k)}
@@ -160,6 +178,9 @@ class BpeTransducer:
                 self.parts.setdefault(number[x + y], (rank, number[x], number[y]))
                 self.after.setdefault(number[x], []).append((number[y], rank))
         self.names = names
+        self.size = np.zeros(max(names) + 1, np.int64)
+        for t, x in names.items():
+            self.size[t] = len(x)
         self.child: dict[int, int] = {}
         self.path, self.token, self.inner = [b""], [-1], [True]
         for t, s in names.items():
@@ -182,10 +203,12 @@ class BpeTransducer:
         self.blocks: list[dict[int, int]] = [{}]  # right tokens that the last token would merge with -> rank
         self.block_ids: dict[frozenset, int] = {frozenset(): 0}
         self.last_block: dict[int, int] = {}
+        self.by_byte: dict[int, dict[int, int]] = {}
         self.narrowed: dict[tuple[int, int], int] = {}
         self.states = [((0, 0, 0),)]
+        self.last = np.zeros(1 << 11, np.int32)  # last token of the prefix that led to a state
         self.ids = {self.states[0]: 0}
-        self.step = np.full(1 << 19, -1, np.int32)  # next state << 8 | change of the count as a byte
+        self.step = np.full(1 << 19, -1, np.int32)  # next state << 8 | change of the count + BIAS
 
     def intern(self, block: dict[int, int]) -> int:
         key = frozenset(block.items())
@@ -223,14 +246,22 @@ class BpeTransducer:
 
     def narrow(self, block: int, node: int) -> int:
         """The part of a block that can matter for tokens below a trie node."""
+        path, names = self.path[node], self.names
+        if len(path) == 1:
+            parts = self.by_byte.get(block)
+            if parts is None:
+                split: dict[int, dict[int, int]] = {}
+                for r, k in self.blocks[block].items():
+                    split.setdefault(names[r][0], {})[r] = k
+                parts = self.by_byte[block] = {b: self.intern(x) for b, x in split.items()}
+            return parts.get(path[0], 0)
         known = self.narrowed.get((block, node))
         if known is None:
-            path, names = self.path[node], self.names
             kept = {r: k for r, k in self.blocks[block].items() if path.startswith(names[r]) or names[r].startswith(path)}
             known = self.narrowed[block, node] = self.intern(kept)
         return known
 
-    def compile(self, key: int) -> int:
+    def compile(self, key: int) -> None:
         """The transition for key = state << 8 | byte."""
         byte, found, change, opened = key & 255, -1, 0, []
         for node, block, ago in self.states[key >> 8]:
@@ -241,34 +272,58 @@ class BpeTransducer:
             if found < 0 <= t and self.fits(self.blocks[block], t):
                 found, change = t, ago + 1
             if self.inner[child]:
-                opened.append((child, self.narrow(block, child), ago))
+                opened.append((child, self.narrow(block, child) if block else 0, ago))
         state = (*((n, p, a - change) for n, p, a in opened), (0, self.block_of(found), 0))
-        nxt = self.ids.get(state)
+        name = (state, found) if self.with_ids else state
+        nxt = self.ids.get(name)
         if nxt is None:
-            nxt = self.ids[state] = len(self.states)
+            nxt = self.ids[name] = len(self.states)
             self.states.append(state)
+            if nxt == len(self.last):
+                self.last = np.concatenate([self.last, self.last])
+            self.last[nxt] = found
             if len(self.states) << 8 > len(self.step):
                 self.step = np.concatenate([self.step, np.full(len(self.step), -1, np.int32)])
-        self.step[key] = value = nxt << 8 | change & 255
-        return value
+        self.step[key] = nxt << 8 | change + BIAS
 
-    def count(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token data[begin : begin + length]; all pre-tokens advance together."""
+    def count(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray, trace: np.ndarray | None = None) -> np.ndarray:
+        """Tokens of each pre-token data[begin : begin + length]; all pre-tokens advance together.
+
+        trace: gets, at each byte, the last token of the pre-token up to it (of a machine with ids).
+        """
         order = np.argsort(-length, kind="stable")
         at, left = begin[order], length[order]
         alive = len(left) - np.searchsorted(left[::-1], np.arange(1, left[0] + 1 if len(left) else 1), "left")
-        state, total = np.zeros(len(left), np.int64), np.zeros(len(left), np.int32)
-        for j, n in enumerate(alive):
-            key = state[:n] << 8 | data[at[:n] + j]
-            value = self.step[key]
+        state, total = np.zeros(len(left), np.int32), np.zeros(len(left), np.int32)
+        for n in alive.tolist():
+            key = state[:n] | data.take(at[:n])
+            value = self.step.take(key)
             if value.min() < 0:
                 for k in np.unique(key[value < 0]).tolist():
                     self.compile(k)
-                value = self.step[key]
-            state[:n] = value >> 8
-            total[:n] += (value & 255).astype(np.uint8).view(np.int8)
+                value = self.step.take(key)
+            if trace is not None:
+                trace[at[:n]] = self.last.take(value >> 8)
+            at[:n] += 1
+            total[:n] += value & 255
+            np.bitwise_and(value, -256, out=state[:n])
         out = np.empty_like(total)
-        out[order] = total
+        out[order] = total - BIAS * left
+        return out
+
+
+    def emit(self, begin: np.ndarray, length: np.ndarray, count: np.ndarray, trace: np.ndarray) -> np.ndarray:
+        """The tokens of all pre-tokens, from a trace: walk back from each end by the length of the last token."""
+        order = np.argsort(-count, kind="stable")
+        place = (np.cumsum(count) - 1)[order]
+        at, left = (begin + length - 1)[order], count[order]
+        alive = len(left) - np.searchsorted(left[::-1], np.arange(1, left[0] + 1 if len(left) else 1), "left")
+        out = np.empty(int(count.sum()), np.int32)
+        for n in alive.tolist():
+            t = trace.take(at[:n])
+            out[place[:n]] = t
+            at[:n] -= self.size.take(t)
+            place[:n] -= 1
         return out
 
 
@@ -278,23 +333,22 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-_machines: dict[str, BpeTransducer] = {}
+_machines: dict[tuple[str, bool], BpeTransducer] = {}
 
 
-def machine(path: str) -> BpeTransducer:
-    if path not in _machines:
-        _machines[path] = BpeTransducer(path)
-    return _machines[path]
+def machine(path: str, ids: bool = False) -> BpeTransducer:
+    if (path, ids) not in _machines:
+        _machines[path, ids] = BpeTransducer(path, ids)
+    return _machines[path, ids]
 
 
-def count_texts(texts: list[str | None], m: BpeTransducer) -> np.ndarray:
-    """Token counts of texts (None: empty); a special token's string counts as one token, as the library does."""
-    pieces, owner, extra = [], [], np.zeros(len(texts), np.int64)
+def pre_tokens(texts: list[str | None], m: BpeTransducer):
+    """(bytes, starts, lengths, first pre-token of each piece and the end, owner of each piece) of texts cut at special tokens."""
+    pieces, owner = [], []
     for i, text in enumerate(texts):
         parts = [text or ""]
         for s in m.specials:
-            parts = [y for x in parts for y in x.split(s)]
-        extra[i] = len(parts) - 1
+            parts = [y for x in parts for y in x.split(s)] if s in parts[0] or len(parts) > 1 else parts
         pieces += parts
         owner += [i] * len(parts)
     joined = "\n".join(pieces) + "\n"
@@ -306,15 +360,47 @@ def count_texts(texts: list[str | None], m: BpeTransducer) -> np.ndarray:
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         starts, ends = lead[starts], lead[ends]
     length = np.diff(np.append(starts, len(raw)))
-    real = ~np.isin(starts, ends, assume_unique=True)
+    real = np.ones(len(starts), bool)
+    real[np.searchsorted(starts, ends)] = False
     starts, length = starts[real], length[real]
-    n = m.count(raw, starts, length)
-    total = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-    upto = total[np.searchsorted(starts, ends)]
-    per = np.diff(upto, prepend=0)
+    return raw, starts, length, np.append(0, np.searchsorted(starts, ends)), np.array(owner)
+
+
+def count_texts(texts: list[str | None], m: BpeTransducer) -> np.ndarray:
+    """Token counts of texts (None: empty); a special token's string counts as one token, as the library does."""
+    raw, starts, length, cuts, owner = pre_tokens(texts, m)
+    total = np.append(0, np.cumsum(m.count(raw, starts, length), dtype=np.int64))
+    if len(m.states) > MAX_STATES:
+        m.reset()
+    pieces = np.bincount(owner, minlength=len(texts))
+    return pieces - 1 + np.bincount(owner, np.diff(total[cuts]), len(texts)).astype(np.int64)
+
+
+def encode_texts(texts: list[str | None], m: BpeTransducer) -> list[np.ndarray]:
+    """Token ids of texts (None: empty), with special tokens' strings as the library has them by default."""
+    raw, starts, length, cuts, owner = pre_tokens(texts, m)
+    trace = np.empty(len(raw), np.int32)
+    n = m.count(raw, starts, length, trace)
+    ids = m.emit(starts, length, n, trace)
     if len(m.states) > MAX_STATES:
         m.reset()
-    return extra + np.bincount(owner, per, len(texts)).astype(np.int64)
+    bounds = np.append(0, np.cumsum(n, dtype=np.int64))[cuts]
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for i, text in enumerate(texts):
+        a, b = first[i], first[i + 1]
+        if b - a == 1:
+            out.append(ids[bounds[a] : bounds[b]])
+            continue
+        parts, rest = [], text
+        for k in range(a, b):
+            parts.append(ids[bounds[k] : bounds[k + 1]])
+            if k + 1 < b:
+                at, s = min((rest.find(s), s) for s in m.specials if s in rest)
+                rest = rest[at + len(s) :]
+                parts.append(np.array([m.special_ids[s]], np.int32))
+        out.append(np.concatenate(parts))
+    return out
 
 
 def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
