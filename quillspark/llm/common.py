@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +58,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
         while at < n:
             yield batch.slice(at, step)
             at += step
+
+
+def annotate(docs: DataFrame, text: str, fields: T.StructType, make: Callable, limit: int = 1 << 22) -> DataFrame:
+    """docs with added columns, without a shuffle: `make()` runs once a task and gives a function from a list of texts
+    (null: None) to a list of Arrow arrays, one for each field. All other columns pass through unchanged."""
+    at = docs.columns.index(text)
+    names = [*docs.columns, *fields.fieldNames()]
+
+    def run(batches):
+        f = make()
+        for b in slices(batches, at, limit):
+            yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at).to_pylist())], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields.fields]))
+
+
+def chosen(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The two columns that most operators read, under their usual names."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
