@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import chosen, table
+from .common import chosen, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,37 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(chosen(docs, "doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict_languages, profiles
+
+    docs = table(spark, sf_dir, "documents")
+    learned = profiles(docs.where(remainder("doc_id", 5) != 0))
+    found = predict_languages(chosen(docs, "doc_id", "text"), learned)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = train(docs, table(spark, sf_dir, "labels")).score(chosen(docs, "doc_id", "text"))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -43,7 +75,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
 }
