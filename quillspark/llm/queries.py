@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import chosen, remainder, table
 
+KEY = "quillspark"  # of the registered query; a user passes a secret one
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -47,6 +48,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    found = pseudonymise(chosen(table(spark, sf_dir, "documents"), "doc_id", "text"), KEY)
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import train
 
@@ -73,15 +81,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack_documents(table(spark, sf_dir, "documents"), bpe_path()))
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
+    "op10_katz": op10_katz,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
