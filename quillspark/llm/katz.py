@@ -116,14 +116,15 @@ def blocks(docs: DataFrame, doc_id: str, text: str, held_out: Column, size: int)
 
         total = 0
         for b in slices(batches, 1, 1 << 22):
-            for d, t, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, t, is_held in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = (t or "").encode().lower().split()
-                for new in set(w) - number.keys() if len(w) < len(number) else set(w):
-                    number.setdefault(new, len(number))
+                for x in w:
+                    if x not in number:
+                        number[x] = len(number)
                 parts.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
                 parts.append(np.array([-1]))
                 ids.append(d)
-                held.append(x)
+                held.append(is_held)
                 sizes.append(len(w) + 1)
                 total += len(w) + 1
                 if total >= size:
