@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.times import floor_days
 
-ONE = F.lit(1)
-
 
 def num_authors(revisions: DataFrame) -> DataFrame:
     """Distinct registered users, and per revision."""

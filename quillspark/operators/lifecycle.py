@@ -8,23 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.times import floor_days
 
-PAGE = Window.partitionBy("page_id").orderBy("ts", "rev_id")
 LEVELS = ("fa", "ga")
 
 
+def page_order() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("ts", "rev_id")
+
+
 def days_since_prev(revisions: DataFrame) -> DataFrame:
     """days: floored days since the page's previous revision, 0 for the first and never negative."""
-    return revisions.withColumn("days", F.coalesce(F.greatest(F.lit(0), floor_days(F.col("ts"), F.lag("ts").over(PAGE))), F.lit(0)))
+    return revisions.withColumn("days", F.coalesce(F.greatest(F.lit(0), floor_days(F.col("ts"), F.lag("ts").over(page_order()))), F.lit(0)))
 
 
 def level_runs(revisions: DataFrame, *, compat: bool = False) -> DataFrame:
     """page_id, run (from 0), level, n_revisions, n_days, start, start_rev. Days are those between revisions of the run.
     compat: a first run without level counts one revision more."""
-    changed = ~F.col("level").eqNullSafe(F.lag("level").over(PAGE)) & F.lag("ts").over(PAGE).isNotNull()
-    marked = days_since_prev(revisions).withColumn("changed", changed).withColumn("run", F.sum(F.col("changed").cast("long")).over(PAGE))
+    changed = ~F.col("level").eqNullSafe(F.lag("level").over(page_order())) & F.lag("ts").over(page_order()).isNotNull()
+    marked = days_since_prev(revisions).withColumn("changed", changed).withColumn("run", F.sum(F.col("changed").cast("long")).over(page_order()))
     out = marked.groupBy("page_id", "run").agg(
         F.first("level").alias("level"), F.count(F.lit(1)).alias("n_revisions"), F.sum(F.when(F.col("changed"), 0).otherwise(F.col("days"))).alias("n_days"),
         F.min("ts").alias("start"), F.min_by("rev_id", F.struct("ts", "rev_id")).alias("start_rev"),
@@ -63,7 +67,7 @@ def promoted_yet_flags(revisions: DataFrame, *, compat: bool = False) -> DataFra
     """been_promoted_yet, been_demoted_yet: has a significant change (by the run before) to a level, to none, happened so far?"""
     changes = level_changes_from(level_runs(revisions, compat=compat)).where("significant").select("page_id", F.col("start_rev").alias("rev_id"), F.col("to_level").isNotNull().alias("up"))
     marked = revisions.join(changes, ["page_id", "rev_id"], "left")
-    so_far = PAGE.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = page_order().rowsBetween(Window.unboundedPreceding, 0)
     flag = lambda c: F.coalesce(F.max(c).over(so_far), F.lit(False))
     return marked.withColumn("been_promoted_yet", flag(F.col("up"))).withColumn("been_demoted_yet", flag(~F.col("up"))).drop("up")
 
@@ -204,7 +208,7 @@ def lifecycle_build(revisions: DataFrame, talk_dates: DataFrame, lists: DataFram
 def filter_until(revisions: DataFrame, dates: DataFrame, date: str, *, first: int | None = None) -> DataFrame:
     """Revisions before the page's date (strictly); `first`: of these, only those among the first n of all its revisions."""
     if first is not None:
-        revisions = revisions.withColumn("__n", F.row_number().over(PAGE)).where(F.col("__n") <= first).drop("__n")
+        revisions = revisions.withColumn("__n", F.row_number().over(page_order())).where(F.col("__n") <= first).drop("__n")
     return revisions.join(dates.select("page_id", F.col(date).alias("__date")), "page_id").where(F.col("ts") < F.col("__date")).drop("__date")
 
 

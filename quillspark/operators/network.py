@@ -11,15 +11,19 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from .edits import agg_stats
 
 NODES = 5000
-PAGE = Window.partitionBy("page_id").orderBy("ts", "rev_id")
+
+
+def page_order() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("ts", "rev_id")
 
 
 def prev_author(revisions: DataFrame) -> DataFrame:
-    return revisions.withColumn("prev_user", F.lag("user_id").over(PAGE))
+    return revisions.withColumn("prev_user", F.lag("user_id").over(page_order()))
 
 
 def editor_edges(revisions: DataFrame) -> DataFrame:
@@ -70,22 +74,72 @@ def degree_centrality_stats(edges: DataFrame) -> DataFrame:
     return agg_stats(c, "page_id", "centrality", "centrality")
 
 
+def by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of pages of up to NODES nodes, and those of larger pages (None if there are none)."""
+    sizes = graph_size(edges).select("page_id", "num_nodes")
+    large = sizes.where(F.col("num_nodes") > NODES).select("page_id").cache()
+    if large.isEmpty():
+        return edges, None
+    return edges.join(large, "page_id", "left_anti"), edges.join(large, "page_id", "left_semi")
+
+
+def neighbours(pdf: pd.DataFrame, *, directed: bool) -> dict:
+    out: dict = {}
+    for a, b in zip(pdf.src.tolist(), pdf.dst.tolist(), strict=True):
+        out.setdefault(a, set())
+        out.setdefault(b, set())
+        if a != b:
+            out[a].add(b)
+            if not directed:
+                out[b].add(a)
+    return out
+
+
+def reach(near: dict, start, hops: int | None = None) -> dict:
+    """Hops from a node to all nodes that it reaches."""
+    depth, todo = {start: 0}, deque([start])
+    while todo:
+        v = todo.popleft()
+        if hops is not None and depth[v] == hops:
+            continue
+        for w in near[v]:
+            if w not in depth:
+                depth[w] = depth[v] + 1
+                todo.append(w)
+    return depth
+
+
 def bfs_distances(edges: DataFrame, *, hops: int | None = None) -> DataFrame:
-    """src, dst, distance (hops, at least 1) of all ordered pairs that reach each other along directed edges, one join a hop.
-    Each round is cut by a checkpoint where the session has a checkpoint folder."""
-    step = edges.where("src <> dst").select("page_id", F.col("src").alias("mid"), F.col("dst").alias("to")).distinct()
+    """page_id, src, dst, distance (hops, at least 1) of all ordered pairs that reach each other along directed edges."""
+    small, large = by_size(edges)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        near, page = neighbours(pdf, directed=True), int(pdf.page_id.iloc[0])
+        rows = [(page, s, t, d) for s in near for t, d in reach(near, s, hops).items() if d]
+        return pd.DataFrame(rows, columns=["page_id", "src", "dst", "distance"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    out = small.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, f"page_id long, src {kind}, dst {kind}, distance int")
+    return out if large is None else out.unionByName(hop_distances(large, hops=hops))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint where the session has a folder for it, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
+def hop_distances(edges: DataFrame, *, hops: int | None = None) -> DataFrame:
+    """The same for large pages, one join a hop."""
+    step = kept(edges.where("src <> dst").select("page_id", F.col("src").alias("mid"), F.col("dst").alias("to")).distinct())
     known = front = step.select("page_id", F.col("mid").alias("src"), F.col("to").alias("dst"), F.lit(1).alias("distance"))
     n = 1
     while hops is None or n < hops:
         n += 1
-        nxt = front.join(step, (front.page_id == step.page_id) & (front.dst == step.mid)).select(front.page_id, "src", F.col("to").alias("dst")).distinct().where("src <> dst")
-        front = nxt.join(known, ["page_id", "src", "dst"], "left_anti").withColumn("distance", F.lit(n))
-        if edges.sparkSession.sparkContext.getCheckpointDir() and n % 4 == 0:
-            known = known.checkpoint()
-        front = front.cache()
+        nxt = front.select("page_id", "src", F.col("dst").alias("mid")).join(step, ["page_id", "mid"]).where(F.col("src") != F.col("to")).select("page_id", "src", F.col("to").alias("dst")).distinct()
+        front = kept(nxt.join(known, ["page_id", "src", "dst"], "left_anti").withColumn("distance", F.lit(n)))
         if front.isEmpty():
             break
-        known = known.unionByName(front)
+        known = kept(known.unionByName(front))
     return known
 
 
@@ -100,22 +154,39 @@ def closeness_stats(edges: DataFrame, distances: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, *, directed: bool = False, distances: DataFrame | None = None) -> DataFrame:
     """page_id, node, component (its smallest node): weak, or strong (nodes that reach each other)."""
-    own = nodes(edges).select("page_id", "node", F.col("node").alias("other"))
     if directed:
+        own = nodes(edges).select("page_id", "node", F.col("node").alias("other"))
         d = distances if distances is not None else bfs_distances(edges)
         back = d.select("page_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
         pairs = d.join(back, ["page_id", "src", "dst"]).select("page_id", F.col("src").alias("node"), F.col("dst").alias("other"))
         return own.unionByName(pairs).groupBy("page_id", "node").agg(F.min("other").alias("component"))
+    small, large = by_size(edges)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        near, page, rows, seen = neighbours(pdf, directed=False), int(pdf.page_id.iloc[0]), [], set()
+        for s in sorted(near):
+            if s not in seen:
+                part = reach(near, s)
+                seen |= part.keys()
+                rows += [(page, t, s) for t in part]
+        return pd.DataFrame(rows, columns=["page_id", "node", "component"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    out = small.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, f"page_id long, node {kind}, component {kind}")
+    return out if large is None else out.unionByName(spread_labels(large))
+
+
+def spread_labels(edges: DataFrame) -> DataFrame:
+    """Weak components of large pages: smallest label of the neighbours, then of the label's own label, until nothing changes."""
     both = undirected(edges)
-    both = both.unionByName(both.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))).cache()
-    label = own.select("page_id", "node", F.col("node").alias("component"))
+    both = kept(both.unionByName(both.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = kept(nodes(edges).select("page_id", "node", F.col("node").alias("component")))
     while True:
-        near = both.join(label, (both.page_id == label.page_id) & (both.b == label.node)).select(both.page_id, F.col("a").alias("node"), "component")
+        near = both.join(label.withColumnRenamed("node", "b"), ["page_id", "b"]).select("page_id", F.col("a").alias("node"), "component")
         low = label.unionByName(near).groupBy("page_id", "node").agg(F.min("component").alias("component"))
         jump = label.select("page_id", F.col("node").alias("component"), F.col("component").alias("to"))
-        nxt = low.join(jump, ["page_id", "component"]).select("page_id", "node", F.col("to").alias("component"))
-        nxt = nxt.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else nxt.cache()
-        if nxt.exceptAll(label).isEmpty():
+        nxt = kept(low.join(jump, ["page_id", "component"]).select("page_id", "node", F.col("to").alias("component")))
+        if nxt.join(label, ["page_id", "node", "component"], "left_anti").isEmpty():
             return nxt
         label = nxt
 
@@ -183,29 +254,18 @@ def cut_nodes(adjacent: dict) -> tuple[set, bool]:
 
 def page_graphs(edges: DataFrame) -> DataFrame:
     """articulation_points, is_biconnected and node betweenness statistics, one group for each page of up to NODES nodes."""
-    small = graph_size(edges).where(F.col("num_nodes") <= NODES).select("page_id")
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        both: dict = {}
-        out: dict = {}
-        for a, b in zip(pdf.src.tolist(), pdf.dst.tolist(), strict=True):
-            for m in (both, out):
-                m.setdefault(a, set())
-                m.setdefault(b, set())
-            if a != b:
-                out[a].add(b)
-                both[a].add(b)
-                both[b].add(a)
-        cuts, whole = cut_nodes(both)
-        b = pd.Series(betweenness(out).values())
+        cuts, whole = cut_nodes(neighbours(pdf, directed=False))
+        b = pd.Series(betweenness(neighbours(pdf, directed=True)).values())
         return pd.DataFrame([(int(pdf.page_id.iloc[0]), len(cuts), int(whole), b.mean(), b.median(), b.std() if len(b) > 1 else 0.0)])
 
     schema = "page_id long, articulation_points long, is_biconnected int, betweenness_mean double, betweenness_median double, betweenness_stdev double"
-    return edges.join(small, "page_id", "left_semi").select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, schema)
+    return by_size(edges)[0].select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, schema)
 
 
 def network_features(edges: DataFrame) -> DataFrame:
     """The 27 NETWORK_ columns of pages with edges: 6 of structure, 15 statistics, 6 of components."""
+    edges = edges.cache()
     d = bfs_distances(edges).cache()
     out = graph_size(edges).join(triangle_count(edges), "page_id")
     for block in (degree_stats(edges), degree_centrality_stats(edges), closeness_stats(edges, d), page_graphs(edges),
