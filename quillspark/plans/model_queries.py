@@ -1 +1,160 @@
-def register_all(register): ...
+"""Queries of evaluation, reports and modeling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import modeling as B
+from ..operators import reports as R
+from ..operators import wikitext as W
+from . import views as V
+
+FEATURES = ["EDIT_chars", "EDIT_lines", "COMPOSITION_words", "NETWORK_hash"]
+TREES = 5
+CUTS = "(SELECT unnest([" + ", ".join(map(str, M.THRESHOLDS)) + "]) AS threshold)"
+CONF = f"cf AS (SELECT threshold, count(*) FILTER (p > threshold AND y = 1) AS tp, count(*) FILTER (p > threshold AND y = 0) AS fp, count(*) FILTER (p <= threshold AND y = 1) AS fn, count(*) FILTER (p <= threshold AND y = 0) AS tn FROM preds, {CUTS} GROUP BY threshold)"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"coalesce(({a}) / nullif({b}, 0), 0)"
+
+
+P1, R1, P0, R0 = ratio("tp", "tp + fp"), ratio("tp", "tp + fn"), ratio("tn", "tn + fn"), ratio("tn", "tn + fp")
+F1, F0 = ratio("2.0 * tp", "2 * tp + fp + fn"), ratio("2.0 * tn", "2 * tn + fp + fn")
+MEASURES = {
+    "accuracy": ratio("tp + tn", "tp + fp + fn + tn"), "macro_precision": f"({P1} + {P0}) / 2", "macro_recall": f"({R1} + {R0}) / 2", "macro_f1": f"({F1} + {F0}) / 2",
+    "binary_precision": P0, "binary_recall": R0, "binary_f1": F0,
+}
+ALL = ", ".join(f"round({v}, 6) AS {k}" for k, v in MEASURES.items())
+AUC = "SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / nullif(count(*), 0) AS auc FROM preds a, preds b WHERE a.y = 1 AND b.y = 0"
+AP = "SELECT sum(a * ca / cn) / sum(a) AS ap FROM (SELECT p, a, sum(a) OVER (ORDER BY p DESC) AS ca, sum(n) OVER (ORDER BY p DESC) AS cn FROM (SELECT p, count(*) FILTER (y = 1) AS a, count(*) AS n FROM preds GROUP BY p))"
+
+
+def at_k(k: float, target: int) -> str:
+    order = "p" if target == 0 else "p DESC"
+    return f"SELECT avg(CAST(y = {target} AS INTEGER)) FROM (SELECT y, row_number() OVER (ORDER BY {order}, id) AS rn FROM preds) WHERE rn <= (SELECT CAST(floor(count(*) * {k} / 100) AS BIGINT) FROM preds)"
+
+
+def best(s, sf):
+    """Predictions with the year and the days of the modeling table."""
+    return V.preds(s, sf).join(V.model(s, sf).select("id", "year", "days"), "id")
+
+
+def events(s, sf):
+    """Review events of pages, from events."""
+    e = V.read(s, sf, "events")
+    results = F.array(*map(F.lit, ("kept", "demoted", "listed", "delisted", "failed", "passed", "unknown")))
+    return e.select((F.col("user_id") % 60).alias("page_id"), F.when(F.col("event_id") % 2 == 0, "far").otherwise("gar").alias("action"), F.get(results, (F.col("event_id") % 7).cast("int")).alias("result"))
+
+
+EVENTS = """ev AS (SELECT user_id % 60 AS page_id, CASE WHEN event_id % 2 = 0 THEN 'far' ELSE 'gar' END AS action, ['kept', 'demoted', 'listed', 'delisted', 'failed', 'passed', 'unknown'][event_id % 7 + 1] AS result FROM events),
+oc AS (SELECT page_id, action, CASE WHEN action = 'far' AND result IN ('demoted', 'failed', 'removed') THEN 0 WHEN action = 'far' AND result IN ('kept', 'pass') THEN 1
+ WHEN action = 'gar' AND result IN ('delisted', 'failed', 'not listed', 'fail') THEN 0 WHEN action = 'gar' AND result IN ('kept', 'listed', 'keep', 'passed') THEN 1 END AS outcome FROM ev),
+rv AS (SELECT page_id, count(*) AS reviews, CAST(sum(outcome) AS BIGINT) AS passed FROM oc WHERE outcome IS NOT NULL GROUP BY 1)"""
+LOAD = f"""{V.PREDS}, {EVENTS}, rf AS (SELECT id AS page_id, y, p, CASE WHEN y = 0 AND reviews IS NULL THEN 1 ELSE coalesce(reviews, 0) END AS reviews, CASE WHEN y = 0 AND reviews IS NULL THEN 1 ELSE coalesce(passed, 0) END AS passed FROM preds LEFT JOIN rv ON rv.page_id = id)"""
+
+
+def outcomes(s, sf):
+    return R.reviews_per_page(R.review_outcomes(events(s, sf)), "ga")
+
+
+def load(s, sf):
+    return R.reindex_fill(V.preds(s, sf).withColumn("page_id", F.col("id")), outcomes(s, sf))
+
+
+def splits_report(run):
+    """Splits' measures in the long form."""
+    return run[0].groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+
+
+def register_all(register) -> None:
+    pr, md, P, D = V.preds, V.model, V.PREDS, V.MODEL
+    w = lambda cte, body: f"WITH {cte} {body}"
+    at = lambda t: f"cf AS (SELECT count(*) FILTER (p > {t} AND y = 1) AS tp, count(*) FILTER (p > {t} AND y = 0) AS fp, count(*) FILTER (p <= {t} AND y = 1) AS fn, count(*) FILTER (p <= {t} AND y = 0) AS tn FROM preds)"
+    register("confusion_metrics", lambda s, sf: M.measures(M.confusion(pr(s, sf), 0.5)), w(f"{P}, {at(0.5)}", f"SELECT {ALL} FROM cf"))
+    register("threshold_scores", lambda s, sf: M.threshold_scores(pr(s, sf)), w(f"{P}, {CONF}", f"SELECT round(threshold, 6) AS threshold, {ALL} FROM cf"))
+    register("find_threshold", lambda s, sf: M.find_threshold(pr(s, sf)), w(f"{P}, {CONF}", f"SELECT CAST(threshold AS DOUBLE) AS threshold, round(m, 6) AS macro_f1 FROM (SELECT threshold, {MEASURES['macro_f1']} AS m FROM cf) ORDER BY round(m, 12) DESC, threshold LIMIT 1"))
+    register("rank_auc", lambda s, sf: M.rank_auc(pr(s, sf)), w(P, f"SELECT round(auc, 6) AS auc FROM ({AUC})"))
+    register("average_precision", lambda s, sf: M.average_precision(pr(s, sf)), w(P, f"SELECT round(ap, 6) AS average_precision FROM ({AP})"))
+    register("precision_at_k", lambda s, sf: M.precision_at_k(pr(s, sf), 10, target=0), w(P, f"SELECT round(({at_k(10, 0)}), 6) AS precision_at_k"))
+    plain = {"macro_accuracy": "accuracy", **{k: k for k in MEASURES if k != "accuracy"}}
+    opt = {"macro_accuracy_opt_th": "accuracy", **{f"macro_{m}_opt_th": f"macro_{m}" for m in ("precision", "recall", "f1")}, "binary_accuracy_opt_th": "accuracy", **{f"binary_{m}_opt_th": f"binary_{m}" for m in ("precision", "recall", "f1")}}
+    measures = ", ".join(f"round({MEASURES[v]}, 6) AS {k}" for k, v in (plain | opt).items())
+    register("eval_measures", lambda s, sf: M.eval_measures(pr(s, sf)), w(f"{P}, {at(0.5)}", f"SELECT (SELECT count(*) FROM preds) AS n, 0.5 AS macro_optimal_th, 0.5 AS binary_optimal_th, {measures}, (SELECT round(auc, 6) FROM ({AUC})) AS auc, (SELECT round(ap, 6) FROM ({AP})) AS average_precision, round(({at_k(2, 0)}), 6) AS binary_prec_at_2_perc, round(({at_k(5, 0)}), 6) AS binary_prec_at_5_perc FROM cf"))
+    fold = lambda s, sf: pr(s, sf).select((F.col("id") % 5).alias("fold"), F.lit("p").alias("measure"), F.col("p").alias("value")).groupBy("fold", "measure").agg(F.avg("value").alias("value"))
+    register("eval_summary", lambda s, sf: M.eval_summary(fold(s, sf), folds=5), w(P, "SELECT 'p' AS measure, round(m, 6) AS mean, round(sd, 6) AS std, round(m - 2.571 * sd, 3) AS lo, round(m + 2.571 * sd, 3) AS hi FROM (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM (SELECT avg(p) AS v FROM preds GROUP BY id % 5))"))
+    groups = "CASE WHEN p > 0.5 AND y = 1 THEN 'TP' WHEN p > 0.5 THEN 'FP' WHEN y = 1 THEN 'FN' ELSE 'TN' END"
+    register("confusion_groups", lambda s, sf: M.confusion_groups(pr(s, sf)).select("id", "error_group"), w(P, f"SELECT id, {groups} AS error_group FROM preds"))
+    register("top_k_predictions", lambda s, sf: R.top_k(pr(s, sf), 20).select("id", "y", "place"), w(P, "SELECT id, CAST(y AS BIGINT) AS y, place FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY p, id) AS place FROM preds) WHERE place <= 20"))
+    register("row_predictions", lambda s, sf: pr(s, sf).select("id", "y", "p", (F.col("p") > 0.5).cast("int").alias("pred")), w(P, "SELECT id, CAST(y AS BIGINT) AS y, p, CAST(p > 0.5 AS BIGINT) AS pred FROM preds"))
+    register("join_predictions", lambda s, sf: best(s, sf).orderBy("id"), w(f"{P}, {D}", "SELECT id, CAST(preds.y AS BIGINT) AS y, p, CAST(year AS BIGINT) AS year, days FROM preds JOIN (SELECT id, year, days FROM model) USING (id)"))
+    register("sort_rows", lambda s, sf: best(s, sf).orderBy("p", "id").select("id", "p"), w(f"{P}, {D}", "SELECT id, p FROM preds JOIN model USING (id)"))
+    # reports
+    register("label_distribution", lambda s, sf: R.label_distribution(pr(s, sf), "y"), w(P, "SELECT CAST(y AS BIGINT) AS y, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM preds GROUP BY y"))
+    register("feature_by_class", lambda s, sf: R.feature_by_class(md(s, sf), "EDIT_chars", "y"), w(D, "SELECT CAST(y AS BIGINT) AS y, round(avg(EDIT_chars), 6) AS mean, round(median(EDIT_chars), 6) AS median, round(quantile_cont(EDIT_chars, 0.95), 6) AS upper FROM model GROUP BY y"))
+    register("dataset_stats", lambda s, sf: R.dataset_stats(md(s, sf), FEATURES), w(D, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(sum({c}), 6) AS sum, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std FROM model" for c in FEATURES)))
+    labels = lambda s, sf: V.read(s, sf, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("y"))
+    for name in ("topic_rate", "join_topic_labels"):
+        register(name, lambda s, sf: R.topic_rate(V.topics(s, sf), labels(s, sf)), w(V.TOPICS, "SELECT project_name, count(*) AS n, CAST(sum(quality) AS BIGINT) AS sustained, round(avg(quality), 6) AS share FROM topics JOIN labels ON doc_id = page_id GROUP BY 1"))
+    register("unmatched_pages_profile", lambda s, sf: labels(s, sf).join(V.topics(s, sf).where("importance is not null"), "page_id", "left_anti").groupBy("y").agg(F.count("*").alias("n")), w(V.TOPICS, "SELECT CAST(quality AS BIGINT) AS y, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT page_id FROM topics WHERE importance IS NOT NULL) GROUP BY quality"))
+    register("join_meta_inner", lambda s, sf: V.topics(s, sf).join(labels(s, sf), "page_id").select("page_id", "project_name", "y"), w(V.TOPICS, "SELECT page_id, project_name, CAST(quality AS BIGINT) AS y FROM topics JOIN labels ON doc_id = page_id"))
+    register("lookup_title", lambda s, sf: labels(s, sf).join(V.read(s, sf, "pages").select("page_id", "url"), "page_id", "left").select("page_id", "url"), "SELECT doc_id AS page_id, url FROM labels LEFT JOIN pages ON page_id = doc_id")
+    register("semi_page_subset", lambda s, sf: V.topics(s, sf).join(labels(s, sf), "page_id", "left_semi").select("page_id"), w(V.TOPICS, "SELECT page_id FROM topics WHERE page_id IN (SELECT doc_id FROM labels)"))
+    register("union_frames", lambda s, sf: V.topics(s, sf).select("page_id").unionByName(labels(s, sf).select("page_id")).groupBy("page_id").agg(F.count("*").alias("n")), "SELECT page_id, count(*) AS n FROM (SELECT doc_id AS page_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY 1")
+    blocks = lambda s, sf: [md(s, sf).select(F.col("id").alias("page_id"), "y", F.col("year").alias("TIME_promotion_year"), *FEATURES), R.reviews_per_page(R.review_outcomes(events(s, sf)), "fa")]
+    register("join_feature_blocks", lambda s, sf: B.join_blocks(blocks(s, sf)).select("page_id", "y", "reviews"), w(f"{D}, {EVENTS}", "SELECT id AS page_id, CAST(y AS BIGINT) AS y, count(*) AS reviews FROM model JOIN oc ON oc.page_id = id WHERE outcome IS NOT NULL AND action = 'far' GROUP BY 1, 2"))
+    register("prefix_columns", lambda s, sf: md(s, sf).select("id", *(F.col(c).alias(f"SPECIAL_{c}") for c in ("days", "EDIT_lines"))), w(D, "SELECT id, days AS SPECIAL_days, EDIT_lines AS SPECIAL_EDIT_lines FROM model"))
+    register("review_outcomes", lambda s, sf: R.reviews_per_page(R.review_outcomes(events(s, sf)), "ga"), w(EVENTS, "SELECT page_id, reviews, passed FROM rv"))
+    register("reindex_fill", lambda s, sf: load(s, sf).select("page_id", "reviews", "passed"), w(LOAD, "SELECT page_id, reviews, passed FROM rf"))
+    load_sql = f"{LOAD}, gr AS (SELECT unnest([{groups}, CASE WHEN {groups} IN ('TN', 'FN') THEN 'negatives' ELSE 'positives' END, 'all']) AS g, reviews FROM rf)"
+    register("review_load_by_group", lambda s, sf: R.review_load_by_group(M.confusion_groups(load(s, sf))), w(load_sql, 'SELECT g AS "group", round(avg(reviews), 6) AS mean, round(stddev_pop(reviews), 6) AS std, count(*) AS n, round(1.96 * stddev_pop(reviews) / sqrt(count(*)), 6) AS half_width FROM gr GROUP BY g'))
+    pops = lambda s, sf: {n: pr(s, sf).where(c).select(F.col("id").alias("page_id")) for n, c in (("all", "true"), ("low", "p < 0.3"), ("demoted", "y = 0"))}
+    register("review_comparison", lambda s, sf: R.review_comparison(pops(s, sf), outcomes(s, sf)), w(f"{P}, {EVENTS}", " UNION ALL ".join(f"SELECT id AS page_id, '{n}' AS population, CAST(reviews IS NOT NULL AS BIGINT) AS was_reviewed, coalesce(reviews, 0) AS num_reviews FROM preds LEFT JOIN rv ON rv.page_id = id WHERE {c}" for n, c in (("all", "true"), ("low", "p < 0.3"), ("demoted", "y = 0")))))
+    qs = lambda c: f"list_sort(list_distinct(quantile_cont({c}, [{', '.join(str(i / 8) for i in range(9))}])))"
+    bin_ = lambda c, q: f"len(list_filter({q}[2:len({q}) - 1], lambda x: {c} > x))"
+    ed = f"{D}, q AS (SELECT {qs('EDIT_chars')} AS qa, {qs('NETWORK_hash')} AS qb FROM model), bn AS (SELECT id, y, {bin_('EDIT_chars', 'qa')} AS a, {bin_('NETWORK_hash', 'qb')} AS b, qa FROM model, q)"
+    register("qcut_bins", lambda s, sf: R.qcut_bins(md(s, sf), "EDIT_chars", whole=True).select("id", "bin", "label"), w(ed, "SELECT id, a AS bin, '[' || CAST(trunc(qa[a + 1]) AS BIGINT) || ', ' || CAST(trunc(qa[a + 2]) AS BIGINT) || ')' AS label FROM bn"))
+    register("bin_heatmap", lambda s, sf: R.bin_heatmap(md(s, sf), "EDIT_chars", "NETWORK_hash", "y", least=3), w(ed, "SELECT a AS bin_a, b AS bin_b, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(avg(1 - y), 6) END AS lost FROM bn GROUP BY ALL"))
+    dec = f"{D}, dl AS (SELECT quantile_cont(days, [{', '.join(str(i / 10) for i in range(1, 11))}]) AS q FROM model), dc AS (SELECT unnest(range(1, 11)) AS decile, CAST(trunc(unnest(q)) AS BIGINT) AS cutoff FROM dl)"
+    register("decile_cutoffs", lambda s, sf: R.decile_cutoffs(md(s, sf), "days"), w(dec, "SELECT decile, cutoff FROM dc"))
+    register("relabel_by_cutoff", lambda s, sf: R.relabel_by_cutoff(md(s, sf), R.decile_cutoffs(md(s, sf), "days"), "days").select("id", "decile", "relabelled"), w(dec, "SELECT id, decile, CAST(CASE WHEN days <= cutoff THEN 0 ELSE 1 END AS BIGINT) AS relabelled FROM model, dc"))
+    rk = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+    register("spearman_corr", lambda s, sf: R.spearman(best(s, sf), "p", "days"), w(f"{P}, {D}", f"SELECT round(corr(a, b), 6) AS spearman FROM (SELECT {rk('p')} AS a, {rk('days')} AS b FROM preds JOIN model USING (id) WHERE days IS NOT NULL)"))
+    register("density_curve", lambda s, sf: R.density_curve(md(s, sf), "EDIT_chars", "y"), w(f"{D}, st AS (SELECT y, count(*) AS k, stddev_samp(EDIT_chars) * count(*) ** -0.2 AS h, min(EDIT_chars) AS lo, max(EDIT_chars) AS hi FROM model GROUP BY y), gd AS (SELECT *, unnest(range(0, 20)) AS i FROM st), gx AS (SELECT *, lo + (hi - lo) * i / 19 AS x FROM gd)", "SELECT CAST(m.y AS BIGINT) AS y, i, round(x, 6) AS x, round(sum(exp(-(((x - EDIT_chars) / h) ** 2) / 2)) / any_value(k * h * 2.5066282746310002), 6) AS density FROM model m JOIN gx ON gx.y = m.y GROUP BY ALL"))
+    lift = lambda s, sf: pr(s, sf).groupBy((F.col("id") % 4).alias("g")).agg(F.avg("p").alias("f1"), F.stddev_samp("p").alias("f1_std"), F.max("p").alias("auc"), F.stddev_pop("p").alias("auc_std"), (1 - F.avg("y")).alias("minority"))
+    register("normalize_lift", lambda s, sf: R.normalize_lift(lift(s, sf)).select("g", "f1_lift", "auc_lift", "f1_bar", "auc_bar"), w(P, "SELECT id % 4 AS g, round((avg(p) - 1 + avg(y)) / nullif(1 - avg(y), 0), 6) AS f1_lift, round((max(p) - 0.5) / 0.5, 6) AS auc_lift, round(1.96 * stddev_samp(p) / 10 / nullif(1 - avg(y), 0), 6) AS f1_bar, round(1.96 * stddev_pop(p) / 10 / 0.5, 6) AS auc_bar FROM preds GROUP BY 1"))
+    contrib = lambda s, sf: pr(s, sf).select("id", F.explode(F.array(*(F.struct(F.lit(f"f{i}").alias("feature"), (F.col("p") * (i - 5) - (F.col("id") % (i + 2)) / 10).alias("contribution")) for i in range(12)))).alias("e"), "y").select("id", "e.*", "y")
+    register("contribution_summary", lambda s, sf: R.contribution_summary(contrib(s, sf)), w(P, "SELECT 'f' || i AS feature, round(avg(abs(p * (i - 5) - (id % (i + 2)) / 10)), 6) AS strength, CAST(sign(avg(p * (i - 5) - (id % (i + 2)) / 10) FILTER (y = 1)) AS DOUBLE) AS direction FROM preds, range(0, 12) t(i) GROUP BY i ORDER BY 2 DESC, 1 LIMIT 10"))
+    # modeling
+    register("select_feature_groups", lambda s, sf: md(s, sf).select("id", *B.select_feature_groups(md(s, sf).columns, off=("NETWORK_",), target="y")), w(D, "SELECT id, CAST(year AS BIGINT) AS year, days, EDIT_chars, EDIT_lines, COMPOSITION_words FROM model"))
+    md5 = lambda salt: f"md5('{salt}|' || id)"
+    placed = lambda salt: f"pl AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {md5(salt)}, id) - 1 AS rk, count(*) OVER (PARTITION BY y) AS sz FROM model)"
+    register("stratified_kfold", lambda s, sf: B.stratified_kfold(md(s, sf)).select("id", "y", "fold"), w(f"{D}, {placed(1984)}", "SELECT id, CAST(y AS BIGINT) AS y, rk % 5 AS fold FROM pl"))
+    register("stratified_holdout", lambda s, sf: B.stratified_holdout(md(s, sf)).select("id", "is_test"), w(f"{D}, {placed('1984|holdout')}", "SELECT id, rk + 1 <= ceil(sz * 0.3) AS is_test FROM pl"))
+    register("stratified_bootstrap", lambda s, sf: B.stratified_bootstrap(md(s, sf).select("id", "y"), 10).groupBy("replicate", "y").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("test"), F.sum(F.when(F.col("is_test"), F.col("id"))).alias("ids")), w(f"{D}, bs AS (SELECT i AS replicate, id, y, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS t FROM model, range(0, 10) r(i))", "SELECT replicate, CAST(y AS BIGINT) AS y, count(*) AS n, CAST(count(*) FILTER (t) AS BIGINT) AS test, CAST(sum(id) FILTER (t) AS BIGINT) AS ids FROM bs GROUP BY ALL"))
+    register("mean_impute", lambda s, sf: B.mean_impute(md(s, sf).withColumn("days", F.col("days").cast("double")), md(s, sf).withColumn("days", F.col("days").cast("double")), ["days"]).select("id", "days"), w(D, "SELECT id, round(coalesce(days, avg(days) OVER ()), 6) AS days FROM model"))
+    register("year_buckets", lambda s, sf: B.year_buckets(md(s, sf)))
+    register("build_modeling_table", lambda s, sf: B.build_modeling_table(blocks(s, sf), W.top_topics(V.topics(s, sf), top=5), topics=5, max_year=2016))
+    small = dict(trees=TREES, learner="gbt")
+    for learner in ("gbt", "rf", "lr"):
+        def fit(s, sf, learner=learner):
+            h = B.stratified_holdout(md(s, sf))
+            return B.fold_run(h.where("not is_test"), h.where("is_test"), FEATURES, learner=learner, trees=TREES)[1]
+        register(f"train_{learner}", fit)
+    def fold_measures(s, sf):
+        h = B.stratified_holdout(md(s, sf))
+        return B.fold_run(h.where("not is_test"), h.where("is_test"), FEATURES, **small)[0]
+    register("fold_run", fold_measures)
+    register("cv_job", lambda s, sf: splits_report(B.cv_job(md(s, sf), FEATURES, k=3, **small)))
+    register("bootstrap_job", lambda s, sf: splits_report(B.bootstrap_job(md(s, sf), FEATURES, n=3, **small)))
+    register("feature_importance_sum", lambda s, sf: B.cv_job(md(s, sf), FEATURES, k=2, **small)[2])
+    register("cv_by_time", lambda s, sf: splits_report(B.cv_by_time(md(s, sf), FEATURES, k=3, **small)))
+    register("per_period_holdout", lambda s, sf: splits_report(B.per_period_holdout(md(s, sf), FEATURES, k=2, **small)))
+    register("expanding_year_eval", lambda s, sf: B.expanding_year_eval(md(s, sf), FEATURES, initial=15, k=2, trees=TREES, learner="lr"))
+    register("sliding_year_eval", lambda s, sf: B.sliding_year_eval(md(s, sf), FEATURES, initial=13, move=True, trees=TREES, learner="lr"))
+    register("future_cohort_eval", lambda s, sf: B.future_cohort_eval(md(s, sf), FEATURES, max_year=2014, **small))
+    register("ablation_compare", lambda s, sf: B.ablation_compare(md(s, sf), {"all": FEATURES, "edit": FEATURES[:2]}, k=2, trees=TREES, learner="lr"))
+    register("decile_relabel_eval", lambda s, sf: splits_report(B.cv_job(md(s, sf).withColumn("y", F.when(F.col("days") <= 450, 0).otherwise(1)), FEATURES, k=2, trees=TREES, learner="lr")))
+    register("univariate_logit", lambda s, sf: B.univariate_logit(md(s, sf), FEATURES))
+    register("multivariate_logit", lambda s, sf: B.multivariate_logit(md(s, sf), FEATURES, level=1.1))
