@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import slices, to_table
 from .minhash import mix
 
-BLOCK = 4 << 20  # tokens
+BLOCK = 2 << 20  # tokens
 BUCKET = 2 << 20  # tokens for each bucket
 K = 5
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" start", b" end"))
