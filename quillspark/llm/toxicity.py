@@ -34,6 +34,7 @@ YOU = set("you your yours yourself ur u du dich dir dein deine deiner euch euer
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 TOKEN = re.compile(r"[\w@$][\w@$'*!-]*")
 MIXED = re.compile(r"[^\W\d_][\d@$*!]+[^\W\d_]")
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 STRETCH = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -69,39 +70,45 @@ def lexicon(sample: DataFrame, *, size: int = LEXICON) -> DataFrame:
 
 
 class Featurizer:
+    """Features of texts; what depends on a token alone is kept for tokens seen before."""
+
     def __init__(self, weights: dict[str, float]):
         self.weights, self.known = weights, {}
 
-    def weight(self, token: str) -> tuple[float, bool]:
+    def look(self, token: str) -> tuple[float, bool, int, int, bool]:
+        """(lexicon weight, second person, letter substitutions, stretched letters, all capitals) of a token."""
         got = self.known.get(token)
         if got is None:
             w = plain(token)
             if len(self.known) > 1 << 17:
                 self.known.clear()
-            got = self.known[token] = (max((self.weights.get(e, 0.0) for e in entries(w)), default=0.0), w in YOU)
+            shouted = len(token) > 2 and token.isupper()
+            got = self.known[token] = (max((self.weights.get(e, 0.0) for e in entries(w)), default=0.0), w in YOU, len(MIXED.findall(token)), len(STRETCH.findall(token)), shouted)
         return got
 
     def __call__(self, text: str | None) -> list[float]:
         text = text or ""
         tokens = TOKEN.findall(text)
         n, chars = max(1, len(tokens)), max(1, len(text))
-        got = list(map(self.weight, tokens))
-        hits = [i for i, (w, _) in enumerate(got) if w]
-        you = [i for i, (_, y) in enumerate(got) if y]
+        weights, persons, mixed, stretched, shouted = zip(*map(self.look, tokens), strict=True) if tokens else ((),) * 5
+        hits = [i for i, w in enumerate(weights) if w]
+        you = [i for i, y in enumerate(persons) if y] if any(persons) else []
         near = 0.0
         if hits and you:
             h, y = np.array(hits), np.array(you)
             at = np.searchsorted(y, h)
             away = np.minimum(np.abs(h - y[np.minimum(at, len(y) - 1)]), np.abs(h - y[np.maximum(at - 1, 0)]))
             near = float((1 / (1 + away)).max())
-        words = [got[i][0] for i in hits]
+        words = [weights[i] for i in hits]
         raw = text.encode()
-        capitals = sum(1 for c in text if c.isupper())
+        capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        if not text.isascii():
+            capitals += sum(map(str.isupper, NOT_ASCII.findall(text)))
         marks = len(raw) - len(raw.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
         return [
             len(hits) / n, sum(words) / n, max(words, default=0.0), float(np.log1p(len(hits))), float(np.log1p(len({tokens[i] for i in hits}))),
-            near, len(you) / n, capitals / chars, sum(1 for t in tokens if len(t) > 2 and t.isupper()) / n, marks / chars,
-            text.count("!") / chars, len(MIXED.findall(text)) / n, len(STRETCH.findall(text)) / n, float(np.log1p(len(tokens))),
+            near, len(you) / n, capitals / chars, sum(shouted) / n, marks / chars,
+            text.count("!") / chars, sum(mixed) / n, sum(stretched) / n, float(np.log1p(len(tokens))),
         ]
 
 
