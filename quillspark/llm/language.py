@@ -4,12 +4,13 @@ Every word (a run of letters, lower-cased, with a border mark at both ends) give
 language's profile is the TOP most frequent n-grams of its training texts in order. A document's own most frequent
 n-grams are compared to each profile by the out-of-place distance: the sum of the differences of ranks, TOP for an n-gram
 that a profile lacks. Counts cover all training texts: they are summed in each task and then by Spark.
+
+An n-gram is kept as one number of three 21-bit code points (missing ones are 0), so that counting is sorting.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +18,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, slices
 
 TOP = 400
-WORDS = 1 << 17  # distinct words that a task holds before it passes on the counts of their n-grams
-LETTERS = re.compile(r"[^\W\d_]+")
+BORDER = ord("_")
+HELD = 1 << 20  # counts that a task holds before it adds them up
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def grams(word: str) -> list[str]:
-    w = f"_{word}_"
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if n > 1 or w[i] != "_"]
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams in order, counts) of a text's words."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    letter = letters()[codes]
+    after = np.append(False, letter)[:-1]
+    c = np.where(letter, codes, BORDER)[letter | after].astype(np.int64)
+    c = np.concatenate([[BORDER], c, [BORDER]])
+    word = c != BORDER
+    first, second = c << 42, c << 21
+    one = first[word]
+    two = (first[:-1] | second[1:])[word[:-1] | word[1:]]
+    three = (first[:-2] | second[1:-1] | c[2:])[word[1:-1]]
+    return np.unique(np.concatenate([one, two, three]), return_counts=True)
 
 
-def gram_counts(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for w, n in words.items():
-        for g in grams(w):
-            out[g] += n
-    return out
+def spell(key: int) -> str:
+    return "".join(chr(x) for x in (key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF) if x)
+
+
+def number(gram: str) -> int:
+    a, b, c = (ord(x) for x in gram.ljust(3, "\0"))
+    return a << 42 | b << 21 | c
 
 
 def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
@@ -42,29 +59,32 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: in
     Rows with null text or lang are left out."""
 
     def run(batches):
-        words: dict[str, Counter] = {}
-        held = 0
+        held: dict[str, list] = {}
 
-        def flush():
-            rows = [(k, g, n) for k, c in words.items() for g, n in gram_counts(c).items()]
-            words.clear()
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "gram", "n"])
+        def add_up() -> None:
+            for k, parts in held.items():
+                keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                held[k] = [(keys, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64))]
 
-        for b in batches:
+        for b in slices(batches, 1, 1 << 22):
+            texts: dict[str, list[str]] = {}
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(k, Counter()).update(LETTERS.findall(t.lower()))
-                held += len(t)
-                if held > 1 << 22:
-                    held = 0
-                    if sum(map(len, words.values())) > WORDS:
-                        yield flush()
-        yield flush()
-
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counts.withColumn("rank", rank - 1).where(F.col("rank") < top).select("lang", "gram", "rank")
+                texts.setdefault(k, []).append(t)
+            for k, ts in texts.items():
+                held.setdefault(k, []).append(grams("\n".join(ts)))
+            if sum(len(p[0]) for parts in held.values() for p in parts[1:]) > HELD:
+                add_up()
+        add_up()
+        for k, [(keys, n)] in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
+
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
+    counts = rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    best = counts.withColumn("rank", rank - 1).where(F.col("rank") < top)
+    parts = (F.shiftright("key", 42), F.shiftright("key", 21).bitwiseAND(F.lit(0x1FFFFF)), F.col("key").bitwiseAND(F.lit(0x1FFFFF)))
+    gram = F.concat(*(F.when(p > 0, F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")).otherwise("") for p in parts))
+    return best.select("lang", gram.alias("gram"), "rank")
 
 
 class Ranker:
@@ -72,47 +92,19 @@ class Ranker:
 
     def __init__(self, table: list[tuple[str, str, int]], top: int):
         self.top, self.langs = top, sorted({k for k, _, _ in table})
-        self.rank: dict[str, np.ndarray] = {}
+        self.keys = np.array(sorted({number(g) for _, g, _ in table}), np.int64)
+        self.rank = np.full((len(self.keys) + 1, len(self.langs)), -1)
         for k, g, r in table:
-            self.rank.setdefault(g, np.full(len(self.langs), -1))[self.langs.index(k)] = r
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.order = np.zeros(1 << 12, np.int64)
-        self.known = np.full((1 << 12, len(self.langs)), -1)
-        self.of: dict[str, np.ndarray] = {}
-
-    def ids(self, word: str) -> np.ndarray:
-        out = []
-        for g in grams(word):
-            i = self.number.get(g)
-            if i is None:
-                i = self.number[g] = len(self.number)
-                if i == len(self.order):
-                    self.order = np.concatenate([self.order, np.zeros_like(self.order)])
-                    self.known = np.concatenate([self.known, np.full_like(self.known, -1)])
-                code = 0
-                for c in g.ljust(3, "\0"):
-                    code = code << 21 | ord(c)
-                self.order[i] = code
-                if g in self.rank:
-                    self.known[i] = self.rank[g]
-            out.append(i)
-        found = self.of[word] = np.array(out)
-        return found
+            self.rank[np.searchsorted(self.keys, number(g)), self.langs.index(k)] = r
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if len(self.of) > 1 << 16 or len(self.number) > 1 << 18:
-            self.clear()
-        words = Counter(LETTERS.findall((text or "").lower()))
-        if not words or not self.langs:
+        keys, n = grams(text) if text else (self.keys[:0], None)
+        if not len(keys) or not self.langs:
             return "und", 0.0
-        parts = [self.of[w] if w in self.of else self.ids(w) for w in words]
-        n = np.bincount(np.concatenate(parts), np.repeat(list(words.values()), [len(p) for p in parts]))
-        own = np.flatnonzero(n)
-        own = own[np.lexsort((self.order[own], -n[own]))][: self.top]
-        ranks = self.known[own]
+        own = keys[np.argsort(-n, kind="stable")[: self.top]]
+        at = np.searchsorted(self.keys, own)
+        at[self.keys[np.minimum(at, len(self.keys) - 1)] != own] = len(self.keys)  # the row of unknown n-grams
+        ranks = self.rank[at]
         away = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(own))[:, None])).sum(0)
         best = int(away.argmin())
         return self.langs[best], 1 - float(away[best]) / (self.top * len(own))
