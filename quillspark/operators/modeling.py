@@ -12,7 +12,10 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .edits import community_dynamics, edit_features
+from .lifecycle import filter_until, valid_for_usecase
 from .metrics import eval_measures, find_threshold
+from .network import editor_edges, network_features
 from .wikitext import topic_pivot
 
 SEED = 1984
@@ -35,6 +38,26 @@ def join_blocks(blocks: list[DataFrame], key: str = "page_id") -> DataFrame:
     return out
 
 
+def article_features(revisions: DataFrame, pages: DataFrame, usecase: str) -> tuple[DataFrame, DataFrame]:
+    """(feature rows of usable pages promoted to a level, ids of promoted pages left out). pages is a life-cycle table; the features
+    are those of the revisions before promotion. A network column is null on a page without editor edges."""
+    promoted = pages.where(F.col(f"{usecase}_promotion").isNotNull()).withColumn("promotion", F.col(f"{usecase}_promotion"))
+    usable = F.col("is_valid") & valid_for_usecase(usecase)
+    good = promoted.where(usable)
+    before = filter_until(revisions, good, "promotion").cache()
+    last = before.groupBy("page_id").agg(F.max("ts").alias("TIME_last_revision_timestamp"))
+    base = good.select(
+        "page_id", F.col("label").cast("int").alias("y"), F.col("promotion").alias("TIME_promotion_date"), F.col(f"{usecase}_demotion").alias("TIME_demotion_date"),
+        F.year("promotion").alias("TIME_promotion_year"), F.col(f"{usecase}_promotion_to_demotion").alias("TIME_days_to_demotion"),
+    )
+    community = community_dynamics(before.withColumn("sha1", F.lit(None).cast("string")) if "sha1" not in before.columns else before)
+    community = community.withColumnsRenamed({c: f"COMPOSITION_{c}" for c in community.columns if c != "page_id"})
+    out = base.join(last, "page_id", "left")
+    for block in (edit_features(before, good), community, network_features(editor_edges(before))):
+        out = out.join(block, "page_id", "left")
+    return out, promoted.where(~usable).select("page_id")
+
+
 def build_modeling_table(blocks: list[DataFrame], tags: DataFrame | None = None, *, topics: int = 247, max_year: int | None = None) -> DataFrame:
     """Inner join of feature blocks on page_id, with topic columns, up to a promotion year."""
     out = join_blocks(blocks + ([topic_pivot(tags, limit=topics)] if tags is not None else []))

@@ -9,6 +9,7 @@ from ..operators import modeling as B
 from ..operators import reports as R
 from ..operators import wikitext as W
 from . import views as V
+from .lifecycle_queries import life
 
 FEATURES = ["EDIT_chars", "EDIT_lines", "COMPOSITION_words", "NETWORK_hash"]
 TREES = 5
@@ -135,6 +136,7 @@ def register_all(register) -> None:
     register("stratified_bootstrap", lambda s, sf: B.stratified_bootstrap(md(s, sf).select("id", "y"), 10).groupBy("replicate", "y").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("test"), F.sum(F.when(F.col("is_test"), F.col("id"))).alias("ids")), w(f"{D}, bs AS (SELECT i AS replicate, id, y, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS t FROM model, range(0, 10) r(i))", "SELECT replicate, CAST(y AS BIGINT) AS y, count(*) AS n, CAST(count(*) FILTER (t) AS BIGINT) AS test, CAST(sum(id) FILTER (t) AS BIGINT) AS ids FROM bs GROUP BY ALL"))
     register("mean_impute", lambda s, sf: B.mean_impute(md(s, sf).withColumn("days", F.col("days").cast("double")), md(s, sf).withColumn("days", F.col("days").cast("double")), ["days"]).select("id", "days"), w(D, "SELECT id, round(coalesce(days, avg(days) OVER ()), 6) AS days FROM model"))
     register("year_buckets", lambda s, sf: B.year_buckets(md(s, sf)))
+    register("article_features", lambda s, sf: B.article_features(V.revisions(s, sf), life(s, sf), "fa")[0])
     register("build_modeling_table", lambda s, sf: B.build_modeling_table(blocks(s, sf), W.top_topics(V.topics(s, sf), top=5), topics=5, max_year=2016))
     small = dict(trees=TREES, learner="gbt")
     for learner in ("gbt", "rf", "lr"):
