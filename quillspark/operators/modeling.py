@@ -43,7 +43,7 @@ def article_features(revisions: DataFrame, pages: DataFrame, usecase: str) -> tu
     are those of the revisions before promotion. A network column is null on a page without editor edges."""
     promoted = pages.where(F.col(f"{usecase}_promotion").isNotNull()).withColumn("promotion", F.col(f"{usecase}_promotion"))
     usable = F.col("is_valid") & valid_for_usecase(usecase)
-    good = promoted.where(usable)
+    good = promoted.where(usable).cache()
     before = filter_until(revisions, good, "promotion").cache()
     last = before.groupBy("page_id").agg(F.max("ts").alias("TIME_last_revision_timestamp"))
     base = good.select(
