@@ -43,7 +43,7 @@ def shape(token: str) -> str:
         for c in token[:64].translate(_classes):
             if not (out and c == out[-1] and (c in "Aa0" or out[-3:] == [c] * 3)):
                 out.append(c)
-        if len(_shapes) > 1 << 17:
+        if len(_shapes) > 1 << 16:
             _shapes.clear()
         known = _shapes[token] = "".join(out[:12])
     return known

@@ -32,7 +32,7 @@ from .common import slices
 CHUNK = 256
 STRIDE = 4  # characters that one step of a chunk's state map reads
 SLICE = 1 << 20
-MAX_STATES = 1 << 17
+MAX_STATES = 60_000  # a dense table of 65,536 rows then suffices between slices
 
 # Character classes and states of the splitter.
 OTHER, LETTER, NUMBER, SPACE, BLANK, APOSTROPHE, SUFFIX1, R, V, ELL, E, END = range(12)

@@ -56,3 +56,12 @@ def test_edge_tables(spark):
     rows = T.count_tokens(spark.createDataFrame([(1, None), (None, ""), (1, "a b")], "doc_id long, text string"), PATH).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 0, 2]
     assert T.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_dropped_tables_change_nothing(monkeypatch):
+    monkeypatch.setattr(T, "MAX_STATES", 50)
+    m = T.BpeTransducer(PATH, ids=True)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab' \n\tsrelvdtm1.,é日 '  ") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    got = [n for at in range(0, 300, 20) for n in T.count_texts(texts[at : at + 20], m).tolist()]
+    assert got == expected(texts) == [len(x) for at in range(0, 300, 20) for x in T.encode_texts(texts[at : at + 20], m)]
