@@ -95,8 +95,8 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
     register("triangle_count", lambda s, sf: N.triangle_count(edges(s, sf)), w(EDGES, "SELECT page_id, coalesce(t, 0) AS triangles FROM (SELECT DISTINCT page_id FROM edges) LEFT JOIN (SELECT x.page_id, count(*) AS t FROM und x JOIN und y ON y.page_id = x.page_id AND y.a = x.b JOIN und z ON z.page_id = x.page_id AND z.a = x.a AND z.b = y.b GROUP BY 1) USING (page_id)"))
     register("degree_stats", lambda s, sf: N.degree_stats(edges(s, sf)), by(DEG, f"{stats('in_degree', 'in_degree')}, {stats('out_degree', 'out_degree')}", "deg"))
     register("degree_centrality_stats", lambda s, sf: N.degree_centrality_stats(edges(s, sf)), by(DEG + ", cen AS (SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY page_id) <= 1 THEN 1 ELSE (in_degree + out_degree) / (count(*) OVER (PARTITION BY page_id) - 1) END AS c FROM deg)", stats("c", "centrality"), "cen"))
-    register("bfs_distances", lambda s, sf: N.bfs_distances(edges(s, sf), hops=12), w(DIST, "SELECT page_id, src, dst, CAST(distance AS BIGINT) AS distance FROM dist"))
-    register("closeness_stats", lambda s, sf: N.closeness_stats(edges(s, sf), N.bfs_distances(edges(s, sf), hops=12)), by(DIST + ", clo AS (SELECT page_id, node, coalesce(r / s * r / nullif(count(*) OVER (PARTITION BY page_id) - 1, 0), 0) AS c FROM nodes LEFT JOIN (SELECT page_id, dst AS node, count(*) AS r, sum(distance) AS s FROM dist GROUP BY ALL) USING (page_id, node))", stats("c", "closeness"), "clo"))
+    register("bfs_distances", lambda s, sf: N.bfs_distances(edges(s, sf)), w(DIST, "SELECT page_id, src, dst, CAST(distance AS BIGINT) AS distance FROM dist"))
+    register("closeness_stats", lambda s, sf: N.closeness_stats(edges(s, sf), N.bfs_distances(edges(s, sf))), by(DIST + ", clo AS (SELECT page_id, node, coalesce(r / s * r / nullif(count(*) OVER (PARTITION BY page_id) - 1, 0), 0) AS c FROM nodes LEFT JOIN (SELECT page_id, dst AS node, count(*) AS r, sum(distance) AS s FROM dist GROUP BY ALL) USING (page_id, node))", stats("c", "closeness"), "clo"))
     weak = EDGES.replace("edits AS", "RECURSIVE edits AS", 1) + """, sym AS (SELECT page_id, a, b FROM und UNION SELECT page_id, b, a FROM und),
 reach AS (SELECT page_id, node, node AS r FROM nodes UNION SELECT reach.page_id, reach.node, sym.b FROM reach JOIN sym ON sym.page_id = reach.page_id AND sym.a = reach.r), cm AS (SELECT page_id, node, min(r) AS component FROM reach GROUP BY ALL), sz AS (SELECT page_id, component, count(*) AS n FROM cm GROUP BY ALL)"""
     register("connected_components", lambda s, sf: N.component_summary(N.components(edges(s, sf)), over=2, prefix="weak"), by(weak, "count(*) AS weak_components, count(*) FILTER (n > 2) AS weak_large_components, max(n) AS weak_max_size", "sz"))
