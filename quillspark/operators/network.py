@@ -16,6 +16,7 @@ from pyspark.sql.window import WindowSpec
 from .edits import agg_stats
 
 NODES = 5000
+STEPS, ROWS = 1 << 22, 1 << 16
 
 
 def page_order() -> WindowSpec:
@@ -109,17 +110,33 @@ def reach(near: dict, start, hops: int | None = None) -> dict:
     return depth
 
 
+def source_blocks(edges: DataFrame) -> DataFrame:
+    """page_id, sources, src, dst: a page's edges once for each block of its nodes, about STEPS steps of one search from each node."""
+    size = graph_size(edges).withColumn("blocks", F.least("num_nodes", F.ceil(F.col("num_nodes") * (F.col("num_nodes") + F.col("num_edges")) / STEPS)))
+    own = nodes(edges).join(size.select("page_id", "blocks"), "page_id").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = own.groupBy("page_id", "block").agg(F.collect_list("node").alias("sources"))
+    graph = edges.groupBy("page_id").agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.join(graph, "page_id").repartition(parts, "page_id", "block").select("page_id", "sources", "src", "dst")
+
+
 def bfs_distances(edges: DataFrame, *, hops: int | None = None) -> DataFrame:
     """page_id, src, dst, distance (hops, at least 1) of all ordered pairs that reach each other along directed edges."""
     small, large = by_size(edges)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, page = neighbours(pdf, directed=True), int(pdf.page_id.iloc[0])
-        rows = [(page, s, t, d) for s in near for t, d in reach(near, s, hops).items() if d]
-        return pd.DataFrame(rows, columns=["page_id", "src", "dst", "distance"])
+    def run(batches):
+        for b in batches:
+            for page, sources, src, dst in b.itertuples(index=False):
+                near, rows = neighbours(pd.DataFrame({"src": src, "dst": dst}), directed=True), []
+                for s in sources.tolist():
+                    rows += [(page, s, t, d) for t, d in reach(near, s, hops).items() if d]
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=["page_id", "src", "dst", "distance"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["page_id", "src", "dst", "distance"])
 
     kind = edges.schema["src"].dataType.simpleString()
-    out = small.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, f"page_id long, src {kind}, dst {kind}, distance int")
+    out = source_blocks(small).mapInPandas(run, f"page_id long, src {kind}, dst {kind}, distance int")
     return out if large is None else out.unionByName(hop_distances(large, hops=hops))
 
 
@@ -197,10 +214,10 @@ def component_summary(parts: DataFrame, *, over: int, prefix: str) -> DataFrame:
     return sizes.groupBy("page_id").agg(F.count(F.lit(1)).alias(f"{prefix}_components"), F.count(F.when(F.col("n") > over, 1)).alias(f"{prefix}_large_components"), F.max("n").alias(f"{prefix}_max_size"))
 
 
-def betweenness(adjacent: dict) -> dict:
-    """Share-free path counts through each node of a directed graph (dependency accumulation, one search for each source)."""
+def dependencies(adjacent: dict, sources) -> dict:
+    """Summed shares of the shortest paths from some sources through each node (dependency accumulation, one search for each source)."""
     score = dict.fromkeys(adjacent, 0.0)
-    for s in adjacent:
+    for s in sources:
         paths, depth, before, order, todo = {s: 1}, {s: 0}, {}, [], deque([s])
         while todo:
             v = todo.popleft()
@@ -218,7 +235,12 @@ def betweenness(adjacent: dict) -> dict:
                 gain[v] += paths[v] / paths[w] * (1 + gain[w])
             if w != s:
                 score[w] += gain[w]
-    n = len(adjacent)
+    return score
+
+
+def betweenness(adjacent: dict) -> dict:
+    """Share-free path counts through each node of a directed graph."""
+    score, n = dependencies(adjacent, adjacent), len(adjacent)
     return {v: x / ((n - 1) * (n - 2)) if n > 2 else x for v, x in score.items()}
 
 
@@ -252,15 +274,30 @@ def cut_nodes(adjacent: dict) -> tuple[set, bool]:
     return cuts, len(adjacent) > 1 and parts == 1 and not cuts
 
 
+def betweenness_scores(edges: DataFrame) -> DataFrame:
+    """page_id, node, betweenness; partial sums of blocks of sources are added up."""
+    def run(batches):
+        for b in batches:
+            for page, sources, src, dst in b.itertuples(index=False):
+                rows = [(page, v, x) for v, x in dependencies(neighbours(pd.DataFrame({"src": src, "dst": dst}), directed=True), sources.tolist()).items() if x]
+                yield pd.DataFrame(rows, columns=["page_id", "node", "part"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    total = source_blocks(edges).mapInPandas(run, f"page_id long, node {kind}, part double").groupBy("page_id", "node").agg(F.sum("part").alias("part"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
+    scale = F.when(n > 2, (n - 1).cast("double") * (n - 2)).otherwise(1.0)
+    return nodes(edges).withColumn("scale", scale).join(total, ["page_id", "node"], "left").select("page_id", "node", (F.coalesce("part", F.lit(0.0)) / F.col("scale")).alias("betweenness"))
+
+
 def page_graphs(edges: DataFrame) -> DataFrame:
-    """articulation_points, is_biconnected and node betweenness statistics, one group for each page. Exact for all; a page of n editors and m edges costs n m steps in its task."""
+    """articulation_points, is_biconnected and node betweenness statistics. Exact for all. Cut nodes are one search of a page's whole
+    graph (n + m steps) in one group; betweenness (n m steps) is split into blocks of sources."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         cuts, whole = cut_nodes(neighbours(pdf, directed=False))
-        b = pd.Series(betweenness(neighbours(pdf, directed=True)).values())
-        return pd.DataFrame([(int(pdf.page_id.iloc[0]), len(cuts), int(whole), b.mean(), b.median(), b.std() if len(b) > 1 else 0.0)])
+        return pd.DataFrame([(int(pdf.page_id.iloc[0]), len(cuts), int(whole))])
 
-    schema = "page_id long, articulation_points long, is_biconnected int, betweenness_mean double, betweenness_median double, betweenness_stdev double"
-    return edges.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, schema)
+    cuts = edges.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, "page_id long, articulation_points long, is_biconnected int")
+    return cuts.join(agg_stats(betweenness_scores(edges), "page_id", "betweenness", "betweenness"), "page_id")
 
 
 def network_features(edges: DataFrame) -> DataFrame:

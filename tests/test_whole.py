@@ -1,7 +1,5 @@
 """Registered queries do the whole job of their operators."""
 
-import inspect
-
 import pytest
 
 from quillspark import catalog
@@ -44,3 +42,18 @@ def test_closeness(spark):
             into[t].append(d)
         want = sum(len(x) / sum(x) * len(x) / (len(g) - 1) for x in into.values() if x) / len(g)
         assert got[p] == pytest.approx(want, abs=2e-6)
+
+
+def test_page_is_split(spark, monkeypatch):
+    """One page's sources go to several tasks; sums over blocks are those of the whole graph."""
+    monkeypatch.setattr(network, "STEPS", 2000)
+    near = {v: {(v * 7 + k) % 60 for k in (1, 2, 5)} - {v} for v in range(60)}
+    e = spark.createDataFrame([(1, a, b, 1) for a in near for b in near[a]], "page_id long, src long, dst long, weight long")
+    blocks = network.source_blocks(e).collect()
+    assert len(blocks) > 3 and sorted(v for b in blocks for v in b.sources) == sorted(near)
+    assert {(r.src, r.dst): r.distance for r in network.bfs_distances(e).collect()} == distances(near)
+    want = network.betweenness(near)
+    got = {r.node: r.betweenness for r in network.betweenness_scores(e).collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-9) for v in want)
+    whole = network.page_graphs(e).first()
+    assert whole.betweenness_mean == pytest.approx(sum(want.values()) / 60, abs=1e-9)
