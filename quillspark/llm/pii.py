@@ -4,6 +4,7 @@ A surrogate comes from a keyed permutation of the set of all values of the same
 equal surrogates in the whole corpus (coreference) and different ones get different surrogates (distinctness) without
 any exchange between tasks. Variable characters are symbols of an alphabet (digits, small or capital letters of their
 script, hexadecimal digits, octets); a Feistel network adds to one half, symbol by symbol, a keyed digest of the other.
+A keyed step between the network and its inverse makes the permutation one cycle, so that no value keeps itself.
 Collision checks: a result that falls into another format's or pool's values is permuted again until it does not
 (cycle walking keeps the permutation), so formats cannot run into each other.
 
@@ -15,7 +16,9 @@ names are replaced each on their own, so a full name and a surname alone still a
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -86,14 +89,35 @@ class Surrogates:
             values[target] = [(v + a) % s for v, a, s in zip(values[target], add, sizes[target], strict=True)]
         return values
 
+    def invert(self, values: list[int], sizes: list[int], tweak: str) -> list[int]:
+        values, half = list(values), len(values) // 2
+        for r in reversed(range(ROUNDS)):
+            source, target = (slice(0, half), slice(half, None)) if r % 2 == 0 else (slice(half, None), slice(0, half))
+            add = self.stream(f"{tweak}|{sizes}|{r}", values[source], len(values[target]))
+            values[target] = [(v - a) % s for v, a, s in zip(values[target], add, sizes[target], strict=True)]
+        return values
+
+    def move(self, values: list[int], sizes: list[int], tweak: str) -> list[int]:
+        """A keyed permutation that is one cycle of all lists of numbers below `sizes`, so none stays (if there are two or more)."""
+        most = min(math.prod(sizes) - 1, 1 << 32)
+        if most < 1:
+            return values
+        step = 1 + self.stream(f"{tweak}|{sizes}|step", [], 1)[0] % most
+        while any(math.gcd(step, s) > 1 for s in sizes):
+            step = step % most + 1
+        values = self.permute(values, sizes, tweak)
+        for i, s in enumerate(sizes):
+            step, values[i] = divmod(values[i] + step, s)
+        return self.invert(values, sizes, tweak)
+
     def walk(self, text: str, alphabets: list[str], tweak: str, fits: Callable[[str], bool]) -> str:
-        """Permute the characters that have an alphabet, again until `fits`; a set without a way out stays as it is."""
+        """Permute the characters that have an alphabet, again until `fits`; only a text that nothing else fits stays as it is."""
         at = [i for i, a in enumerate(alphabets) if a]
         if not at:
             return text
         out, sizes = text, [len(alphabets[i]) for i in at]
         while True:
-            values = self.permute([alphabets[i].index(out[i]) for i in at], sizes, tweak)
+            values = self.move([alphabets[i].index(out[i]) for i in at], sizes, tweak)
             chars = list(out)
             for i, v in zip(at, values, strict=True):
                 chars[i] = alphabets[i][v]
@@ -105,7 +129,8 @@ class Surrogates:
         """Digits, capital and small letters a-z, each for its like; hexadecimal keys stay so."""
         if kind(text) == "hex":
             return self.walk(text, ["0123456789abcdef"] * len(text), tweak + "hex", lambda s: kind(s) == "hex")
-        return self.walk(text, [alphabet(c) for c in text], tweak, lambda s: kind(s) == "plain")
+        alphabets = [alphabet(c) for c in text]
+        return self.walk(text, alphabets if any(alphabets) else ["+/_~-"] * len(text), tweak, lambda s: kind(s) == "plain")
 
     def digits(self, text: str, tweak: str, keep: int = 0) -> str:
         """Digits after the first `keep`, whatever separates them; 0-1 and 2-9 each for their like."""
@@ -116,7 +141,7 @@ class Surrogates:
 
     def card(self, text: str) -> str:
         only = [int(c) for c in text if c.isdigit()]
-        body = self.permute(only[1:-1], [10] * (len(only) - 2), f"card{only[0]}")
+        body = self.move(only[1:-1], [10] * (len(only) - 2), f"card{only[0]}")
         check = (luhn([only[0], *body]) + only[-1] - luhn(only[:-1])) % 10
         new = iter([only[0], *body, check])
         return "".join(str(next(new)) if c.isdigit() else c for c in text)
@@ -127,13 +152,16 @@ class Surrogates:
         return "".join(c if c == " " else next(new) for c in text)
 
     def ip(self, text: str) -> str:
-        return ".".join(map(str, self.permute([int(x) for x in text.split(".")], [256] * 4, "ip")))
+        return ".".join(map(str, self.move([int(x) for x in text.split(".")], [256] * 4, "ip")))
 
     def email(self, text: str) -> str:
         low = text.lower()
         name, _, domain = low.rpartition("@")
         labels, _, top = domain.rpartition(".")
-        new = self.walk(f"{name}@{labels}", [alphabet(c) for c in f"{name}@{labels}"], "email", lambda s: True)
+        alphabets = [alphabet(c) for c in f"{name}@{labels}"]
+        if not any(alphabets):
+            alphabets = ["._%+-"] * len(name) + [""] * (1 + len(labels))
+        new = self.walk(f"{name}@{labels}", alphabets, "email", lambda s: True)
         out = f"{new}.{top}"
         return "".join(o.upper() if c.isupper() else o for c, o in zip(text, out, strict=True))
 
@@ -142,13 +170,21 @@ class Surrogates:
         title = word[:1].upper() + word[1:].lower()
         if title in POOL:
             names = NAMES[POOL[title]]
-            out = names[self.permute([names.index(title)], [len(names)], f"name{POOL[title]}")[0]]
+            out = names[self.move([names.index(title)], [len(names)], f"name{POOL[title]}")[0]]
         else:
             low = word.lower()
             groups = [LETTER_OF.get(c, "") for c in low[:-1]] + [""]
-            out = self.walk(low, groups, "name", lambda s: s.title() not in POOL).title()
+            if not any(groups):  # one letter, or another script
+                groups[-1] = LETTER_OF.get(low[-1:], "")
+            if not any(groups):
+                groups = [letters_like(c) for c in low]
+            out = self.walk(low, groups, "name", lambda s: s.title() not in POOL)
+            out = (self.placeholder(low) if out == low else out).title()
         return out.upper() if word.isupper() and len(word) > 1 else out if word[:1].isupper() else out.lower()
 
+    def placeholder(self, word: str) -> str:
+        return "x" + "".join(chr(97 + x % 26) for x in self.stream("placeholder", [ord(c) for c in word], 11))
+
     def names(self, text: str) -> str:
         return re.sub(WORD, lambda m: self.name(m[0]), text)
 
@@ -182,6 +218,14 @@ def alphabet(c: str) -> str:
     return ""
 
 
+@functools.cache
+def letters_like(c: str) -> str:
+    """Small letters of c's block of 256 code points that have no group in LETTERS and come back from capitals."""
+    first = ord(c) & ~0xFF
+    found = "".join(x for x in map(chr, range(first, first + 256)) if x.isalpha() and x not in LETTER_OF and x.upper().lower() == x and len(x.upper()) == 1 and x.upper() != x)
+    return found if c in found else ""
+
+
 def kind(text: str) -> str:
     return "hex" if re.fullmatch(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{8,}", text) else "plain"
 
