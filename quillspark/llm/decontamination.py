@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FIELDS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 WINDOWS = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32()), ("item", pa.string())]))
-_built: dict[int, object] = {}
+_built: dict[tuple[str, int], object] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -37,8 +38,11 @@ def windows(text: str | None, n: int) -> set[bytes]:
     return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def automaton(key: int, patterns: dict[bytes, list[str | None]]):
+def automaton(key: tuple[str, int], patterns: dict[bytes, list[str | None]]):
+    """The automaton of a (job, shard); those of other jobs are dropped."""
     if key not in _built:
+        for old in [k for k in _built if k[0] != key[0]]:
+            del _built[old]
         a = ahocorasick.Automaton()
         for window, items in patterns.items():
             a.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, items))
@@ -88,17 +92,17 @@ def find_contamination(
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard))
-    width, out = len(docs.columns), docs
+    width, out, job = len(docs.columns), docs, uuid.uuid4().hex
     for k in range(shards):
         patterns: dict[bytes, list] = {}
         for row in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect():
             for w in windows(row.text, n):
                 patterns.setdefault(w, []).append(row.item)
-        out = _pass(out, width, text, spark.sparkContext.broadcast(patterns), k > 0, k == shards - 1)
+        out = _pass(out, width, text, spark.sparkContext.broadcast(patterns), (job, k), k > 0, k == shards - 1)
     return out
 
 
-def _pass(docs: DataFrame, width: int, text: str, sent, more: bool, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, width: int, text: str, sent, key: tuple[str, int], more: bool, last: bool) -> DataFrame:
     """One scan; matches so far are in the last column if `more`."""
     from .common import slices
 
@@ -107,7 +111,7 @@ def _pass(docs: DataFrame, width: int, text: str, sent, more: bool, last: bool)
     names = [*docs.columns[:width], *(f.name for f in added)]
 
     def run(batches):
-        a = automaton(sent.id if hasattr(sent, "id") else id(sent), sent.value)
+        a = automaton(key, sent.value)
         for b in slices(batches, at, 1 << 22):
             texts = b.column(at).to_pylist()
             before = b.column(width).to_pylist() if more else itertools.repeat([])
