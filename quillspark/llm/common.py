@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,43 @@ def annotate(docs: DataFrame, text: str, fields: T.StructType, make: Callable, l
 def chosen(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The two columns that most operators read, under their usual names."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with underscores before it until no column has that name (whatever the case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def keep_winners(docs: DataFrame, rooted: DataFrame, key: Callable[[str | None], int], *, doc_id: str, text: str) -> DataFrame:
+    """docs with one row of each root. rooted: doc_id, t, root of every row, where t is key(text), an unsigned 64-bit number.
+
+    The row of the smallest doc_id stays (nulls last, then the smallest t). Rows are known by doc_id and t, which are
+    computed from the row itself and so are the same in a retried task. The others are taken out by an anti-join, which
+    broadcasts them if they are few; rows equal in doc_id and t are folded with partial sums.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t"))
+    per = to_table(rooted.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    first = per.groupBy("root").agg(best.alias("m")).select(F.col("root").alias("__root"), "m")
+    judged = per.join(first, per.root == first["__root"]).withColumn("won", F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t") == F.col("m.t")))
+    judged = to_table(judged.select(F.col("doc_id").alias("__d"), F.col("t").alias("__k"), "won", "n"), "near-judged")
+    names = [free_name(docs.columns, n) for n in ("__doc", "__text", "__t")]
+    at, given = len(docs.columns) + 1, [*docs.columns, names[0], names[2]]
+
+    def run(batches):
+        for b in slices(batches, at, 1 << 22):
+            t = np.array([key(x) for x in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(t)], given)
+
+    plain = docs.select("*", F.col(doc_id).cast("long").alias(names[0]), F.col(text).cast("string").alias(names[1]))
+    keyed = plain.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[2], T.LongType())]))
+    same = lambda other: F.col(names[0]).eqNullSafe(other["__d"]) & (F.col(names[2]) == other["__k"])
+    lost = judged.where("not won or n > 1")
+    out = keyed.join(lost, same(lost), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    twice = judged.where("won and n > 1")
+    if twice.isEmpty():
+        return out
+    row = F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__r")
+    return out.unionByName(keyed.join(twice, same(twice), "left_semi").groupBy(names[0], names[2]).agg(row).select("__r.*"))

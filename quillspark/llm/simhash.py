@@ -28,23 +28,30 @@ TREE = 2048
 PAIRS = 1 << 22
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    w = (text or "").encode().lower().split()
-    if not w:
-        return 0
+def shingle_array(w: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, repeats included; of a shorter sequence the whole, of none the empty text."""
     joined = b" ".join(w)
     if len(w) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.append(0, ends[:-1] + 1)
     f = xxhash.xxh64_intdigest
-    h = np.array([f(joined[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([f(joined[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def bits_of(h: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         bits += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    w = (text or "").encode().lower().split()
+    return bits_of(shingle_array(w, width)) if w else 0
+
+
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) and the columns `keep` of every whole text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
@@ -231,12 +238,3 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     of = roots(prints, radius)
     out = prints.join(of, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one row of each component: the smallest doc_id (nulls last), the first such row."""
-    row = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints = to_table(fingerprints(row, doc_id=doc_id, text=text, width=width, keep=("__row",)), "fingerprints")
-    of = roots(prints, radius).select("fp", "root")
-    first = prints.join(of, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__row")).alias("m"))
-    return row.join(first.select(F.col("m.__row").alias("__row")), "__row", "left_semi").drop("__row")
