@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .token_counts import SLICE, encode_texts, machine
+from .common import slices, to_table
+from .token_counts import SLICE, class_ranges, encode_texts, machine
 
 GROUP = 4096
+SHARE = 8  # groups in a partition, at most on average
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,28 +92,43 @@ def top_up(bins: list[list[tuple[int, int, int]]], size: int) -> list[list[tuple
     return [b for b in bins if b]
 
 
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(docs with grp, the number of groups): about GROUP documents in each group, by a hash of id and text. Rows that
+    repeat more than GROUP times, which one hash would put together, are spread over as many groups as they fill."""
+    h = F.xxhash64("doc_id", "text")
+    per = to_table(docs.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).groupBy((F.col("n") > GROUP).alias("hot"), F.when(F.col("n") > GROUP, F.col("h")).alias("h")).agg(F.sum("n").alias("n")), "packing-groups")
+    groups = max(1, -(-(per.agg(F.sum("n")).first()[0] or 0) // GROUP))
+    hot = per.where("hot").select("h", F.ceil(F.col("n") / GROUP).alias("k"))
+    if hot.isEmpty():
+        return docs.withColumn("grp", F.pmod(h, F.lit(groups))), groups
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("k"))
+    salted = docs.withColumn("h", h).join(F.broadcast(hot), "h", "left").withColumn("grp", F.pmod(F.col("h") + F.coalesce(salt, F.lit(0)), F.lit(groups)))
+    return salted.select("doc_id", "text", "grp"), groups
+
+
 def encoded(docs: DataFrame, path: str, *, doc_id: str, text: str, end_id: int) -> DataFrame:
     """doc_id, grp, ids: 16-bit (or 32-bit) little-endian ids with end_id last, of every whole text (null: empty)."""
-    n_groups = max(1, -(-docs.count() // GROUP))
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = chosen.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
+    rows, groups = dealt(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
+    ranges = class_ranges()
 
     def run(batches):
-        m = machine(path, ids=True)
+        m = machine(path, ids=True, ranges=ranges)
         kind = "<u2" if len(m.size) <= 1 << 16 else "<u4"
         for b in slices(batches, 1, SLICE):
             ids = [np.append(x, end_id).astype(kind).tobytes() for x in encode_texts(b.column(1).to_pylist(), m)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], ["doc_id", "grp", "ids", "width"])
 
-    return dealt.mapInArrow(run, "doc_id long, grp long, ids binary, width int")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // SHARE)
+    return rows.mapInArrow(run, "doc_id long, grp long, ids binary, width int").repartition(parts, "grp")
 
 
 def pack_documents(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of all documents, with their ids as little-endian unsigned 32-bit numbers.
 
     doc_id; start, the document's ids before the piece; length; ids; doc_tokens, with end_id; sequence_id; offset in
-    the sequence, gapless from 0. A null or empty text is end_id alone. Repeated rows are packed each; null ids are
-    kept; other columns are ignored; an empty table gives no pieces.
+    the sequence, gapless from 0. A null or empty text is end_id alone. Repeated rows are packed each (docs must be a
+    table that a retried task reads the same again); null ids are kept; other columns are ignored whatever their names;
+    a very long text is cut into whole sequences; an empty table gives no pieces.
     """
 
     def run(group: pa.Table) -> pa.Table:

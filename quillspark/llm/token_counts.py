@@ -19,7 +19,6 @@ Texts are processed in slices of about SLICE bytes, so memory follows the slice,
 from __future__ import annotations
 
 import json
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -42,15 +41,32 @@ HERE, BEFORE = 1, 2  # a token starts at this character, at the one before it
 
 
 @lru_cache(maxsize=1)
-def char_classes() -> np.ndarray:
-    """Class of every code point, by general category and the Unicode property White_Space."""
-    by = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        by[c] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-    # Code points with the property White_Space.
-    white = [0x9, 0xA, 0xB, 0xC, 0xD, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-    by[white] = BLANK
+def class_ranges() -> tuple[np.ndarray, np.ndarray]:
+    """(first code point, class) of each run of code points of one class, as the tokenizers library has them.
+
+    Which code points are letters, numbers or white space depends on the Unicode version built into the library, so its
+    pre-tokenizer is asked: a code point that stays with a letter, a digit or a sign before it is of that kind, one that
+    stays with none is white space. Done once, on the driver; the runs (a few thousand) go to the tasks.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    by = np.full(0x110000, OTHER, np.uint8)  # planes 4 to 13 are unassigned, 15 and 16 private; surrogates are in no text
+    by[:0xD800] = by[0xE000:0x40000] = by[0xE0000:0xF0000] = BLANK
+    for first in (*range(0, 0x40000, 1 << 14), *range(0xE0000, 0xF0000, 1 << 14)):
+        codes = [c for c in range(first, first + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        for before, kind in (("!", OTHER), ("1", NUMBER), ("a", LETTER)):
+            starts = np.zeros(3 * len(codes) + 1, bool)
+            starts[[x[1][0] for x in split("".join(f"{before}{chr(c)}\n" for c in codes))]] = True
+            by[np.array(codes, np.int64)[~starts[1:-1:3]]] = kind
+    first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    return first, by[first]
+
+
+def char_classes(ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Class of every code point."""
+    first, kind = ranges
+    by = np.repeat(kind, np.diff(np.append(first, 0x110000)))
     by[ord(" ")] = SPACE
     by[ord("'")] = APOSTROPHE
     for letters, cls in (("stmd", SUFFIX1), ("r", R), ("v", V), ("l", ELL), ("e", E)):
@@ -127,13 +143,13 @@ def stride_maps() -> np.ndarray:
     return np.ascontiguousarray(out)
 
 
-def token_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def token_starts(codes: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Positions where pre-tokens start; the end characters of texts, at `ends`, count as starts too."""
     to, mark = splitter()
     n = len(codes)
     rows = -(-n // CHUNK)
     cls = np.full(rows * CHUNK, END, np.uint8)
-    cls[:n] = char_classes()[codes]
+    cls[:n] = classes[codes]
     cls[ends] = END
     offset = cls.reshape(rows, CHUNK).T.astype(np.intp)
     words = offset.reshape(-1, STRIDE, rows)
@@ -158,8 +174,9 @@ def token_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class BpeTransducer:
     """Byte transducer whose transitions carry changes of the token count, compiled as it is used."""
 
-    def __init__(self, path: str, ids: bool = False):
+    def __init__(self, path: str, ids: bool = False, ranges: tuple[np.ndarray, np.ndarray] | None = None):
         self.with_ids = ids  # states then also tell the last token
+        self.classes = char_classes(ranges or class_ranges())
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.specials = [t["content"] for t in model["added_tokens"]]
@@ -336,9 +353,9 @@ def byte_letters() -> dict[int, str]:
 _machines: dict[tuple[str, bool], BpeTransducer] = {}
 
 
-def machine(path: str, ids: bool = False) -> BpeTransducer:
+def machine(path: str, ids: bool = False, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> BpeTransducer:
     if (path, ids) not in _machines:
-        _machines[path, ids] = BpeTransducer(path, ids)
+        _machines[path, ids] = BpeTransducer(path, ids, ranges)
     return _machines[path, ids]
 
 
@@ -355,7 +372,7 @@ def pre_tokens(texts: list[str | None], m: BpeTransducer):
     ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     raw = np.frombuffer(joined.encode("utf-8"), np.uint8)
-    starts = token_starts(codes, ends)
+    starts = token_starts(codes, ends, m.classes)
     if len(raw) != len(codes):
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         starts, ends = lead[starts], lead[ends]
@@ -407,11 +424,12 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every whole text.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted each, ids may be null, other columns are
-    ignored, an empty table gives an empty result. `path`: a byte-level BPE file of the tokenizers library.
+    ignored whatever their names, an empty table gives an empty result. A very long text is one slice of its own. `path`: a byte-level BPE file of the tokenizers library.
     """
+    ranges = class_ranges()
 
     def run(batches):
-        m = machine(path)
+        m = machine(path, ranges=ranges)
         for b in slices(batches, 1, SLICE):
             texts = b.column(1).to_pylist()
             n = count_texts(texts, m)

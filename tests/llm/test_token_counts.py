@@ -26,6 +26,15 @@ def test_odd_texts():
     assert T.count_texts(ODD, T.machine(PATH)).tolist() == expected(ODD)
 
 
+def test_all_code_points():
+    """Every code point counts as in the library, whatever Unicode version that has."""
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    m = T.machine(PATH)
+    for at in range(0, len(codes), 4096):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}?  {chr(c)}'s" for c in codes[at : at + 4096]]
+        assert T.count_texts(texts, m).tolist() == expected(texts), hex(codes[at])
+
+
 def test_random_texts():
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab' \n\tsrelvdtm1.,é日 '  ") for _ in range(rng.randint(0, 40))) for _ in range(5000)]
