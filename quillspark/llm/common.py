@@ -61,18 +61,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
             at += step
 
 
+def packed(docs: DataFrame, text: str, leave_out: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(`row`, a struct of all columns but those left out (whatever the case), and `text` as a string; the struct's columns).
+    Inside an operator no name of the input can then clash with another."""
+    out = {n.lower() for n in leave_out}
+    kept = [c for c in docs.columns if c.lower() not in out]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None).cast("boolean")
+    return docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), kept
+
+
 def annotate(docs: DataFrame, text: str, fields: T.StructType, make: Callable, limit: int = 1 << 22) -> DataFrame:
     """docs with added columns, without a shuffle: `make()` runs once a task and gives a function from a list of texts
-    (null: None) to a list of Arrow arrays, one for each field. All other columns pass through unchanged."""
-    at = docs.columns.index(text)
-    names = [*docs.columns, *fields.fieldNames()]
+    (null: None) to a list of Arrow arrays, one for each field. A column of docs with the name of a field (whatever the
+    case) gives way to it, `text` included, which is read first; all others pass through unchanged."""
+    rows, kept = packed(docs, text, fields.fieldNames())
+    names = ["row", *(f"v{i}" for i in range(len(fields)))]
 
     def run(batches):
         f = make()
-        for b in slices(batches, at, limit):
-            yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(at).to_pylist())], names)
+        for b in slices(batches, 1, limit):
+            yield pa.RecordBatch.from_arrays([b.column(0), *f(b.column(1).to_pylist())], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields.fields]))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *(T.StructField(n, f.dataType) for n, f in zip(names[1:], fields, strict=True))]))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *(F.col(n).alias(f.name) for n, f in zip(names[1:], fields, strict=True)))
 
 
 def chosen(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -80,14 +91,6 @@ def chosen(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def free_name(taken: list[str], name: str) -> str:
-    """`name`, with underscores before it until no column has that name (whatever the case)."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
-
-
 def keep_winners(docs: DataFrame, rooted: DataFrame, key: Callable[[str | None], int], *, doc_id: str, text: str) -> DataFrame:
     """docs with one row of each root. rooted: doc_id, t, root of every row, where t is key(text), an unsigned 64-bit number.
 
@@ -100,21 +103,20 @@ def keep_winners(docs: DataFrame, rooted: DataFrame, key: Callable[[str | None],
     first = per.groupBy("root").agg(best.alias("m")).select(F.col("root").alias("__root"), "m")
     judged = per.join(first, per.root == first["__root"]).withColumn("won", F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t") == F.col("m.t")))
     judged = to_table(judged.select(F.col("doc_id").alias("__d"), F.col("t").alias("__k"), "won", "n"), "near-judged")
-    names = [free_name(docs.columns, n) for n in ("__doc", "__text", "__t")]
-    at, given = len(docs.columns) + 1, [*docs.columns, names[0], names[2]]
+    rows, kept = packed(docs.select(*(F.col(f"`{c}`") for c in docs.columns)), text)
+    rows = rows.withColumn("d", F.col(f"row.`{doc_id}`").cast("long"))
 
     def run(batches):
-        for b in slices(batches, at, 1 << 22):
-            t = np.array([key(x) for x in b.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(t)], given)
+        for b in slices(batches, 1, 1 << 22):
+            t = np.array([key(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(t)], ["row", "d", "k"])
 
-    plain = docs.select("*", F.col(doc_id).cast("long").alias(names[0]), F.col(text).cast("string").alias(names[1]))
-    keyed = plain.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[2], T.LongType())]))
-    same = lambda other: F.col(names[0]).eqNullSafe(other["__d"]) & (F.col(names[2]) == other["__k"])
+    keyed = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("d", T.LongType()), T.StructField("k", T.LongType())]))
+    same = lambda other: F.col("d").eqNullSafe(other["__d"]) & (F.col("k") == other["__k"])
+    plain = lambda df: df.select(*(F.col(f"row.`{c}`").alias(c) for c in kept))
     lost = judged.where("not won or n > 1")
-    out = keyed.join(lost, same(lost), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = plain(keyed.join(lost, same(lost), "left_anti"))
     twice = judged.where("won and n > 1")
     if twice.isEmpty():
         return out
-    row = F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__r")
-    return out.unionByName(keyed.join(twice, same(twice), "left_semi").groupBy(names[0], names[2]).agg(row).select("__r.*"))
+    return out.unionByName(plain(keyed.join(twice, same(twice), "left_semi").groupBy("d", "k").agg(F.first("row").alias("row"))))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .common import annotate, slices
 
 TOP = 400
+LANGUAGES = 2000  # profiles that are broadcast, at most
 BORDER = ord("_")
 HELD = 1 << 20  # counts that a task holds before it adds them up
 
@@ -80,8 +81,8 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", top: in
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    best = counts.withColumn("rank", rank - 1).where(F.col("rank") < top)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    best = counts.withColumn("place", place).where(F.col("place") <= top).withColumn("rank", F.col("place") - 1)  # each task keeps its first `top` only
     parts = (F.shiftright("key", 42), F.shiftright("key", 21).bitwiseAND(F.lit(0x1FFFFF)), F.col("key").bitwiseAND(F.lit(0x1FFFFF)))
     gram = F.concat(*(F.when(p > 0, F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")).otherwise("") for p in parts))
     return best.select("lang", gram.alias("gram"), "rank")
@@ -114,9 +115,13 @@ def predict_languages(docs: DataFrame, table: DataFrame, *, text: str = "text",
     """docs with lang_pred and score (1 - distance / the largest possible, 0 to 1).
 
     `und` with score 0 where a text is null or has no letter, or no profile was learned. Equal distances go to the first
-    language by name. Rows pass through in any number; the profiles (top rows a language) are sent to all tasks.
+    language by name. Repeated rows get equal results; very long texts are read whole, one at a time; columns of docs named
+    lang_pred or score are replaced, all others pass through; an empty table stays empty. The profiles (top rows a
+    language) are sent to all tasks; more than LANGUAGES of them are refused.
     """
-    learned = [tuple(r) for r in table.select("lang", "gram", "rank").collect()]
+    learned = [tuple(r) for r in table.select("lang", "gram", "rank").limit(LANGUAGES * top + 1).collect()]
+    if len(learned) > LANGUAGES * top:
+        raise ValueError(f"profiles of more than {LANGUAGES} languages: `lang` does not seem to hold languages")
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def make():

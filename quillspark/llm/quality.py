@@ -1,7 +1,8 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
 A text's terms describe its form in any language: the shape of each token (runs of capitals, small letters, digits and
-signs), repeated tokens, repeated runs of three tokens, repeated lines, and signs. Weights are the logarithm of the
+signs; a long shape is cut into pieces, so that every character counts), repeated tokens, repeated runs of three tokens,
+repeated lines, and distinct tokens in windows of WINDOW. Weights are the logarithm of the
 relative frequency times the inverse document frequency. A truncated singular value decomposition of a bounded sample
 of labelled texts (SAMPLE rows at most, the first by a hash of the id) gives the latent space; the sample's labelled
 vectors are broadcast. Every text is projected, its cosines to all labelled vectors are computed exactly, in blocks,
@@ -10,6 +11,7 @@ and the labels of the nearest vote with their similarity as weight.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,6 +25,7 @@ from .common import annotate, remainder
 
 SAMPLE = 4096
 TERMS, DIMENSIONS, NEIGHBOURS = 1024, 48, 15
+PIECE, WINDOW = 12, 200
 
 
 class Classes(dict):
@@ -33,35 +36,40 @@ class Classes(dict):
 
 
 _classes, _shapes = Classes(), {}
+LIKE = re.compile(r"([Aa0])\1+")
+SIGNS = re.compile(r"([^Aa0])\1{3,}")
 
 
-def shape(token: str) -> str:
-    """Runs of one class of characters as one, signs as they are, runs of three signs at most; 12 characters at most."""
+def shapes(token: str) -> tuple[tuple[str, ...], int]:
+    """(the token's shape in pieces of PIECE characters, signs beyond the third of a run). Runs of capitals, small letters
+    and digits are one character each; of a run of like signs three stay in the shape and the others are counted."""
     known = _shapes.get(token)
     if known is None:
-        out = []
-        for c in token[:64].translate(_classes):
-            if not (out and c == out[-1] and (c in "Aa0" or out[-3:] == [c] * 3)):
-                out.append(c)
+        plain = token.translate(_classes)
+        whole = LIKE.sub(r"\1", plain)
+        short = SIGNS.sub(r"\1\1\1", whole)
         if len(_shapes) > 1 << 16:
             _shapes.clear()
-        known = _shapes[token] = "".join(out[:12])
+        known = (tuple(short[i : i + PIECE] for i in range(0, len(short), PIECE)), len(whole) - len(short))
+        if len(token) <= 256:
+            _shapes[token] = known
     return known
 
 
 def terms(text: str | None) -> Counter:
-    """Terms of a text and how often each occurs; `#` holds the number of tokens."""
+    """Terms of a whole text and how often each occurs; `#` holds the number of tokens."""
     tokens = (text or "").split()
-    out = Counter(map(shape, tokens))
     if not tokens:
         return Counter({"#": 0})
+    got = [shapes(t) for t in tokens]
+    out = Counter(piece for pieces, _ in got for piece in pieces)
+    out["#signs"] = sum(more for _, more in got)
     out["#same"] = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
     runs = list(zip(tokens, tokens[1:], tokens[2:], strict=False))
     out["#run"] = len(runs) - len(set(runs))
     lines = [x for x in text.split("\n") if x.strip()]
     out["#lines"], out["#line"] = len(lines), len(lines) - len(set(lines))
-    kinds = len(set(tokens))
-    out["#kinds"] = kinds if len(tokens) < 200 else 0
+    out["#kinds"] = sum(len(set(tokens[i : i + WINDOW])) for i in range(0, len(tokens), WINDOW))
     n = len(tokens)
     for name, share in (("same", out["#same"] / n), ("run", out["#run"] / n), ("line", out["#line"] / max(1, len(lines)))):
         for step in (0.05, 0.2, 0.5):
@@ -151,7 +159,9 @@ def score_quality(docs: DataFrame, model: Model, *, text: str = "text", column:
     """docs with `column`: the weighted vote for label 1, 0 to 1.
 
     Null, empty and blank texts, and texts that share no term with the sample, get the sample's share of label 1
-    (0.5 if nothing was learned). All rows and columns pass through; nothing is shuffled.
+    (0.5 if nothing was learned). All rows and columns pass through; nothing is shuffled. Equal texts get equal scores; a
+    tie for the last neighbour goes to either. Very long texts are read whole, one at a time. A column of docs that has the name
+    of `column` is replaced; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, to_table
+from .common import annotate, packed, to_table
 from .quality import labelled_sample
 
 SAMPLE = 16384
@@ -130,11 +130,16 @@ class Model:
         self.words, self.trees, self.calibration, self.constant = words, trees, calibration, constant
 
     def score(self, docs: DataFrame, *, text: str = "text", column: str = "score") -> DataFrame:
-        """docs with `column`, the calibrated probability of label 1. Null and empty texts have features of zero; all
-        rows and columns pass through; nothing is shuffled."""
+        """docs with `column`, the calibrated probability of label 1.
+
+        Null and empty texts have features of zero; equal texts get equal scores; very long texts are read whole, one at a
+        time. All rows and columns pass through, but a column of docs that has the name of `column` is replaced; nothing is
+        shuffled; an empty table stays empty. Where the sample had one label only, that is every text's score."""
         if self.constant is not None:
             return docs.withColumn(column, F.lit(float(self.constant)))
-        return calibrated(features(docs, self.words, text=text), self.trees, self.calibration, column)
+        rows, kept = packed(docs, text, [column])
+        out = calibrated(features(rows, self.words), self.trees, self.calibration, "__score")
+        return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), F.col("__score").alias(column))
 
 
 def raw_scores(rows: DataFrame, trees) -> DataFrame:
