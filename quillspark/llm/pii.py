@@ -11,7 +11,9 @@ Collision checks: a result that falls into another format's or pool's values is
 Formats kept: separators, letter case, country codes, first card digit and whether the check digit is right, octet
 ranges, top-level domains. First names known by gender are permuted within the names of their gender and script; other
 name parts keep script, vowels and consonants, and their last letter, and never become a listed name. Parts of
-names are replaced each on their own, so a full name and a surname alone still agree.
+names are replaced each on their own, so a full name and a surname alone still agree. Names are found by context as well
+as by the list: after a cue ("my name is", "regards"), beside or inside an e-mail address, and again wherever the same full
+name stands in the text.
 """
 
 from __future__ import annotations
@@ -53,6 +55,7 @@ PATTERN = re.compile(
   | (?P<hexkey>(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
   | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
+  | (?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]))
   | (?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<card>(?<![\w.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?!\w))
@@ -61,6 +64,16 @@ PATTERN = re.compile(
 )
 MAYBE = re.compile(r"[0-9@]|(?i:passw|pwd|secret|token|key)")
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?[ ]+(?P<names>{WORD}(?:[ ]+{WORD})?)")
+CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яёα-ω][^\W\d_]*(?:['’-][^\W\d_]+)*"
+FULL = rf"{CAPITAL}(?:[ ]+{CAPITAL}){{1,2}}"
+# Words before a name, in English, German, French and Spanish; the second ones with a colon only.
+CUES = "my name is|mein Name ist|je m['’]appelle|me llamo|signed by|sincerely|regards|mit freundlichen Grüßen|cordialement|atentamente|c/o".split("|")
+LABELS = "name|contact|attn|author|patient|customer|employee".split("|")
+CUED = re.compile(rf"\b(?i:(?:{'|'.join(CUES)})[,:]?|(?:{'|'.join(LABELS)}):)\s+(?P<names>{FULL})")
+# Capitalised words that are no part of a name.
+NO_NAMES = set("The A An Our Us We Your My His Her Their This That All And Or Of In On At For To By From With Today Team Department".split())
+BESIDE = re.compile(rf"(?P<names>{FULL})[ ]*[<(][ ]*(?:mailto:)?$")
+CUE_WORD = re.compile(r"(?i:name|appelle|llamo|contact:|signed|sincerely|regards|Grüßen|cordialement|atentamente|attn:|c/o|author:|patient:|customer:|employee:)")
 NAMED = re.compile(rf"\b(?P<names>(?:{'|'.join(sorted(POOL, key=len, reverse=True))})[ ]+{WORD})\b")
 ENTITIES = "array<struct<type:string,start:int,end:int,surrogate:string>>"
 
@@ -154,6 +167,14 @@ class Surrogates:
     def ip(self, text: str) -> str:
         return ".".join(map(str, self.move([int(x) for x in text.split(".")], [256] * 4, "ip")))
 
+    def ip6(self, text: str) -> str:
+        """Hexadecimal digits for their like; leading zeros and the places of the colons stay."""
+        low = text.lower()
+        lead = [(i == 0 or low[i - 1] == ":") and low[i + 1 : i + 2] not in ("", ":") for i in range(len(low))]
+        names = ["" if c == ":" or (first and c == "0") else "123456789abcdef" if first else "0123456789abcdef" for c, first in zip(low, lead, strict=True)]
+        out = self.walk(low, names, "ip6", lambda s: any(c.isdigit() for c in s))
+        return "".join(o.upper() if c.isupper() and o.isalpha() else o for c, o in zip(text, out, strict=True))
+
     def email(self, text: str) -> str:
         low = text.lower()
         name, _, domain = low.rpartition("@")
@@ -179,7 +200,10 @@ class Surrogates:
             if not any(groups):
                 groups = [letters_like(c) for c in low]
             out = self.walk(low, groups, "name", lambda s: s.title() not in POOL)
-            out = (self.placeholder(low) if out == low else out).title()
+            out = self.placeholder(low) if out == low else out
+            if len(out) == len(word):  # each letter keeps its case
+                return "".join(o.upper() if c.isupper() and len(o.upper()) == 1 else o for c, o in zip(word, out, strict=True))
+            out = out.title()
         return out.upper() if word.isupper() and len(word) > 1 else out if word[:1].isupper() else out.lower()
 
     def placeholder(self, word: str) -> str:
@@ -199,7 +223,7 @@ class Surrogates:
     def make(self, type_: str, text: str) -> str:
         if type_ == "person":
             return self.names(text)
-        if type_ in ("email", "card", "ip", "iban"):
+        if type_ in ("email", "card", "ip", "ip6", "iban"):
             return getattr(self, type_)(text)
         if type_ == "phone":
             code = re.match(r"\+([0-9]{1,3})(?=[ .(-])", text)
@@ -236,6 +260,41 @@ def luhn(body: list[int]) -> int:
     return -total % 10
 
 
+def upper_words(names: str, at: int) -> tuple[int, int] | None:
+    """Span of the leading capitalised words of a run of words that starts at `at`."""
+    end = 0
+    for m in re.finditer(WORD, names):
+        if not m[0][:1].isupper():
+            break
+        end = m.end()
+    return (at, at + end) if end else None
+
+
+def persons(text: str, emails: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Names: after a title or a first name of the list; full names after a cue, before an address in brackets, or
+    whose two parts make up an address of the text; and every other place of a full name found in these ways."""
+    tokens = set(text.split())
+    found: list[tuple[int, int]] = []
+    if not tokens.isdisjoint(TITLES) or any(t[-1] == "." and t[:-1] in TITLES for t in tokens) or not tokens.isdisjoint(POOL):
+        for pattern in (TITLED, NAMED):
+            for m in pattern.finditer(text):
+                span = upper_words(m["names"], m.start("names"))
+                if span and (pattern is TITLED or " " in text[span[0] : span[1]]):
+                    found.append(span)
+    if CUE_WORD.search(text):
+        found += [m.span("names") for m in CUED.finditer(text) if NO_NAMES.isdisjoint(m["names"].split())]
+    for a, b in emails:
+        if (m := BESIDE.search(text, max(0, a - 120), a)) and NO_NAMES.isdisjoint(m["names"].split()):
+            found.append(m.span("names"))
+        parts = [p for p in re.split(r"[._+-]", text[a:b].partition("@")[0].lower()) if len(p) > 1 and p.isalpha()]
+        if len(parts) == 2:
+            x, y = (p[0].upper() + p[1:] for p in parts)
+            found += [m.span() for m in re.finditer(rf"\b(?:{x}[ ]+{y}|{y}[ ]+{x})\b", text)]
+    for name in {text[a:b] for a, b in found if " " in text[a:b]}:
+        found += [m.span() for m in re.finditer(rf"\b{re.escape(name)}\b", text)]
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities of a text, in order, without overlaps."""
     found = []
@@ -246,15 +305,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 found.append((*m.span("value"), "secret"))
             elif type_ != "ip" or all(int(x) < 256 for x in m[0].split(".")):
                 found.append((*m.span(), type_))
-    tokens = set(text.split())
-    if not tokens.isdisjoint(TITLES) or any(t[-1] == "." and t[:-1] in TITLES for t in tokens) or not tokens.isdisjoint(POOL):
-        for pattern in (TITLED, NAMED):
-            for m in pattern.finditer(text):
-                words = m["names"].split(" ")
-                n = next((i for i, w in enumerate(words) if not w[:1].isupper()), len(words))
-                a = m.start("names")
-                if n > (pattern is NAMED):
-                    found.append((a, a + len(" ".join(words[:n])), "person"))
+    found += [(a, b, "person") for a, b in persons(text, [(a, b) for a, b, t in found if t == "email"])]
     out: list[tuple[int, int, str]] = []
     for a, b, t in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or a >= out[-1][1]:
@@ -278,8 +329,9 @@ def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", entities: str = "entities") -> DataFrame:
     """docs with surrogates in `text` and the column `entities` (type, start and end in the original text, surrogate).
 
-    Null stays null; texts without entities stay as they are; repeated rows get equal results; other columns pass
-    through. Rows need no exchange: the key alone decides every surrogate.
+    Null stays null; texts without entities stay as they are; repeated rows get equal results; very long texts are read
+    whole, one at a time; an empty table stays empty. A column of docs that has the name of `entities` is replaced, all others
+    pass through. Rows need no exchange: the key alone decides every surrogate.
     """
 
     def make():
@@ -292,15 +344,16 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", entities: str
 
         return f
 
-    fields = T.StructType([T.StructField("__new", T.StringType()), T.StructField(entities, T._parse_datatype_string(ENTITIES))])
-    out = annotate(docs.withColumn("__text", F.col(text).cast("string")), "__text", fields, make)
-    return out.withColumn(text, F.col("__new")).drop("__new", "__text")
+    fields = T.StructType([T.StructField(text, T.StringType()), T.StructField(entities, T._parse_datatype_string(ENTITIES))])
+    out = annotate(docs, text, fields, make)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != entities.lower()), F.col(f"`{entities}`"))
 
 
 def collisions(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
-    """type, surrogate, n: surrogates that stand for several different (up to case and separators) originals; none expected."""
-    rows = pseudonymise(docs.select(F.col(text).alias("text"), F.col(text).alias("original")), key)
-    e = rows.select("original", F.explode("entities").alias("e"))
-    plain = F.lower(F.regexp_replace(F.expr("substring(original, e.start + 1, e.end - e.start)"), "[^\\p{L}\\p{N}@.]", ""))
-    pairs = e.select("e.type", F.lower(F.regexp_replace("e.surrogate", "[^\\p{L}\\p{N}@.]", "")).alias("surrogate"), plain.alias("original"))
+    """type, surrogate, n: surrogates that stand for several different (up to case and separators) originals; none expected.
+    Only the entities are shuffled, summed up in each task first."""
+    rows = pseudonymise(docs.select(F.col(text).cast("string").alias("text"), F.col(text).cast("string").alias("original")), key)
+    e = rows.select("original", F.explode("entities").alias("e")).select("e", F.expr("substring(original, e.start + 1, e.end - e.start)").alias("found")).distinct()
+    plain = F.lower(F.regexp_replace("found", "[^\\p{L}\\p{N}@.:+]", ""))
+    pairs = e.select("e.type", F.lower(F.regexp_replace("e.surrogate", "[^\\p{L}\\p{N}@.:+]", "")).alias("surrogate"), plain.alias("original"))
     return pairs.groupBy("type", "surrogate").agg(F.count_distinct("original").alias("n")).where("n > 1")

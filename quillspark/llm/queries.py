@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import chosen, remainder, table
 
-KEY = "quillspark"  # of the registered query; a user passes a secret one
+KEY = "quillspark"  # where the session's configuration has no key; a user sets a secret one
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +19,11 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of surrogates: spark.quillspark.pii.key."""
+    return spark.conf.get("spark.quillspark.pii.key", KEY)
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -49,9 +54,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymise
+    from .pii import collisions, pseudonymise
 
-    found = pseudonymise(chosen(table(spark, sf_dir, "documents"), "doc_id", "text"), KEY)
+    docs, key = chosen(table(spark, sf_dir, "documents"), "doc_id", "text"), pii_key(spark)
+    if clash := collisions(docs, key).first():
+        raise ValueError(f"one surrogate for different entities: {clash}")
+    found = pseudonymise(docs, key)
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
