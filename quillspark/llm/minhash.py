@@ -17,13 +17,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chosen, slices
+from .common import chosen, slices, to_table
 
 WIDTH, BINS, BITS = 5, 256, 4
-ROWS = 4096  # documents in a range of ids, about
+ROWS = 1 << 16  # documents in a range of ids, about, where the session's number of partitions does not make ranges smaller
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -102,32 +102,49 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(p, 0, 1)
 
 
+def ranges(docs: DataFrame, rows: int) -> tuple[np.ndarray, DataFrame]:
+    """(inner bounds of id ranges of about `rows` documents, descending; ids, nulls included, that fill several ranges on
+    their own, with their number of ranges). Bounds are every 16th id of a sample by a hash of id and text; the driver
+    holds 16 numbers for each range, and there are no more ranges than the cluster would have partitions of `rows`."""
+    n = docs.count()
+    parts = max(min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), n // rows, 1)
+    every = max(1, n // (16 * parts))
+    got = docs.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(every)) == 0).select(F.col("doc_id").cast("double").alias("d")).toPandas()["d"].to_numpy()
+    got = np.sort(np.nan_to_num(got, nan=-np.inf))[::-1]
+    cuts = got[16::16]
+    ids, times = np.unique(cuts, return_counts=True)
+    hot = [(None if d == -np.inf else int(d), int(k)) for d, k in zip(ids, times, strict=True) if k > 1]
+    return ids, docs.sparkSession.createDataFrame(hot, "hot long, k int")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows pid, tail, doc_id, text, sorted so that each row's next document (descending doc_id, nulls last, then text;
-    after the last the first) follows it in its partition. Rows with tail are copies of the first of the next range."""
-    n = max(1, docs.count() // ROWS)
-    as_double = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    docs = docs.withColumn("d", as_double)
-    cuts = docs.where("doc_id is not null").agg(F.percentile_approx("d", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    inner = sorted(set(cuts)) if n > 1 else []
-    splits = [float("-inf"), *inner, float("inf")]
-    if inner:
-        docs = Bucketizer(splits=splits, inputCol="d", outputCol="b").transform(docs)
-    else:
-        docs = docs.withColumn("b", F.lit(0.0))
-    docs = docs.withColumn("pid", (len(splits) - 2 - F.col("b")).cast("int")).drop("b", "d")
-    heads = {r.pid: r.head for r in docs.groupBy("pid").agg(F.max("doc_id").alias("head")).collect()}  # a row for each range
-    order = sorted(heads)
-    if not order:
-        return docs.select("pid", F.lit(False).alias("tail"), "doc_id", "text")
-    before = {p: order[i - 1] for i, p in enumerate(order)}
-    small = docs.sparkSession.createDataFrame([(p, heads[p], before[p]) for p in order], "pid int, head long, prior int")
-    here = F.struct("pid", F.lit(False).alias("tail"))
-    copy = F.struct(F.col("prior").alias("pid"), F.lit(True).alias("tail"))
-    both = docs.join(F.broadcast(small), "pid")
-    both = both.select(F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(here, copy)).otherwise(F.array(here))).alias("p"), "doc_id", "text")
-    rows = both.select("p.pid", "p.tail", "doc_id", "text").repartition(len(order), "pid")
-    return rows.sortWithinPartitions("pid", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    """Rows pid, tail, doc_id, text, sorted so that each row's next document (descending doc_id, nulls last; ties by the
+    hash of the text, then by text; after the last the first) follows it in its partition. Rows with tail are copies of the
+    first of the next range. Ranges are dealt by one shuffle; of their first rows only ids and hashes are gathered, by Spark."""
+    docs = docs.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    bounds, hot = ranges(docs, ROWS)
+    d = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
+    splits = [float("-inf"), *(float(x) for x in bounds if x != -np.inf), float("inf")]
+    docs = docs.withColumn("d", d)
+    docs = Bucketizer(splits=splits, inputCol="d", outputCol="b").transform(docs) if len(splits) > 2 else docs.withColumn("b", F.lit(0.0))
+    docs = docs.join(F.broadcast(hot), docs.doc_id.eqNullSafe(hot.hot), "left")
+    sub = F.coalesce((F.col("h") / F.lit(2.0**63) * F.col("k")).cast("int"), F.lit(0))  # of an id with several ranges: by hash
+    own = F.when(F.col("k").isNotNull(), F.when(F.col("doc_id").isNull(), 2).otherwise(0)).otherwise(1)  # apart from its neighbours
+    docs = docs.withColumn("range", F.struct((-F.col("b")).cast("int").alias("b"), (F.col("doc_id").isNull()).alias("null"), own.alias("own"), sub.alias("sub"))).drop("d", "b", "hot", "k")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), (-F.col("doc_id")).alias("y"), "h")).alias("m")
+    heads = docs.groupBy("range").agg(first)
+    w = Window.orderBy("range")  # one small row for each range
+    heads = heads.select("range", "m", (F.row_number().over(w) - 1).alias("pid"), F.coalesce(F.lag("range").over(w), F.last("range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("prior"))
+    heads = to_table(heads, "id-ranges")
+    order = heads.select(F.col("range").alias("prior"), F.col("pid").alias("before"))
+    small = heads.join(order, "prior").select("range", "pid", "before", F.col("m.y").alias("y"), F.col("m.h").alias("first"))
+    parts = max(1, heads.count())
+    both = docs.join(F.broadcast(small), "range")
+    is_first = (-F.col("doc_id")).eqNullSafe(F.col("y")) & (F.col("h") == F.col("first"))
+    here, copy = F.struct("pid", F.lit(False).alias("tail")), F.struct(F.col("before").alias("pid"), F.lit(True).alias("tail"))
+    both = both.select(F.explode(F.when(is_first, F.array(here, copy)).otherwise(F.array(here))).alias("p"), "doc_id", "h", "text")
+    rows = both.select("p.pid", "p.tail", "doc_id", "text", "h").repartition(parts, "pid")
+    return rows.sortWithinPartitions("pid", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 def edited(text: str, following: str) -> str:
@@ -140,8 +157,10 @@ def fingerprint_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     as many of the next document), edited_sha256 and edited_fingerprint; near_edited and near_next, estimated likeness
     to the edited text and to the next document.
 
-    The next document is the next in descending doc_id (nulls last; ties by text); the last is followed by the first.
-    Null texts are empty; a single document follows itself; repeated rows are kept; an empty table gives no rows.
+    The next document is the next in descending doc_id (nulls last; ties by a hash of the text); the last is followed by
+    the first. Null texts are empty; a single document follows itself; repeated rows are kept, and of equal rows each is
+    followed by the next of them; other columns are ignored whatever their names; very long texts are read whole, one at a
+    time; an empty table gives no rows.
     """
 
     def run(batches):
