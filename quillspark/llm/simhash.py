@@ -5,8 +5,9 @@ Fingerprints: word shingles hashed with XXH64 (seed 42); a bit is set if it is s
 Links (at most `radius` differing bits): the 64 bits are cut into blocks of which radius + k exist; two fingerprints
 within the radius agree on at least k blocks. Each distinct fingerprint goes to one shard for every choice of k blocks,
 keyed by their bits. Each shard holds BK-trees (children keyed by integer Hamming distance to the parent) of at most
-about TREE fingerprints; a shard above that is dealt into several trees, and the members of each tree are looked up in
-their own and in all later trees. The trees of a batch of shards are built and searched together with array steps; a
+about TREE fingerprints. A shard above that is first split by its remaining bits, cut into radius + 1 blocks, one of which
+linked fingerprints share; what is still above it is dealt into several trees, and the members of each tree are looked up
+in their own and in all later trees. The trees of a batch of shards are built and searched together with array steps; a
 search follows only edges within the radius of the distance at hand. A batch gives a spanning forest of the links
 that it found, so a shard of m fingerprints never gives more than m - 1 links. Components of all links are found by
 alternating star contractions, each cut by a checkpoint in the shared folder.
@@ -76,14 +77,30 @@ def block_plan(n: int, radius: int) -> list[list[tuple[int, int]]]:
     raise ValueError(f"no plan for radius {radius}")
 
 
-def shard_keys(fp: str, plan: list[list[tuple[int, int]]]) -> Column:
-    def one(i: int, spans: list[tuple[int, int]]) -> Column:
-        key = F.lit(i).cast("long")
-        for first, width in spans:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        return key
+def rest_plan(spans: list[tuple[int, int]], radius: int) -> list[list[tuple[int, int]]]:
+    """The bits outside `spans` as radius + 1 lists of (first bit, bits): fingerprints of one shard within the radius agree on one of them."""
+    taken = {x for first, width in spans for x in range(first, first + width)}
+    left = [x for x in range(64) if x not in taken]
+    out = []
+    for i in range(radius + 1):
+        part = left[len(left) * i // (radius + 1) : len(left) * (i + 1) // (radius + 1)]
+        runs: list[tuple[int, int]] = []
+        for x in part:
+            runs = [*runs[:-1], (runs[-1][0], runs[-1][1] + 1)] if runs and sum(runs[-1]) == x else [*runs, (x, 1)]
+        out.append(runs)
+    return out
+
 
-    return F.array(*(one(i, c) for i, c in enumerate(plan)))
+def key_of(fp: str, i: int, spans: list[tuple[int, int]]) -> Column:
+    key = F.lit(i).cast("long")
+    for first, width in spans:
+        key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+    return key
+
+
+def shard_keys(fp: str, plan: list[list[tuple[int, int]]]) -> Column:
+    """Array of (i, key), one for each choice of blocks."""
+    return F.array(*(F.struct(F.lit(i).alias("i"), key_of(fp, i, c).alias("key")) for i, c in enumerate(plan)))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -179,19 +196,28 @@ def batch_links(trees: list[np.ndarray], queries: list[np.ndarray | None], radiu
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
+def with_size(keyed: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of keys that have two or more, with their number n."""
+    return keyed.join(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), key)
+
+
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """a, b: links that connect all distinct fingerprints fp whose links connect them, and no others."""
     plan = block_plan(fps.count(), radius)
-    keyed = fps.select("fp", F.explode(shard_keys("fp", plan)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, "key").withColumn("trees", F.ceil(F.col("n") / TREE).cast("int"))
+    keyed = with_size(fps.select("fp", F.explode(shard_keys("fp", plan)).alias("k")).select("fp", "k.i", "k.key"), ["i", "key"])
+    deeper = F.array(F.lit(None).cast("long"))
+    for i, spans in enumerate(plan):  # a shard above TREE is split by one of the remaining blocks of bits, on which links agree too
+        parts = [key_of("fp", j, rest) for j, rest in enumerate(rest_plan(spans, radius))]
+        deeper = F.when((F.col("n") > TREE) & (F.col("i") == i), F.array(*parts)).otherwise(deeper)
+    split = keyed.select("fp", "i", "key", F.explode(deeper).alias("sub")).withColumn("sub", F.coalesce("sub", F.lit(-1).cast("long")))
+    dealt = with_size(split, ["i", "key", "sub"]).withColumn("trees", F.ceil(F.col("n") / TREE).cast("int"))
     dealt = dealt.withColumn("tree", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    trees = dealt.groupBy("key", "tree").agg(F.collect_list("fp").alias("fps"), F.first("trees").alias("trees"))
+    trees = dealt.groupBy("i", "key", "sub", "tree").agg(F.collect_list("fp").alias("fps"), F.first("trees").alias("trees"))
     trees = to_table(trees, "bk-trees")
     own = trees.select("fps", F.lit(None).cast("array<long>").alias("asked"))
-    many = trees.where("trees > 1").select("key", "fps", F.explode(F.expr("sequence(tree, trees - 1)")).alias("tree0"), "tree").where("tree0 > tree")
-    later = trees.where("trees > 1").select("key", F.col("tree").alias("tree0"), F.col("fps").alias("asked"))
-    across = many.join(later, ["key", "tree0"]).select("fps", "asked")
+    many = trees.where("trees > 1").select("i", "key", "sub", "fps", F.explode(F.expr("sequence(tree, trees - 1)")).alias("tree0"), "tree").where("tree0 > tree")
+    later = trees.where("trees > 1").select("i", "key", "sub", F.col("tree").alias("tree0"), F.col("fps").alias("asked"))
+    across = many.join(later, ["i", "key", "sub", "tree0"]).select("fps", "asked")
 
     def run(batches):
         as_list = lambda c: [None if x is None else np.array(x, np.int64).view(np.uint64) for x in c.to_pylist()]
@@ -232,7 +258,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id, fingerprint (16 lower-case hex digits), component_id of every document.
 
     Null, empty and blank texts have fingerprint zero and are linked like others. A text of fewer than `width` words
-    is one shingle. Repeated rows and ids are kept; rows without id get a component through the others' ids.
+    is one shingle. Repeated rows and ids are kept; rows without id get a component through the others' ids. Other columns
+    are ignored whatever their names; very long texts are read whole, one at a time; an empty table gives no rows.
     """
     prints = to_table(fingerprints(docs, doc_id=doc_id, text=text, width=width), "fingerprints")
     of = roots(prints, radius)
