@@ -53,6 +53,25 @@ def test_pii(chain):
         assert new[d] == type(r)(**{**r.asDict(), "text": text, "n_chars": len(text)})
 
 
+def test_edge_tables(spark, sf_small):
+    """Nulls, empty and very long texts, repeated rows and clashing names go through all stages."""
+    long = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+    rows = [(1, None, 0), (2, "", 0), (None, "It is a fine day, and the sun shines.", 5), (3, long, 7), (3, long, 7), (4, "It is a fine day, and the sun shines.", 5), (None, None, None)]
+    docs = spark.createDataFrame([(*r, *["x"] * 9) for r in rows], "doc_id long, text string, n_chars long, score string, row string, n_hit string, entities string, __t string, `a.b` string, root string, won string, Label string")
+    for name, stage in C.STAGES[:4]:
+        out = stage(spark, docs, sf_small)
+        assert out.columns == docs.columns and set(map(str, out.collect())) <= set(map(str, docs.collect())) or name == "pii"
+        assert stage(spark, docs.limit(0), sf_small).count() == 0
+    kept = C.near_dedup(spark, docs, sf_small).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in kept) == [(1, 0), (3, 7), (4, 5)]
+    assert C.decontaminate(spark, docs, sf_small).count() == len(rows)
+    new = C.personal_data(spark, docs, sf_small).collect()
+    assert len(new) == len(rows) and sorted(len(r.text) for r in new if r.text is not None) == sorted(r.n_chars for r in new if r.text is not None)
+    pieces = C.packing(spark, docs, sf_small).collect()
+    assert len({(r.doc_id, r.sequence_id, r.offset) for r in pieces}) == len(pieces) and {r.doc_id for r in pieces} == {None, 1, 2, 3, 4}
+    assert C.packing(spark, docs.limit(0), sf_small).count() == 0
+
+
 def test_packing_and_run(chain, spark, sf_small):
     before, after = chain[4]
     assert {r.doc_id for r in after.collect()} == set(rows(before))
