@@ -38,6 +38,12 @@ def gini(rows: DataFrame, group: str, value: str, *, name: str = "gini") -> Data
     return ranked.groupBy(group).agg(F.coalesce(F.try_divide(2 * F.sum(F.col("__i") * F.col("__x")) - (n + 1) * s, n * s), F.lit(0.0)).alias(name))
 
 
+def registered(revisions: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Revisions of registered users or, given users (user_id), of these."""
+    out = revisions.where("user_id is not null")
+    return out if users is None else out.join(users.select("user_id").distinct(), "user_id", "left_semi")
+
+
 def user_counts(revisions: DataFrame) -> DataFrame:
     return revisions.where("user_id is not null").groupBy("page_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
 

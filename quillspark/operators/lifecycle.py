@@ -103,6 +103,14 @@ def label_sustainable(pages: DataFrame) -> DataFrame:
     return pages.withColumn("is_sustainable", F.col("fa_demotion").isNull() & F.col("ga_demotion").isNull())
 
 
+def ever_badged(revisions: DataFrame, level: str | None = None, *, now: bool = False) -> DataFrame:
+    """page_id of pages that ever had a level (any if None) or, with `now`, have it in their last revision."""
+    if now:
+        last = revisions.groupBy("page_id").agg(F.max_by("level", F.struct("ts", "rev_id")).alias("level"))
+        return last.where(F.col("level").isNotNull() if level is None else F.col("level") == level).select("page_id")
+    return revisions.where(F.col("level").isNotNull() if level is None else F.col("level") == level).select("page_id").distinct()
+
+
 def level_counter(revisions: DataFrame) -> DataFrame:
     """counter: revisions for each level of a page ('none' without level)."""
     per = revisions.groupBy("page_id", F.coalesce("level", F.lit("none")).alias("level")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,8 @@
 """Editor and interaction networks of pages. Edges have page_id, src, dst, weight.
 
-Sizes, degrees and triangles are joins and aggregates over all pages at once. Distances, components and cut nodes need
-a page's whole graph: pages of up to NODES nodes are one group each; distances in larger pages are joined hop by hop.
+Sizes, degrees and triangles are joins and aggregates over all pages at once. Searches from every node (distances, closeness,
+betweenness) are split into blocks of a page's nodes. Components of pages of up to NODES nodes are one linear pass a page, those
+of larger pages are joined round by round, as are distances there.
 """
 
 from __future__ import annotations
@@ -160,27 +161,81 @@ def hop_distances(edges: DataFrame, *, hops: int | None = None) -> DataFrame:
     return known
 
 
-def closeness_stats(edges: DataFrame, distances: DataFrame) -> DataFrame:
+def reach_sums(edges: DataFrame) -> DataFrame:
+    """page_id, node, r, d: how many nodes reach a node, and their summed hops. A block of sources gives one row for each
+    node that it reaches, so no pairs leave a task."""
+    small, large = by_size(edges)
+
+    def run(batches):
+        for b in batches:
+            for page, sources, src, dst in b.itertuples(index=False):
+                near, total = neighbours(pd.DataFrame({"src": src, "dst": dst}), directed=True), {}
+                for s in sources.tolist():
+                    for t, d in reach(near, s).items():
+                        if d:
+                            r, hops = total.get(t, (0, 0))
+                            total[t] = (r + 1, hops + d)
+                yield pd.DataFrame([(page, t, r, d) for t, (r, d) in total.items()], columns=["page_id", "node", "r", "d"])
+
+    kind = edges.schema["src"].dataType.simpleString()
+    parts = source_blocks(small).mapInPandas(run, f"page_id long, node {kind}, r long, d long")
+    if large is not None:
+        parts = parts.unionByName(hop_distances(large).groupBy("page_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("distance").alias("d")))
+    return parts.groupBy("page_id", "node").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
+
+
+def closeness_stats(edges: DataFrame) -> DataFrame:
     """Incoming closeness, scaled by the share of nodes that reach the node; 0 for a node that none reaches."""
     n = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
-    per = distances.groupBy("page_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("distance").alias("d"))
-    c = nodes(edges).withColumn("n", n).join(per, ["page_id", "node"], "left")
+    c = nodes(edges).withColumn("n", n).join(reach_sums(edges), ["page_id", "node"], "left")
     value = F.coalesce(F.try_divide("r", "d") * F.try_divide("r", F.col("n") - 1), F.lit(0.0))
     return agg_stats(c.withColumn("closeness", value), "page_id", "closeness", "closeness")
 
 
-def components(edges: DataFrame, *, directed: bool = False, distances: DataFrame | None = None) -> DataFrame:
-    """page_id, node, component (its smallest node): weak, or strong (nodes that reach each other)."""
-    if directed:
-        own = nodes(edges).select("page_id", "node", F.col("node").alias("other"))
-        d = distances if distances is not None else bfs_distances(edges)
-        back = d.select("page_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        pairs = d.join(back, ["page_id", "src", "dst"]).select("page_id", F.col("src").alias("node"), F.col("dst").alias("other"))
-        return own.unionByName(pairs).groupBy("page_id", "node").agg(F.min("other").alias("component"))
+def strong_parts(near: dict) -> dict:
+    """Each node's strong component, named by its smallest node: one depth-first pass, a node's place on the stack and the
+    earliest place that it leads back to."""
+    place, back, stack, on, out = {}, {}, [], set(), {}
+    for root in near:
+        if root in place:
+            continue
+        place[root] = back[root] = len(place)
+        stack.append(root)
+        on.add(root)
+        path = [(root, iter(near[root]))]
+        while path:
+            v, rest = path[-1]
+            w = next(rest, None)
+            if w is None:
+                path.pop()
+                if path:
+                    back[path[-1][0]] = min(back[path[-1][0]], back[v])
+                if back[v] == place[v]:
+                    part = [stack.pop()]
+                    while part[-1] != v:
+                        part.append(stack.pop())
+                    on.difference_update(part)
+                    out |= dict.fromkeys(part, min(part))
+            elif w not in place:
+                place[w] = back[w] = len(place)
+                stack.append(w)
+                on.add(w)
+                path.append((w, iter(near[w])))
+            elif w in on:
+                back[v] = min(back[v], place[w])
+    return out
+
+
+def components(edges: DataFrame, *, directed: bool = False) -> DataFrame:
+    """page_id, node, component (its smallest node): weak, or strong (nodes that reach each other). Pages of up to NODES
+    nodes are one linear pass each; larger ones are joined round by round."""
     small, large = by_size(edges)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near, page, rows, seen = neighbours(pdf, directed=False), int(pdf.page_id.iloc[0]), [], set()
+        near, page = neighbours(pdf, directed=directed), int(pdf.page_id.iloc[0])
+        if directed:
+            return pd.DataFrame([(page, v, c) for v, c in strong_parts(near).items()], columns=["page_id", "node", "component"])
+        rows, seen = [], set()
         for s in sorted(near):
             if s not in seen:
                 part = reach(near, s)
@@ -190,7 +245,36 @@ def components(edges: DataFrame, *, directed: bool = False, distances: DataFrame
 
     kind = edges.schema["src"].dataType.simpleString()
     out = small.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, f"page_id long, node {kind}, component {kind}")
-    return out if large is None else out.unionByName(spread_labels(large))
+    return out if large is None else out.unionByName(strong_labels(large) if directed else spread_labels(large))
+
+
+def strong_labels(edges: DataFrame) -> DataFrame:
+    """Strong components of large pages: every node takes the smallest node that reaches it and, backwards, that it reaches; nodes
+    with one and the same of both are a component, and the rest goes on without the edges between different pairs."""
+    done, left = None, kept(edges.select("page_id", "src", "dst").distinct())
+    open_ = kept(nodes(left))
+    while True:
+        ahead = min_reach(open_, left)
+        behind = min_reach(open_, left.select("page_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = kept(ahead.withColumnRenamed("low", "a").join(behind.withColumnRenamed("low", "b"), ["page_id", "node"]))
+        found = both.where("a = b").select("page_id", "node", F.col("a").alias("component"))
+        done = kept(found if done is None else done.unionByName(found))
+        open_ = kept(both.where("a <> b").select("page_id", "node"))
+        if open_.isEmpty():
+            return done
+        side = lambda c: both.where("a <> b").select("page_id", F.col("node").alias(c), F.struct("a", "b").alias(f"{c}_of"))
+        left = kept(left.join(side("src"), ["page_id", "src"]).join(side("dst"), ["page_id", "dst"]).where("src_of = dst_of").select("page_id", "src", "dst"))
+
+
+def min_reach(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """page_id, node, low: the smallest node from which a node is reached, itself included."""
+    low = kept(own.withColumn("low", F.col("node")))
+    while True:
+        pushed = edges.join(low.withColumnRenamed("node", "src"), ["page_id", "src"]).select("page_id", F.col("dst").alias("node"), "low")
+        nxt = kept(low.unionByName(pushed).groupBy("page_id", "node").agg(F.min("low").alias("low")))
+        if nxt.join(low, ["page_id", "node", "low"], "left_anti").isEmpty():
+            return nxt
+        low = nxt
 
 
 def spread_labels(edges: DataFrame) -> DataFrame:
@@ -289,23 +373,28 @@ def betweenness_scores(edges: DataFrame) -> DataFrame:
     return nodes(edges).withColumn("scale", scale).join(total, ["page_id", "node"], "left").select("page_id", "node", (F.coalesce("part", F.lit(0.0)) / F.col("scale")).alias("betweenness"))
 
 
-def page_graphs(edges: DataFrame) -> DataFrame:
-    """articulation_points, is_biconnected and node betweenness statistics. Exact for all. Cut nodes are one search of a page's whole
-    graph (n + m steps) in one group; betweenness (n m steps) is split into blocks of sources."""
+def cut_counts(edges: DataFrame) -> DataFrame:
+    """articulation_points and is_biconnected of each page. One search of a page's whole graph (n + m steps) in one group; its
+    rows are distinct undirected edges, so it grows with the page's editors, not with its edits."""
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         cuts, whole = cut_nodes(neighbours(pdf, directed=False))
         return pd.DataFrame([(int(pdf.page_id.iloc[0]), len(cuts), int(whole))])
 
-    cuts = edges.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, "page_id long, articulation_points long, is_biconnected int")
-    return cuts.join(agg_stats(betweenness_scores(edges), "page_id", "betweenness", "betweenness"), "page_id")
+    least = edges.select("page_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return least.groupBy("page_id").applyInPandas(one, "page_id long, articulation_points long, is_biconnected int")
+
+
+def betweenness_stats(edges: DataFrame) -> DataFrame:
+    """Node betweenness; its n m steps are split into blocks of sources."""
+    return agg_stats(betweenness_scores(edges), "page_id", "betweenness", "betweenness")
 
 
 def network_features(edges: DataFrame) -> DataFrame:
     """The 27 NETWORK_ columns of pages with edges: 6 of structure, 15 statistics, 6 of components."""
     edges = edges.cache()
-    d = bfs_distances(edges).cache()
     out = graph_size(edges).join(triangle_count(edges), "page_id")
-    for block in (degree_stats(edges), degree_centrality_stats(edges), closeness_stats(edges, d), page_graphs(edges),
-                  component_summary(components(edges), over=2, prefix="weak"), component_summary(components(edges, directed=True, distances=d), over=1, prefix="strong")):
+    for block in (degree_stats(edges), degree_centrality_stats(edges), closeness_stats(edges), cut_counts(edges), betweenness_stats(edges),
+                  component_summary(components(edges), over=2, prefix="weak"), component_summary(components(edges, directed=True), over=1, prefix="strong")):
         out = out.join(block, "page_id", "left")
     return out.select("page_id", *(F.col(c).alias(f"NETWORK_{c}") for c in out.columns if c != "page_id"))

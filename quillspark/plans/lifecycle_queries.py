@@ -143,13 +143,14 @@ def register_all(register) -> None:
 SELECT CAST(source AS BIGINT) AS source, count(*) AS n, count(DISTINCT c) AS pages FROM t GROUP BY source UNION ALL SELECT -1, count(*), count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
     register("skip_processed", lambda s, sf: S.skip_processed(rev(s, sf), V.lists(s, sf)).groupBy("page_id").agg(F.count("*").alias("n")), w(f"{V.REVISIONS}, {V.LISTS}", "SELECT page_id, count(*) AS n FROM revisions WHERE page_id NOT IN (SELECT page_id FROM lists) GROUP BY page_id"))
     register("project_revisions", lambda s, sf: S.project_revisions(raw_revisions(s, sf).withColumn("page_id", F.lit(1).cast("long"))).select("rev_id", "ts", "user_id", "text_len", "level"), w(V.REVISIONS, f"SELECT rev_id, {iso('ts')} AS ts, user_id, CAST(3 AS BIGINT) AS text_len, level FROM revisions"))
-    register("filter_ever_badged", lambda s, sf: rev(s, sf).where("level is not null").select("page_id").distinct(), w(V.REVISIONS, "SELECT DISTINCT page_id FROM revisions WHERE level IS NOT NULL"))
+    ever = lambda s, sf: L.ever_badged(rev(s, sf), "fa", now=False).unionByName(L.ever_badged(rev(s, sf), "ga", now=True)).unionByName(L.ever_badged(rev(s, sf)))
+    register("filter_ever_badged", lambda s, sf: ever(s, sf).groupBy("page_id").agg(F.count("*").alias("n")), w(f"{V.REVISIONS}, lt AS (SELECT page_id, arg_max(coalesce(level, '-'), (ts, rev_id)) AS now FROM revisions GROUP BY 1)", "SELECT page_id, count(*) AS n FROM (SELECT DISTINCT page_id FROM revisions WHERE level = 'fa' UNION ALL SELECT page_id FROM lt WHERE now = 'ga' UNION ALL SELECT DISTINCT page_id FROM revisions WHERE level IS NOT NULL) GROUP BY 1"))
     register("distinct_ids", lambda s, sf: rev(s, sf).select("user_id").distinct(), w(V.REVISIONS, "SELECT DISTINCT user_id FROM revisions"))
     register("filter_until_promotion", lambda s, sf: until(s, sf).groupBy("page_id").agg(F.count("*").alias("n"), F.max("ts").alias("last")), w(TIMELINE, f"SELECT page_id, count(*) AS n, {iso('max(ts)')} AS last FROM revisions JOIN timeline USING (page_id) WHERE ts < fa_promotion GROUP BY page_id"))
     first = "f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ts, rev_id) AS rn FROM revisions)"
     register("first_n_per_group", lambda s, sf: until(s, sf, first=100).groupBy("page_id").agg(F.count("*").alias("n"), F.max("ts").alias("last")), w(f"{TIMELINE}, {first}", f"SELECT page_id, count(*) AS n, {iso('max(ts)')} AS last FROM f JOIN timeline USING (page_id) WHERE ts < fa_promotion AND rn <= 100 GROUP BY page_id"))
     register("filter_until_demotion", lambda s, sf: until(s, sf, "fa_demotion").groupBy("page_id").agg(F.count("*").alias("n"), F.max("ts").alias("last")), w(TIMELINE, f"SELECT page_id, count(*) AS n, {iso('max(ts)')} AS last FROM revisions JOIN timeline USING (page_id) WHERE ts < fa_demotion GROUP BY page_id"))
-    register("filter_registered_users", lambda s, sf: V.edits(s, sf).where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("n")), w(V.EDITS, "SELECT user_id, count(*) AS n FROM edits WHERE user_id IS NOT NULL GROUP BY user_id"))
+    register("filter_registered_users", lambda s, sf: E.registered(V.edits(s, sf), required(s, sf)).groupBy("user_id").agg(F.count("*").alias("n")), w(V.EDITS, "SELECT user_id, count(*) AS n FROM edits WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) GROUP BY user_id"))
     register("days_since_prev", lambda s, sf: L.days_since_prev(rev(s, sf)).select("page_id", "rev_id", "days"), w(RUNS, "SELECT page_id, rev_id, CAST(days AS BIGINT) AS days FROM m"))
     register("level_runs", lambda s, sf: L.level_runs(rev(s, sf)), w(RUNS, f"SELECT page_id, run, level, n_revisions, n_days, {iso('start')} AS start, start_rev FROM runs"))
     cols = "page_id, run, start_rev, {t} AS ts, from_level, to_level, revisions_in_prev, days_in_prev, revisions_in_to, days_in_to".format(t=iso("ts"))
@@ -199,16 +200,26 @@ SELECT CAST(source AS BIGINT) AS source, count(*) AS n, count(DISTINCT c) AS pag
     for name in ("credibility_score", "experience_score"):
         register(name, lambda s, sf: E.ledger_scores(editors(s, sf), ledger(s, sf)), w(f"{ledger_sql}, {past}", scored))
     register("credit_history_join", lambda s, sf: E.history_join(editors(s, sf), ledger(s, sf), "date").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("credit").alias("credit")), w(ledger_sql, "SELECT u.page_id, count(*) AS n, round(sum(l.credit), 6) AS credit FROM up u JOIN d ON d.page_id = u.page_id JOIN ledger l ON l.user_id = u.user_id AND l.date <= d.promotion AND l.page_id <> u.page_id GROUP BY 1"))
-    site = f"{TIMELINE}, {dates}, {shares('up', 'promotion')}, hit AS (SELECT u.page_id, u.user_id, r.page_id AS other FROM up u JOIN d ON d.page_id = u.page_id JOIN revisions r ON r.user_id = u.user_id AND r.ts <= d.promotion AND r.page_id <> u.page_id)"
+    hit = "hit AS (SELECT u.page_id, u.user_id, r.page_id AS other FROM up u JOIN d ON d.page_id = u.page_id JOIN revisions r ON r.user_id = u.user_id AND r.ts <= d.promotion AND r.page_id <> u.page_id)"
+    site = f"{TIMELINE}, {dates}, {shares('up', 'promotion')}, {hit}"
+    activity = "SELECT page_id, round(coalesce(p, 0) / k, 6) AS other_pages, round(coalesce(e, 0) / k, 6) AS other_edits, round(coalesce(u, 0) / k, 6) AS active_users FROM (SELECT page_id, count(*) AS k FROM up GROUP BY 1) LEFT JOIN (SELECT page_id, count(DISTINCT other) AS p, count(*) AS e, count(DISTINCT user_id) AS u FROM hit GROUP BY 1) USING (page_id)"
     log = lambda s, sf: rev(s, sf).select("user_id", "page_id", F.col("ts").alias("timestamp"))
-    register("site_activity", lambda s, sf: E.site_activity(editors(s, sf), log(s, sf)), w(site, "SELECT page_id, round(coalesce(p, 0) / k, 6) AS other_pages, round(coalesce(e, 0) / k, 6) AS other_edits, round(coalesce(u, 0) / k, 6) AS active_users FROM (SELECT page_id, count(*) AS k FROM up GROUP BY 1) LEFT JOIN (SELECT page_id, count(DISTINCT other) AS p, count(*) AS e, count(DISTINCT user_id) AS u FROM hit GROUP BY 1) USING (page_id)"))
+    register("site_activity", lambda s, sf: E.site_activity(editors(s, sf), log(s, sf)), w(site, activity))
     register("site_history_join", lambda s, sf: E.history_join(editors(s, sf), log(s, sf), "timestamp").groupBy("page_id").agg(F.count("*").alias("n")), w(site, "SELECT page_id, count(*) AS n FROM hit GROUP BY 1"))
-    register("experience_features", lambda s, sf: E.experience_features(fa_dates(s, sf), {"promotion": until(s, sf), "demotion": until(s, sf, "fa_demotion")}, ledger(s, sf), log(s, sf)))
+    down_past = past.replace("past AS", "past_d AS").replace("FROM up u", "FROM down u").replace("d.promotion", "d.demotion")
+    down_scored = scored.replace("FROM up u LEFT JOIN past p", "FROM down u LEFT JOIN past_d p")
+    at = lambda sql, event: f"SELECT page_id, COLUMNS(lambda c: c <> 'page_id') AS '\\0_{event}' FROM ({sql})"
+    experience = f"SELECT * FROM (SELECT page_id FROM timeline) LEFT JOIN ({at(scored, 'promotion')}) USING (page_id) LEFT JOIN ({activity}) USING (page_id) LEFT JOIN ({at(down_scored, 'demotion')}) USING (page_id)"
+    register("experience_features", lambda s, sf: E.experience_features(fa_dates(s, sf), {"promotion": until(s, sf), "demotion": until(s, sf, "fa_demotion")}, ledger(s, sf), log(s, sf)), w(f"{ledger_sql}, {past}, {down_past}, {hit}", experience))
     register("edit_features", lambda s, sf: E.edit_features(until(s, sf), L.dump_timeline(rev(s, sf)).withColumn("promotion", F.col("fa_promotion"))), w(TIMELINE, f"""SELECT page_id, count(DISTINCT user_id) AS EDIT_num_authors, round(count(DISTINCT user_id) / greatest(1, count(*)), 6) AS EDIT_num_authors_normalized, count(*) AS EDIT_num_revisions,
  round(count(*) / greatest(1, {fd('max(ts)', 'min(ts)')}), 6) AS EDIT_num_revisions_normalized, min({fd('fa_promotion', 'creation')}) AS EDIT_time_to_promotion, CAST(CAST(min(coalesce(ga_promotion < fa_promotion, FALSE)) AS INTEGER) AS BIGINT) AS EDIT_used_to_be_good
  FROM revisions JOIN timeline USING (page_id) WHERE ts < fa_promotion GROUP BY page_id"""))
 
 
+def required(spark, sf):
+    return V.read(spark, sf, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("user_id"))
+
+
 def fa_dates(spark, sf):
     return L.dump_timeline(V.revisions(spark, sf)).select("page_id", F.col("fa_promotion").alias("promotion"), F.col("fa_demotion").alias("demotion"))
 

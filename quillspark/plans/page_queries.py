@@ -13,22 +13,59 @@ from ..operators import wikitext as W
 from ..operators.scoring import score_texts
 from . import views as V
 
-EDGES = f"""{V.EDITS},
-pv AS (SELECT *, lag(user_id) OVER (PARTITION BY page_id ORDER BY ts, rev_id) AS prev_user FROM edits),
+# The editor network of `edits`, whatever view that is.
+GRAPH = """pv AS (SELECT *, lag(user_id) OVER (PARTITION BY page_id ORDER BY ts, rev_id) AS prev_user FROM edits),
 edges AS (SELECT page_id, user_id AS src, prev_user AS dst, count(*) AS weight FROM pv WHERE user_id IS NOT NULL AND prev_user IS NOT NULL GROUP BY ALL),
 nodes AS (SELECT page_id, src AS node FROM edges UNION SELECT page_id, dst FROM edges),
 und AS (SELECT DISTINCT page_id, least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst)"""
-DEG = f"""{EDGES}, deg AS (SELECT page_id, node, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM nodes LEFT JOIN (SELECT page_id, dst AS node, count(*) AS i FROM edges GROUP BY ALL) USING (page_id, node)
- LEFT JOIN (SELECT page_id, src AS node, count(*) AS o FROM edges GROUP BY ALL) USING (page_id, node))"""
-DIST = EDGES.replace("edits AS", "RECURSIVE edits AS", 1) + """,
-bfs AS (SELECT page_id, src, dst, 1 AS d FROM edges WHERE src <> dst UNION SELECT b.page_id, b.src, e.dst, b.d + 1 FROM bfs b JOIN edges e ON e.page_id = b.page_id AND e.src = b.dst WHERE b.d < 12 AND e.dst <> b.src AND e.dst <> e.src),
-dist AS (SELECT page_id, src, dst, min(d) AS distance FROM bfs GROUP BY ALL)"""
+EDGES = f"{V.EDITS},\n{GRAPH}"
+DEGREES = """deg AS (SELECT page_id, node, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM nodes LEFT JOIN (SELECT page_id, dst AS node, count(*) AS i FROM edges GROUP BY ALL) USING (page_id, node)
+ LEFT JOIN (SELECT page_id, src AS node, count(*) AS o FROM edges GROUP BY ALL) USING (page_id, node)),
+cen AS (SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY page_id) <= 1 THEN 1 ELSE (in_degree + out_degree) / (count(*) OVER (PARTITION BY page_id) - 1) END AS c FROM deg)"""
+DEG = f"{EDGES}, {DEGREES}"
+# Hops and numbers of shortest paths: a row is made once, when its pair is first reached.
+HOPS = """step AS MATERIALIZED (SELECT page_id, src, dst FROM edges WHERE src <> dst),
+bfs(page_id, src, dst, distance, paths) USING KEY (page_id, src, dst) AS (SELECT page_id, src, dst, 1, CAST(1 AS DOUBLE) FROM step
+ UNION SELECT b.page_id, b.src, e.dst, min(b.distance) + 1, sum(b.paths) FROM bfs b JOIN step e ON e.page_id = b.page_id AND e.src = b.dst
+ LEFT JOIN recurring.bfs r ON r.page_id = b.page_id AND r.src = b.src AND r.dst = e.dst WHERE r.distance IS NULL AND e.dst <> b.src GROUP BY b.page_id, b.src, e.dst),
+dist AS MATERIALIZED (FROM bfs),
+clo AS (SELECT page_id, node, coalesce(r / s * r / nullif(count(*) OVER (PARTITION BY page_id) - 1, 0), 0) AS c FROM nodes LEFT JOIN (SELECT page_id, dst AS node, count(*) AS r, sum(distance) AS s FROM dist GROUP BY ALL) USING (page_id, node)),
+mutual AS (SELECT page_id, node, node AS other FROM nodes UNION SELECT a.page_id, a.src, a.dst FROM dist a JOIN dist b ON b.page_id = a.page_id AND b.src = a.dst AND b.dst = a.src),
+scc AS (SELECT page_id, component, count(*) AS n FROM (SELECT page_id, node, min(other) AS component FROM mutual GROUP BY ALL) GROUP BY ALL),
+through AS (SELECT a.page_id, a.dst AS node, sum(a.paths * b.paths / c.paths) AS x FROM dist a JOIN dist b ON b.page_id = a.page_id AND b.src = a.dst AND b.dst <> a.src
+ JOIN dist c ON c.page_id = a.page_id AND c.src = a.src AND c.dst = b.dst AND c.distance = a.distance + b.distance GROUP BY ALL),
+btw AS (SELECT page_id, coalesce(x, 0) / CASE WHEN n > 2 THEN (n - 1) * (n - 2) ELSE 1 END AS c FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM nodes) LEFT JOIN through USING (page_id, node))"""
+# Weak components; cut nodes: from one neighbour of a node, in the graph without the node, another neighbour is not reached.
+CUTS = """sym AS MATERIALIZED (SELECT page_id, a, b FROM und UNION SELECT page_id, b, a FROM und),
+reach AS (SELECT page_id, node, node AS r FROM nodes UNION SELECT reach.page_id, reach.node, sym.b FROM reach JOIN sym ON sym.page_id = reach.page_id AND sym.a = reach.r),
+sz AS MATERIALIZED (SELECT page_id, component, count(*) AS n FROM (SELECT page_id, node, min(r) AS component FROM reach GROUP BY ALL) GROUP BY ALL),
+rest AS (SELECT page_id, a AS gone, min(b) AS r FROM sym GROUP BY ALL UNION SELECT rest.page_id, rest.gone, sym.b FROM rest JOIN sym ON sym.page_id = rest.page_id AND sym.a = rest.r AND sym.b <> rest.gone),
+art AS (SELECT page_id, count(*) AS n FROM (SELECT DISTINCT page_id, a FROM sym WHERE NOT EXISTS (FROM rest WHERE rest.page_id = sym.page_id AND rest.gone = sym.a AND rest.r = sym.b)) GROUP BY ALL),
+cut AS (SELECT page_id, coalesce(art.n, 0) AS articulation_points, CAST(coalesce(art.n, 0) = 0 AND k = 1 AND m > 1 AS BIGINT) AS is_biconnected FROM (SELECT page_id, count(*) AS k, CAST(sum(n) AS BIGINT) AS m FROM sz GROUP BY 1) LEFT JOIN art USING (page_id))"""
+SIZE = "SELECT page_id, m AS num_edges, n AS num_nodes, round(coalesce(m / nullif(n * (n - 1), 0), 0), 6) AS density FROM (SELECT page_id, count(*) AS m FROM edges GROUP BY 1) JOIN (SELECT page_id, count(*) AS n FROM nodes GROUP BY 1) USING (page_id)"
+TRIANGLES = "SELECT page_id, coalesce(t, 0) AS triangles FROM (SELECT DISTINCT page_id FROM edges) LEFT JOIN (SELECT x.page_id, count(*) AS t FROM und x JOIN und y ON y.page_id = x.page_id AND y.a = x.b JOIN und z ON z.page_id = x.page_id AND z.a = x.a AND z.b = y.b GROUP BY 1) USING (page_id)"
+
+
+def recursive(cte: str) -> str:
+    return f"RECURSIVE {cte}"
 
 
 def stats(c: str, p: str) -> str:
     return f"round(avg({c}), 6) AS {p}_mean, round(median({c}), 6) AS {p}_median, round(CASE WHEN count({c}) = 1 THEN 0 ELSE stddev_samp({c}) END, 6) AS {p}_stdev"
 
 
+def summary(table: str, prefix: str, over: int) -> str:
+    return f"SELECT page_id, count(*) AS {prefix}_components, count(*) FILTER (n > {over}) AS {prefix}_large_components, max(n) AS {prefix}_max_size FROM {table} GROUP BY page_id"
+
+
+def network_sql() -> str:
+    """The NETWORK_ columns, of the views of GRAPH, DEGREES, HOPS and CUTS."""
+    of = lambda cols, table: f"SELECT page_id, {cols} FROM {table} GROUP BY page_id"
+    parts = [TRIANGLES, of(f"{stats('in_degree', 'in_degree')}, {stats('out_degree', 'out_degree')}", "deg"), of(stats("c", "centrality"), "cen"), of(stats("c", "closeness"), "clo"), "FROM cut", of(stats("c", "betweenness"), "btw"), summary("sz", "weak", 2), summary("scc", "strong", 1)]
+    joined = f"({SIZE})" + "".join(f" LEFT JOIN ({p}) USING (page_id)" for p in parts)
+    return f"SELECT page_id, COLUMNS(lambda c: c <> 'page_id') AS 'NETWORK_\\0' FROM (SELECT * FROM {joined})"
+
+
 def edges(spark, sf):
     return N.editor_edges(V.edits(spark, sf))
 
@@ -89,21 +126,20 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
     # networks
     register("prev_author", lambda s, sf: N.prev_author(ed(s, sf)).select("page_id", "rev_id", "prev_user"), w(EDGES, "SELECT page_id, rev_id, prev_user FROM pv"))
     register("editor_edges", edges, w(EDGES, "SELECT page_id, src, dst, weight FROM edges"))
-    size = "SELECT page_id, m AS num_edges, n AS num_nodes, round(coalesce(m / nullif(n * (n - 1), 0), 0), 6) AS density FROM (SELECT page_id, count(*) AS m FROM edges GROUP BY 1) JOIN (SELECT page_id, count(*) AS n FROM nodes GROUP BY 1) USING (page_id)"
     for name in ("graph_size", "graph_density"):
-        register(name, lambda s, sf: N.graph_size(edges(s, sf)), w(EDGES, size))
-    register("triangle_count", lambda s, sf: N.triangle_count(edges(s, sf)), w(EDGES, "SELECT page_id, coalesce(t, 0) AS triangles FROM (SELECT DISTINCT page_id FROM edges) LEFT JOIN (SELECT x.page_id, count(*) AS t FROM und x JOIN und y ON y.page_id = x.page_id AND y.a = x.b JOIN und z ON z.page_id = x.page_id AND z.a = x.a AND z.b = y.b GROUP BY 1) USING (page_id)"))
+        register(name, lambda s, sf: N.graph_size(edges(s, sf)), w(EDGES, SIZE))
+    register("triangle_count", lambda s, sf: N.triangle_count(edges(s, sf)), w(EDGES, TRIANGLES))
     register("degree_stats", lambda s, sf: N.degree_stats(edges(s, sf)), by(DEG, f"{stats('in_degree', 'in_degree')}, {stats('out_degree', 'out_degree')}", "deg"))
-    register("degree_centrality_stats", lambda s, sf: N.degree_centrality_stats(edges(s, sf)), by(DEG + ", cen AS (SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY page_id) <= 1 THEN 1 ELSE (in_degree + out_degree) / (count(*) OVER (PARTITION BY page_id) - 1) END AS c FROM deg)", stats("c", "centrality"), "cen"))
-    register("bfs_distances", lambda s, sf: N.bfs_distances(edges(s, sf)), w(DIST, "SELECT page_id, src, dst, CAST(distance AS BIGINT) AS distance FROM dist"))
-    register("closeness_stats", lambda s, sf: N.closeness_stats(edges(s, sf), N.bfs_distances(edges(s, sf))), by(DIST + ", clo AS (SELECT page_id, node, coalesce(r / s * r / nullif(count(*) OVER (PARTITION BY page_id) - 1, 0), 0) AS c FROM nodes LEFT JOIN (SELECT page_id, dst AS node, count(*) AS r, sum(distance) AS s FROM dist GROUP BY ALL) USING (page_id, node))", stats("c", "closeness"), "clo"))
-    weak = EDGES.replace("edits AS", "RECURSIVE edits AS", 1) + """, sym AS (SELECT page_id, a, b FROM und UNION SELECT page_id, b, a FROM und),
-reach AS (SELECT page_id, node, node AS r FROM nodes UNION SELECT reach.page_id, reach.node, sym.b FROM reach JOIN sym ON sym.page_id = reach.page_id AND sym.a = reach.r), cm AS (SELECT page_id, node, min(r) AS component FROM reach GROUP BY ALL), sz AS (SELECT page_id, component, count(*) AS n FROM cm GROUP BY ALL)"""
-    register("connected_components", lambda s, sf: N.component_summary(N.components(edges(s, sf)), over=2, prefix="weak"), by(weak, "count(*) AS weak_components, count(*) FILTER (n > 2) AS weak_large_components, max(n) AS weak_max_size", "sz"))
-    register("strong_components", lambda s, sf: N.component_summary(N.components(edges(s, sf), directed=True), over=1, prefix="strong"))
-    for name, cols in (("betweenness_stats", ("betweenness_mean", "betweenness_median", "betweenness_stdev")), ("articulation_points", ("articulation_points",)), ("is_biconnected", ("is_biconnected",))):
-        register(name, lambda s, sf, cols=cols: N.page_graphs(edges(s, sf)).select("page_id", *cols))
-    register("network_features", lambda s, sf: N.network_features(edges(s, sf)))
+    register("degree_centrality_stats", lambda s, sf: N.degree_centrality_stats(edges(s, sf)), by(DEG, stats("c", "centrality"), "cen"))
+    hops, cuts = recursive(f"{EDGES}, {HOPS}"), recursive(f"{EDGES}, {CUTS}")
+    register("bfs_distances", lambda s, sf: N.bfs_distances(edges(s, sf)), w(hops, "SELECT page_id, src, dst, CAST(distance AS BIGINT) AS distance FROM dist"))
+    register("closeness_stats", lambda s, sf: N.closeness_stats(edges(s, sf)), by(hops, stats("c", "closeness"), "clo"))
+    register("connected_components", lambda s, sf: N.component_summary(N.components(edges(s, sf)), over=2, prefix="weak"), w(cuts, summary("sz", "weak", 2)))
+    register("strong_components", lambda s, sf: N.component_summary(N.components(edges(s, sf), directed=True), over=1, prefix="strong"), w(hops, summary("scc", "strong", 1)))
+    register("betweenness_stats", lambda s, sf: N.betweenness_stats(edges(s, sf)), by(hops, stats("c", "betweenness"), "btw"))
+    for name in ("articulation_points", "is_biconnected"):
+        register(name, lambda s, sf, name=name: N.cut_counts(edges(s, sf)).select("page_id", name), w(cuts, f"SELECT page_id, {name} FROM cut"))
+    register("network_features", lambda s, sf: N.network_features(edges(s, sf)), w(recursive(f"{EDGES}, {DEGREES}, {HOPS}, {CUTS}"), network_sql()))
     # discussions
     cm = V.COMMENTS
     register("require_comments", lambda s, sf: D.comment_rows(threads(s, sf)).groupBy("page_id").agg(F.count("pos").alias("n"), F.count("time").alias("timed")), by(cm, "count(*) AS n, count(*) AS timed", "comments"))
@@ -122,7 +158,24 @@ reach AS (SELECT page_id, node, node AS r FROM nodes UNION SELECT reach.page_id,
     register("interaction_edges", lambda s, sf: D.interaction_edges(co(s, sf), "refers_to"), w(cm, "SELECT DISTINCT page_id, author AS src, refers_to AS dst FROM comments WHERE refers_to IS NOT NULL"))
     register("score_overall", lambda s, sf: D.score_overall(co(s, sf)), by(cm, ", ".join([f"round(avg({x}), 6) AS {x}_mean" for x in D.SCORES] + [f"round(avg(CAST({t} AS INTEGER)), 6) AS {n}_share" for n, _, t in D.SHARES]), "comments"))
     register("score_per_user", lambda s, sf: D.score_per_user(co(s, sf)), by(cm + ", us AS (SELECT page_id, author, " + ", ".join(f"avg({x}) AS {x}" for x in D.SCORES) + " FROM comments GROUP BY ALL)", ", ".join(f"round({f}({x}), 6) AS user_{x}_{n}" for x in D.SCORES for f, n in (("avg", "mean"), ("median", "median"))), "us"))
-    register("discussion_features", lambda s, sf: D.discussion_features(co(s, sf)))
+    graph = lambda to, name: f"""SELECT page_id, round(coalesce(t / k, 0), 6) AS {name} FROM (SELECT DISTINCT page_id FROM comments) LEFT JOIN (
+ WITH ie AS (SELECT DISTINCT page_id, author AS src, {to} AS dst FROM comments WHERE {to} IS NOT NULL), iu AS (SELECT DISTINCT page_id, least(src, dst) AS a, greatest(src, dst) AS b FROM ie WHERE src <> dst)
+ SELECT page_id, k, coalesce(t, 0) AS t FROM (SELECT page_id, count(DISTINCT x) AS k FROM (SELECT page_id, unnest([src, dst]) AS x FROM ie) GROUP BY 1)
+ LEFT JOIN (SELECT x.page_id, count(*) AS t FROM iu x JOIN iu y ON y.page_id = x.page_id AND y.a = x.b JOIN iu z ON z.page_id = x.page_id AND z.a = x.a AND z.b = y.b GROUP BY 1) USING (page_id)) USING (page_id)"""
+    talks = "CAST((coalesce(length(text), 0) - length(replace(coalesce(text, ''), 'talk', ''))) / 4 AS BIGINT)"
+    au = "au AS (SELECT page_id, author, count(*) AS n FROM comments GROUP BY ALL)"
+    of = lambda cols, table="comments": f"SELECT page_id, {cols} FROM {table} GROUP BY page_id"
+    blocks = [
+        of("round(avg(d), 6) AS avg_depth, round(avg(z), 6) AS depth_zero_avg", "th"), of("round(avg(CAST(t1 IS NULL AS INTEGER)), 6) AS unreplied, round(avg(t1 - t0), 6) AS reply_seconds", "fr"),
+        of("count(DISTINCT (author, refers_to)) FILTER (refers_to IS NOT NULL) AS direct, count(DISTINCT (author, root_author)) FILTER (root_author IS NOT NULL) AS indirect"),
+        of(f"CAST(sum(CAST({talks} > 1 AS INTEGER)) AS BIGINT) AS mixed"), graph("refers_to", "direct_triangles"), graph("root_author", "indirect_triangles"),
+        of(", ".join([f"round(avg({x}), 6) AS {x}_mean" for x in D.SCORES] + [f"round(avg(CAST({t} AS INTEGER)), 6) AS {n}_share" for n, _, t in D.SHARES])),
+        of(", ".join(f"round({f}({x}), 6) AS user_{x}_{n}" for x in D.SCORES for f, n in (("avg", "mean"), ("median", "median"))), "us"),
+        "SELECT a.page_id, round(sum(abs(a.n - b.n)) / 2.0 / any_value(k * k) / any_value(mu), 6) AS gini FROM au a JOIN au b ON a.page_id = b.page_id JOIN (SELECT page_id, count(*) AS k, avg(n) AS mu FROM au GROUP BY 1) z ON z.page_id = a.page_id GROUP BY a.page_id",
+    ]
+    fr = "fr AS (SELECT r.page_id, r.comment_id, any_value(r.time) AS t0, min(c.time) AS t1 FROM comments r LEFT JOIN comments c ON c.thread = r.thread AND c.root_id = r.comment_id AND c.pos > r.pos AND c.depth <> 0 WHERE r.depth = 0 GROUP BY ALL)"
+    us = "us AS (SELECT page_id, author, " + ", ".join(f"avg({x}) AS {x}" for x in D.SCORES) + " FROM comments GROUP BY ALL)"
+    register("discussion_features", lambda s, sf: D.discussion_features(co(s, sf)), w(f"{th}, {fr}, {us}, {au}", "SELECT page_id, COLUMNS(lambda c: c <> 'page_id') AS 'DISCUSSIONS_\\0' FROM (SELECT * FROM (" + counts + ")" + "".join(f" LEFT JOIN ({x}) USING (page_id)" for x in blocks) + ")"))
     def talk_until(s, sf):
         rows = D.filter_before(co(s, sf), co(s, sf).select("page_id").distinct().withColumn("cutoff", F.timestamp_seconds(F.lit(cut))))
         return D.thread_counts(rows).join(D.thread_depth(rows), "page_id").join(D.interaction_counts(rows), "page_id").select("page_id", "num_discussions", "num_comments", "avg_depth", "direct", "indirect")

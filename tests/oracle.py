@@ -47,7 +47,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
 
     sf = sys.argv[1]
-    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con, sqls = connect(sf), e.oracle_sql()
     skip = ("op", "pipeline")

@@ -55,5 +55,5 @@ def test_page_is_split(spark, monkeypatch):
     want = network.betweenness(near)
     got = {r.node: r.betweenness for r in network.betweenness_scores(e).collect()}
     assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-9) for v in want)
-    whole = network.page_graphs(e).first()
+    whole = network.betweenness_stats(e).first()
     assert whole.betweenness_mean == pytest.approx(sum(want.values()) / 60, abs=1e-9)
