@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+BROADCAST = 1 << 20  # rows of a few numbers that are broadcast at most, about 40 MB
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
     sc = spark.sparkContext
@@ -61,6 +64,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator
             at += step
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task for one operator; what it has kept for others goes first, so that a reused
+    worker never holds the tables of two."""
+    for k in [k for k in _held if k[0] != owner]:
+        del _held[k]
+    if (owner, key) not in _held:
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
 def packed(docs: DataFrame, text: str, leave_out: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """(`row`, a struct of all columns but those left out (whatever the case), and `text` as a string; the struct's columns).
     Inside an operator no name of the input can then clash with another."""
@@ -95,8 +111,8 @@ def keep_winners(docs: DataFrame, rooted: DataFrame, key: Callable[[str | None],
     """docs with one row of each root. rooted: doc_id, t, root of every row, where t is key(text), an unsigned 64-bit number.
 
     The row of the smallest doc_id stays (nulls last, then the smallest t). Rows are known by doc_id and t, which are
-    computed from the row itself and so are the same in a retried task. The others are taken out by an anti-join, which
-    broadcasts them if they are few; rows equal in doc_id and t are folded with partial sums.
+    computed from the row itself and so are the same in a retried task. The others are taken out by an anti-join, a
+    broadcast one if they are BROADCAST or fewer; rows equal in doc_id and t are folded with partial sums.
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t"))
     per = to_table(rooted.groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("n")), "near-rows")
@@ -115,6 +131,8 @@ def keep_winners(docs: DataFrame, rooted: DataFrame, key: Callable[[str | None],
     same = lambda other: F.col("d").eqNullSafe(other["__d"]) & (F.col("k") == other["__k"])
     plain = lambda df: df.select(*(F.col(f"row.`{c}`").alias(c) for c in kept))
     lost = judged.where("not won or n > 1")
+    if lost.count() <= BROADCAST:
+        lost = F.broadcast(lost)
     out = plain(keyed.join(lost, same(lost), "left_anti"))
     twice = judged.where("won and n > 1")
     if twice.isEmpty():

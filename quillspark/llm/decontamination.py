@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, slices
+from .common import held, packed, slices
 
 WINDOWS = 1 << 17
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FIELDS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 MATCHES = pa.list_(pa.struct([("word", pa.int32()), ("n", pa.int32()), ("item", pa.string())]))
-_built: dict[tuple[str, int], "Scanner"] = {}
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,11 +74,7 @@ class Scanner:
 
 def scanner(key: tuple[str, int], items: list[tuple[str | None, str]], n: int) -> Scanner:
     """The scanner of a (job, shard); those of other jobs are dropped."""
-    if key not in _built:
-        for old in [k for k in _built if k[0] != key[0]]:
-            del _built[old]
-        _built[key] = Scanner(items, n)
-    return _built[key]
+    return held(f"decontamination {key[0]}", key[1], lambda: Scanner(items, n))
 
 
 def summary(text: str | None, n_words: int, found: list[tuple[int, int, str | None]]) -> tuple:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices
 
 CHUNK = 256
 STRIDE = 4  # characters that one step of a chunk's state map reads
@@ -350,13 +350,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
-_machines: dict[tuple[str, bool], BpeTransducer] = {}
-
-
 def machine(path: str, ids: bool = False, ranges: tuple[np.ndarray, np.ndarray] | None = None) -> BpeTransducer:
-    if (path, ids) not in _machines:
-        _machines[path, ids] = BpeTransducer(path, ids, ranges)
-    return _machines[path, ids]
+    return held("tokens", (path, ids), lambda: BpeTransducer(path, ids, ranges))
 
 
 def pre_tokens(texts: list[str | None], m: BpeTransducer):

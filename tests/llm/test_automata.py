@@ -1,5 +1,6 @@
 """Automata of one benchmark are never used for another."""
 
+from quillspark.llm import common
 from quillspark.llm import decontamination as D
 
 
@@ -12,11 +13,11 @@ def test_two_benchmarks_in_one_worker(spark, monkeypatch):
 
 
 def test_old_automata_go(monkeypatch):
-    monkeypatch.setattr(D, "_built", {})
+    monkeypatch.setattr(common, "_held", {})
     D.scanner(("a", 0), [("1", "x")], 10)
     D.scanner(("b", 0), [("1", "y")], 10)
     D.scanner(("b", 1), [("1", "z")], 10)
-    assert sorted(D._built) == [("b", 0), ("b", 1)]
+    assert sorted(common._held) == [("decontamination b", 0), ("decontamination b", 1)]
 
 
 def test_many_benchmarks_in_one_session(spark):
