@@ -74,9 +74,20 @@ def history_join(editors: DataFrame, history: DataFrame, at: str) -> DataFrame:
     return editors.join(other, "user_id").where((F.col(at) <= F.col("cutoff")) & (F.col("other_page") != F.col("page_id")))
 
 
-def daily_history(log: DataFrame, at: str) -> DataFrame:
-    """The site log by user, page and second, with the number of edits: what the history join reads for heavy users."""
-    return log.groupBy("user_id", "page_id", at).agg(F.count(F.lit(1)).alias("edits"))
+def history_totals(editors: DataFrame, history: DataFrame, at: str, *values: str) -> DataFrame:
+    """page_id, user_id, n and the sum of each value of what the editor (page_id, user_id, cutoff) did on other pages up to the cutoff.
+
+    What history_join gives, summed up, without its rows: running totals of each user's history at the cutoff, less what is on
+    the page itself. A user of e edits and p pages costs e + p rows here and e p there."""
+    per = history.groupBy("user_id", "page_id", F.col(at).alias("at")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(v) for v in values))
+    names = ["n", *values]
+    marks = per.groupBy("user_id", "at").agg(*(F.sum(c).alias(c) for c in names)).select("user_id", "at", F.lit(None).cast("long").alias("page_id"), *names)
+    asked = editors.select("user_id", F.col("cutoff").alias("at"), "page_id", *(F.lit(None).cast(per.schema[c].dataType).alias(c) for c in names))
+    so_far = Window.partitionBy("user_id").orderBy("at", F.col("page_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    running = marks.unionByName(asked).select("user_id", "page_id", *(F.sum(c).over(so_far).alias(c) for c in names)).where("page_id is not null")
+    own = editors.select("page_id", "user_id", "cutoff").join(per, ["page_id", "user_id"]).where("at <= cutoff").groupBy("page_id", "user_id").agg(*(F.sum(c).alias(f"own_{c}") for c in names))
+    out = running.join(own, ["page_id", "user_id"], "left")
+    return out.select("page_id", "user_id", *((F.coalesce(c, F.lit(0)) - F.coalesce(f"own_{c}", F.lit(0))).alias(c) for c in names))
 
 
 def editors_of(pages: DataFrame, shares: DataFrame, cutoff: str) -> DataFrame:
@@ -86,17 +97,19 @@ def editors_of(pages: DataFrame, shares: DataFrame, cutoff: str) -> DataFrame:
 def ledger_scores(editors: DataFrame, ledger: DataFrame) -> DataFrame:
     """credibility (signed) and experience (absolute credit) on other pages up to the cutoff: per contributor, and weighted
     by the contributors' shares. Null without contributors: such pages have no row."""
-    past = history_join(editors, ledger, "date").groupBy("page_id", "user_id").agg(F.sum("credit").alias("c"), F.sum(F.abs("credit")).alias("e"))
+    past = history_totals(editors, ledger.withColumn("size", F.abs("credit")), "date", "credit", "size").select("page_id", "user_id", F.col("credit").alias("c"), F.col("size").alias("e"))
     per = editors.join(past, ["page_id", "user_id"], "left").na.fill(0.0, ["c", "e"])
     mean, weighted = (lambda c: F.sum(c) / F.count(F.lit(1))), (lambda c: F.sum(F.col("share") * F.col(c)))
     return per.groupBy("page_id").agg(mean("c").alias("credibility"), weighted("c").alias("credibility_weighted"), mean("e").alias("experience"), weighted("e").alias("experience_weighted"))
 
 
 def site_activity(editors: DataFrame, log: DataFrame) -> DataFrame:
-    """Other pages, edits on them and users with such edits up to the cutoff, each per contributor."""
-    past = history_join(editors.select("page_id", "user_id", "cutoff"), daily_history(log, "timestamp"), "timestamp")
-    per = past.groupBy("page_id").agg(F.count_distinct("other_page").alias("p"), F.sum("edits").alias("e"), F.count_distinct("user_id").alias("u"))
-    out = editors.groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).join(per, "page_id", "left").na.fill(0, ["p", "e", "u"])
+    """Other pages, edits on them and users with such edits up to the cutoff, each per contributor. Pages are counted on each
+    user's first visits, edits and users on running totals."""
+    first = log.groupBy("user_id", "page_id").agg(F.min("timestamp").alias("timestamp"))
+    pages = history_join(editors.select("page_id", "user_id", "cutoff"), first, "timestamp").groupBy("page_id").agg(F.count_distinct("other_page").alias("p"))
+    per = history_totals(editors, log, "timestamp").groupBy("page_id").agg(F.sum("n").alias("e"), F.count(F.when(F.col("n") > 0, 1)).alias("u"))
+    out = editors.groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).join(pages, "page_id", "left").join(per, "page_id", "left").na.fill(0, ["p", "e", "u"])
     return out.select("page_id", *((F.col(c) / F.col("k")).alias(n) for c, n in (("p", "other_pages"), ("e", "other_edits"), ("u", "active_users"))))
 
 

@@ -199,7 +199,7 @@ SELECT CAST(source AS BIGINT) AS source, count(*) AS n, count(DISTINCT c) AS pag
     scored = "SELECT u.page_id, round(sum(coalesce(c, 0)) / count(*), 6) AS credibility, round(sum(share * coalesce(c, 0)), 6) AS credibility_weighted, round(sum(coalesce(e, 0)) / count(*), 6) AS experience, round(sum(share * coalesce(e, 0)), 6) AS experience_weighted FROM up u LEFT JOIN past p ON p.page_id = u.page_id AND p.user_id = u.user_id GROUP BY u.page_id"
     for name in ("credibility_score", "experience_score"):
         register(name, lambda s, sf: E.ledger_scores(editors(s, sf), ledger(s, sf)), w(f"{ledger_sql}, {past}", scored))
-    register("credit_history_join", lambda s, sf: E.history_join(editors(s, sf), ledger(s, sf), "date").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("credit").alias("credit")), w(ledger_sql, "SELECT u.page_id, count(*) AS n, round(sum(l.credit), 6) AS credit FROM up u JOIN d ON d.page_id = u.page_id JOIN ledger l ON l.user_id = u.user_id AND l.date <= d.promotion AND l.page_id <> u.page_id GROUP BY 1"))
+    register("credit_history_join", lambda s, sf: E.history_totals(editors(s, sf), ledger(s, sf), "date", "credit").groupBy("page_id").agg(F.sum("n").alias("n"), F.sum("credit").alias("credit")).where("n > 0"), w(ledger_sql, "SELECT u.page_id, count(*) AS n, round(sum(l.credit), 6) AS credit FROM up u JOIN d ON d.page_id = u.page_id JOIN ledger l ON l.user_id = u.user_id AND l.date <= d.promotion AND l.page_id <> u.page_id GROUP BY 1"))
     hit = "hit AS (SELECT u.page_id, u.user_id, r.page_id AS other FROM up u JOIN d ON d.page_id = u.page_id JOIN revisions r ON r.user_id = u.user_id AND r.ts <= d.promotion AND r.page_id <> u.page_id)"
     site = f"{TIMELINE}, {dates}, {shares('up', 'promotion')}, {hit}"
     activity = "SELECT page_id, round(coalesce(p, 0) / k, 6) AS other_pages, round(coalesce(e, 0) / k, 6) AS other_edits, round(coalesce(u, 0) / k, 6) AS active_users FROM (SELECT page_id, count(*) AS k FROM up GROUP BY 1) LEFT JOIN (SELECT page_id, count(DISTINCT other) AS p, count(*) AS e, count(DISTINCT user_id) AS u FROM hit GROUP BY 1) USING (page_id)"

@@ -201,13 +201,13 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
     ga0, fa2, ga1 = f"'2011-03-' || {day} || 'T15:34:00Z'", f"'2006-09-' || {day} || 'T00:00:00Z'", "'2008-01-14T00:00:00Z'"
     register("talk_promotion_dates", lambda s, sf: W.talk_promotion_dates(wt(s, sf)), f"SELECT doc_id AS page_id, {kind(ga0, ga1)} AS ga_promotion, {kind(chr(39) + '2012-01-02T00:00:00Z' + chr(39))} AS ga_demotion, {kind(None, None, fa2)} AS fa_promotion, CAST(NULL AS VARCHAR) AS fa_demotion, {kind(chr(39) + 'dga' + chr(39), chr(39) + 'ga' + chr(39))} AS status, doc_id % 4 <> 3 AS reached FROM documents")
     register("talk_events", lambda s, sf: W.talk_events(wt(s, sf)), f"SELECT doc_id AS page_id, 'gan' AS action, {ga0} AS date, NULL AS link, 'listed' AS result FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'gar', '2012-01-02T00:00:00Z', NULL, 'delisted' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 'gan', {ga1}, NULL, NULL FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 'fac', {fa2}, NULL, 'promoted' FROM documents WHERE doc_id % 4 = 2")
-    register("extract_history_sections", lambda s, sf: wt(s, sf).select("page_id", F.size(W.history_sections("content")).alias("n")), "SELECT doc_id AS page_id, CAST(doc_id % 2 = 0 AS BIGINT) AS n FROM documents")
-    register("split_template_lines", lambda s, sf: wt(s, sf).where("page_id % 2 = 0").select("page_id", F.size(F.split(W.split_lines(F.get(W.history_sections("content"), 0)), "\n")).alias("n")), "SELECT doc_id AS page_id, CAST(CASE doc_id % 4 WHEN 0 THEN 8 ELSE 4 END AS BIGINT) AS n FROM documents WHERE doc_id % 2 = 0")
+    register("extract_history_sections", lambda s, sf: wt(s, sf).select("page_id", F.size(W.histories(W.templates("content"))).cast("long").alias("n")), "SELECT doc_id AS page_id, CAST(doc_id % 2 = 0 AS BIGINT) AS n FROM documents")
+    register("split_template_lines", lambda s, sf: wt(s, sf).select("page_id", W.history_lines(W.templates("content")).alias("lines")).select("page_id", F.when(F.col("lines").isNotNull(), F.size("lines")).cast("long").alias("n")), "SELECT doc_id AS page_id, CAST(CASE doc_id % 4 WHEN 0 THEN 8 WHEN 2 THEN 4 END AS BIGINT) AS n FROM documents")
     register("parse_template_kv", lambda s, sf: W.parsed(wt(s, sf)).groupBy("key").agg(F.count("*").alias("n")), "SELECT k AS key, count(*) AS n FROM (SELECT unnest(CASE doc_id % 4 WHEN 0 THEN ['action1', 'action1date', 'action1result', 'action2', 'action2date', 'action2result', 'currentstatus'] WHEN 2 THEN ['action1', 'action1date', 'action1result'] ELSE [] END) AS k FROM documents) GROUP BY 1")
     register("group_template_actions", lambda s, sf: W.actions(wt(s, sf)).select("page_id", "n", "kind"), "SELECT doc_id AS page_id, 1 AS n, CASE doc_id % 4 WHEN 0 THEN 'gan' ELSE 'fac' END AS kind FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, 'gar' FROM documents WHERE doc_id % 4 = 0")
     register("extract_action_time", lambda s, sf: W.action_time(W.actions(wt(s, sf)), "gar", ("delisted",)), "SELECT doc_id AS page_id, '2012-01-02' AS time FROM documents WHERE doc_id % 4 = 0")
     register("extract_current_status", lambda s, sf: wt(s, sf).select("page_id", W.current_status("content").alias("status")), "SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 0 THEN 'dga}}' END AS status FROM documents")
-    register("extract_simple_badge", lambda s, sf: wt(s, sf).select("page_id", W.simple_badge("content").alias("b")).select("page_id", "b.badge", "b.date"), "SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 1 THEN 'ga' END AS badge, CASE WHEN doc_id % 4 = 1 THEN '14 january 2008' END AS date FROM documents")
+    register("extract_simple_badge", lambda s, sf: wt(s, sf).select("page_id", W.simple_badge(W.templates("content")).alias("b")).select("page_id", "b.badge", "b.date"), "SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 1 THEN 'ga' END AS badge, CASE WHEN doc_id % 4 = 1 THEN '14 january 2008' END AS date FROM documents")
     register("parse_date_multi", lambda s, sf: V.read(s, sf, "orders").select("o_orderkey", *(C.parse_date(F.date_format("o_orderdate", p)).alias(f"d{i}") for i, p in enumerate(("yyyy-MM-dd", "d MMMM yyyy", "MMM d, yyyy", "HH:mm, d MMMM, yyyy", "HH:mm:ss MMMM d yyyy", "M/d/yyyy", "yyyy.MM.dd", "dd-MMM-yyyy", "yyyy-MM-dd, HH:mm")))), "SELECT o_orderkey, " + ", ".join(f"strftime({'o_orderdate' if i in (4,) else f'date_trunc({u!r}, o_orderdate)'}, '%Y-%m-%dT%H:%M:%SZ') AS d{i}" for i, u in enumerate(("day", "day", "day", "minute", "second", "day", "day", "day", "minute"))) + " FROM orders")
     # topics
     tp = V.TOPICS
