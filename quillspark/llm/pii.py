@@ -55,7 +55,6 @@ PATTERN = re.compile(
   | (?P<hexkey>(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
   | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
-  | (?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]))
   | (?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<![\w(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<card>(?<![\w.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?!\w))
@@ -73,7 +72,8 @@ CUED = re.compile(rf"\b(?i:(?:{'|'.join(CUES)})[,:]?|(?:{'|'.join(LABELS)}):)\s+
 # Capitalised words that are no part of a name.
 NO_NAMES = set("The A An Our Us We Your My His Her Their This That All And Or Of In On At For To By From With Today Team Department".split())
 BESIDE = re.compile(rf"(?P<names>{FULL})[ ]*[<(][ ]*(?:mailto:)?$")
-CUE_WORD = re.compile(r"(?i:name|appelle|llamo|contact:|signed|sincerely|regards|Grüßen|cordialement|atentamente|attn:|c/o|author:|patient:|customer:|employee:)")
+HINTS = [*(c.split("[")[0].lower() for c in CUES), *(f"{c}:" for c in LABELS)]  # a text without any of these has no cue
+IP6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")
 NAMED = re.compile(rf"\b(?P<names>(?:{'|'.join(sorted(POOL, key=len, reverse=True))})[ ]+{WORD})\b")
 ENTITIES = "array<struct<type:string,start:int,end:int,surrogate:string>>"
 
@@ -281,7 +281,8 @@ def persons(text: str, emails: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 span = upper_words(m["names"], m.start("names"))
                 if span and (pattern is TITLED or " " in text[span[0] : span[1]]):
                     found.append(span)
-    if CUE_WORD.search(text):
+    low = text.lower()
+    if any(h in low for h in HINTS):
         found += [m.span("names") for m in CUED.finditer(text) if NO_NAMES.isdisjoint(m["names"].split())]
     for a, b in emails:
         if (m := BESIDE.search(text, max(0, a - 120), a)) and NO_NAMES.isdisjoint(m["names"].split()):
@@ -305,6 +306,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 found.append((*m.span("value"), "secret"))
             elif type_ != "ip" or all(int(x) < 256 for x in m[0].split(".")):
                 found.append((*m.span(), type_))
+        if text.count(":") > 1:
+            found += [(*m.span(), "ip6") for m in IP6.finditer(text) if any(c.isdigit() for c in m[0])]
     found += [(a, b, "person") for a, b in persons(text, [(a, b) for a, b, t in found if t == "email"])]
     out: list[tuple[int, int, str]] = []
     for a, b, t in sorted(found, key=lambda x: (x[0], -x[1])):
