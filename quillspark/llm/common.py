@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,8 +71,12 @@ _held: dict[tuple, object] = {}
 def held(owner: str, key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task for one operator; what it has kept for others goes first, so that a reused
     worker never holds the tables of two."""
-    for k in [k for k in _held if k[0] != owner]:
+    others = [k for k in _held if k[0] != owner]
+    for k in others:
         del _held[k]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     if (owner, key) not in _held:
         _held[owner, key] = make()
     return _held[owner, key]
@@ -94,6 +99,7 @@ def annotate(docs: DataFrame, text: str, fields: T.StructType, make: Callable, l
     names = ["row", *(f"v{i}" for i in range(len(fields)))]
 
     def run(batches):
+        held("annotate", 0, object)
         f = make()
         for b in slices(batches, 1, limit):
             yield pa.RecordBatch.from_arrays([b.column(0), *f(b.column(1).to_pylist())], names)

@@ -48,10 +48,10 @@ def shapes(token: str) -> tuple[tuple[str, ...], int]:
         plain = token.translate(_classes)
         whole = LIKE.sub(r"\1", plain)
         short = SIGNS.sub(r"\1\1\1", whole)
-        if len(_shapes) > 1 << 16:
+        if len(_shapes) > 1 << 15:
             _shapes.clear()
         known = (tuple(short[i : i + PIECE] for i in range(0, len(short), PIECE)), len(whole) - len(short))
-        if len(token) <= 256:
+        if len(token) <= 64:
             _shapes[token] = known
     return known
 
