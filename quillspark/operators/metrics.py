@@ -99,6 +99,34 @@ def eval_measures(rows: DataFrame, macro_threshold: float = 0.5, binary_threshol
     return out
 
 
+def fold_thresholds(rows: DataFrame) -> DataFrame:
+    """fold, macro_optimal_th, binary_optimal_th: find_threshold by both measures, from one table of the 19 thresholds."""
+    best = lambda measure: F.max_by("threshold", F.struct(F.round(measure, 12), -F.col("threshold")))
+    return threshold_scores(rows, "fold").groupBy("fold").agg(best("macro_f1").alias("macro_optimal_th"), best("binary_f1").alias("binary_optimal_th"))
+
+
+def eval_folds(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The 22 measures of eval_measures for each fold of rows (fold, id, y, p), at the fold's thresholds (0.5 where it has none).
+    The confusion counts at all three thresholds are one aggregate."""
+    r = rows.join(F.broadcast(cuts), "fold", "left").na.fill(0.5, ["macro_optimal_th", "binary_optimal_th"])
+    cut = {"half": F.lit(0.5), "macro": F.col("macro_optimal_th"), "binary": F.col("binary_optimal_th")}
+    one = F.col("y") == 1
+    cells = {f"{name}_{c}": F.count(F.when(test, 1)) for name, t in cut.items() for c, test in (("tp", (F.col("p") > t) & one), ("fp", (F.col("p") > t) & ~one), ("fn", ~(F.col("p") > t) & one), ("tn", ~(F.col("p") > t) & ~one))}
+    counts = r.groupBy("fold", "macro_optimal_th", "binary_optimal_th").agg(F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in cells.items())).cache()
+    plain = {"accuracy": "macro_accuracy"} | {c: c for c in ("macro_precision", "macro_recall", "macro_f1", "binary_precision", "binary_recall", "binary_f1")}
+    names = {"half": plain} | {k: {"accuracy": f"{k}_accuracy_opt_th"} | {f"{k}_{m}": f"{k}_{m}_opt_th" for m in ("precision", "recall", "f1")} for k in ("macro", "binary")}
+    out = counts.select("fold", "n", "macro_optimal_th", "binary_optimal_th")
+    for name, kept in names.items():
+        at = measures(counts.select("fold", *(F.col(f"{name}_{c}").alias(c) for c in ("tp", "fp", "fn", "tn"))), "fold")
+        out = out.join(at.select("fold", *(F.col(a).alias(b) for a, b in kept.items())), "fold")
+    w = Window.partitionBy("fold")
+    placed = rows.withColumn("place", F.row_number().over(w.orderBy("p", "id"))).withColumn("size", F.count(F.lit(1)).over(w))
+    lowest = placed.groupBy("fold").agg(*(F.avg(F.when(F.col("place") <= F.floor(F.col("size") * k / 100), (F.col("y") == 0).cast("double"))).alias(f"binary_prec_at_{k}_perc") for k in (2, 5)))
+    for block in (rank_auc(rows, "fold"), average_precision(rows, "fold"), lowest):
+        out = out.join(block, "fold", "left")
+    return out
+
+
 def eval_summary(table: DataFrame, *, folds: int) -> DataFrame:
     """measure, mean, std, lo, hi of a long table (fold, measure, value). The published rule: the population deviation of the
     folds, and an interval of t(0.975, folds) times it, without the root of n, rounded to three digits."""

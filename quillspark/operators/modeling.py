@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .edits import community_dynamics, edit_features
 from .lifecycle import filter_until, valid_for_usecase
-from .metrics import eval_measures, find_threshold
+from .metrics import eval_folds, eval_measures, find_threshold, fold_thresholds
 from .network import editor_edges, network_features
+from .reports import decile_cutoffs, relabel_by_cutoff
 from .wikitext import topic_pivot
 
 SEED = 1984
@@ -116,23 +117,40 @@ def fold_run(train: DataFrame, test: DataFrame, features: list[str], *, learner:
     return eval_measures(p, *cuts), p.withColumn("pred", (F.col("p") > cuts[1]).cast("int")), list(zip(features, map(float, weights), strict=True))
 
 
-def long_measures(table: DataFrame, fold: int) -> DataFrame:
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in table.columns))).alias("e")
-    return table.select(F.lit(fold).alias("fold"), cells).select("fold", "e.*")
+def long_measures(table: DataFrame) -> DataFrame:
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in table.columns if c != "fold"))).alias("e")
+    return table.select("fold", cells).select("fold", "e.*")
+
+
+def stacked(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def run_splits(splits: list[tuple[int, DataFrame, DataFrame]], features: list[str], *, learner: str = "gbt", trees: int = 100, threads: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fit every split, a few at a time: measures (fold, measure, value), predictions, summed importances (feature, importance)."""
+    """Fit every split, a few at a time: measures (fold, measure, value), predictions, summed importances (feature, importance).
+
+    Only fitting is done split by split. Thresholds (of the training rows) and measures of all splits come from one grouped pass each."""
+    kinds = {c: F.col(c).cast("double") for c in features}
+
+    def fit(split):
+        fold, train, test = split
+        model = pipeline(features, learner, trees).fit(train.withColumns(kinds))
+        last = model.stages[-1]
+        weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+        scored = lambda rows: model.transform(rows.withColumns(kinds)).select(F.lit(fold).alias("fold"), "id", vector_to_array("probability")[1].alias("p"), "y")
+        return scored(train), scored(test), list(zip(features, map(float, weights), strict=True))
+
     with ThreadPoolExecutor(threads) as pool:
-        got = list(pool.map(lambda s: (s[0], *fold_run(s[1], s[2], features, learner=learner, trees=trees)), splits))
+        got = list(pool.map(fit, splits))
+    trained, tested = stacked([g[0] for g in got]), stacked([g[1] for g in got]).cache()
+    cuts = fold_thresholds(trained).cache()
     spark = splits[0][1].sparkSession
-    measures = predictions = None
-    for fold, m, p, _ in got:
-        m, p = long_measures(m, fold), p.withColumn("fold", F.lit(fold))
-        measures = m if measures is None else measures.unionByName(m)
-        predictions = p if predictions is None else predictions.unionByName(p)
     weights = spark.createDataFrame([w for *_, ws in got for w in ws], "feature string, importance double")
-    return measures, predictions, weights.groupBy("feature").agg(F.sum("importance").alias("importance"))
+    predictions = tested.join(F.broadcast(cuts), "fold", "left").withColumn("pred", (F.col("p") > F.coalesce("binary_optimal_th", F.lit(0.5))).cast("int")).select("fold", "id", "p", "y", "pred")
+    return long_measures(eval_folds(tested, cuts)), predictions, weights.groupBy("feature").agg(F.sum("importance").alias("importance"))
 
 
 def cv_job(rows: DataFrame, features: list[str], *, k: int = 5, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -211,6 +229,20 @@ def future_cohort_eval(rows: DataFrame, features: list[str], *, max_year: int, s
     return p.orderBy("p", "id").limit(k).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == 0).cast("double")).alias("precision"))
 
 
+def decile_relabel_eval(rows: DataFrame, features: list[str], value: str, **how) -> DataFrame:
+    """decile, measure, n, mean: a cross-validation under each of the ten decile cutoffs of `value`, with the label that
+    relabel_by_cutoff gives. A cutoff that leaves one class has no rows."""
+    out = None
+    for r in decile_cutoffs(rows, value).collect():
+        one = relabel_by_cutoff(rows.drop("y"), rows.sparkSession.createDataFrame([(r.decile, r.cutoff)], "decile long, cutoff long"), value)
+        one = one.select("*", F.col("relabelled").alias("y")).drop("decile", "cutoff", "relabelled")
+        if one.select("y").distinct().count() < 2:
+            continue
+        m = cv_job(one, features, **how)[0].groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean")).withColumn("decile", F.lit(r.decile))
+        out = m if out is None else out.unionByName(m)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "measure string, n long, mean double, decile long")
+
+
 def ablation_compare(rows: DataFrame, models: dict[str, list[str]], *, k: int = 5, **how) -> DataFrame:
     """model, measure, mean of cross-validations on several feature lists."""
     out = None

@@ -12,7 +12,7 @@ from . import views as V
 from .lifecycle_queries import life
 
 FEATURES = ["EDIT_chars", "EDIT_lines", "COMPOSITION_words", "NETWORK_hash"]
-TREES = 5
+TREES = 100
 CUTS = "(SELECT unnest([" + ", ".join(map(str, M.THRESHOLDS)) + "]) AS threshold)"
 CONF = f"cf AS (SELECT threshold, count(*) FILTER (p > threshold AND y = 1) AS tp, count(*) FILTER (p > threshold AND y = 0) AS fp, count(*) FILTER (p <= threshold AND y = 1) AS fn, count(*) FILTER (p <= threshold AND y = 0) AS tn FROM preds, {CUTS} GROUP BY threshold)"
 
@@ -64,9 +64,14 @@ def load(s, sf):
     return R.reindex_fill(V.preds(s, sf).withColumn("page_id", F.col("id")), outcomes(s, sf))
 
 
+def settled(measures):
+    """Without the chosen thresholds: a training share that equals one of them lies on either side of it by a last digit."""
+    return measures.where("measure not like '%optimal_th'")
+
+
 def splits_report(run):
     """Splits' measures in the long form."""
-    return run[0].groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return settled(run[0]).groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
 def register_all(register) -> None:
@@ -133,30 +138,125 @@ def register_all(register) -> None:
     placed = lambda salt: f"pl AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {md5(salt)}, id) - 1 AS rk, count(*) OVER (PARTITION BY y) AS sz FROM model)"
     register("stratified_kfold", lambda s, sf: B.stratified_kfold(md(s, sf)).select("id", "y", "fold"), w(f"{D}, {placed(1984)}", "SELECT id, CAST(y AS BIGINT) AS y, rk % 5 AS fold FROM pl"))
     register("stratified_holdout", lambda s, sf: B.stratified_holdout(md(s, sf)).select("id", "is_test"), w(f"{D}, {placed('1984|holdout')}", "SELECT id, rk + 1 <= ceil(sz * 0.3) AS is_test FROM pl"))
-    register("stratified_bootstrap", lambda s, sf: B.stratified_bootstrap(md(s, sf).select("id", "y"), 10).groupBy("replicate", "y").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("test"), F.sum(F.when(F.col("is_test"), F.col("id"))).alias("ids")), w(f"{D}, bs AS (SELECT i AS replicate, id, y, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS t FROM model, range(0, 10) r(i))", "SELECT replicate, CAST(y AS BIGINT) AS y, count(*) AS n, CAST(count(*) FILTER (t) AS BIGINT) AS test, CAST(sum(id) FILTER (t) AS BIGINT) AS ids FROM bs GROUP BY ALL"))
+    register("stratified_bootstrap", lambda s, sf: B.stratified_bootstrap(md(s, sf).select("id", "y")).groupBy("replicate", "y").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("test"), F.sum(F.when(F.col("is_test"), F.col("id"))).alias("ids")), w(f"{D}, bs AS (SELECT i AS replicate, id, y, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS t FROM model, range(0, 100) r(i))", "SELECT replicate, CAST(y AS BIGINT) AS y, count(*) AS n, CAST(count(*) FILTER (t) AS BIGINT) AS test, CAST(sum(id) FILTER (t) AS BIGINT) AS ids FROM bs GROUP BY ALL"))
     register("mean_impute", lambda s, sf: B.mean_impute(md(s, sf).withColumn("days", F.col("days").cast("double")), md(s, sf).withColumn("days", F.col("days").cast("double")), ["days"]).select("id", "days"), w(D, "SELECT id, round(coalesce(days, avg(days) OVER ()), 6) AS days FROM model"))
-    register("year_buckets", lambda s, sf: B.year_buckets(md(s, sf)))
-    register("article_features", lambda s, sf: B.article_features(V.revisions(s, sf), life(s, sf), "fa")[0])
-    register("build_modeling_table", lambda s, sf: B.build_modeling_table(blocks(s, sf), W.top_topics(V.topics(s, sf), top=5), topics=5, max_year=2016))
-    small = dict(trees=TREES, learner="gbt")
-    for learner in ("gbt", "rf", "lr"):
+    register("year_buckets", lambda s, sf: B.year_buckets(md(s, sf)), w(f"RECURSIVE {D}, {BUCKETS}", "SELECT CAST(year AS BIGINT) AS year, CAST(bucket AS BIGINT) AS bucket FROM buckets"))
+    register("article_features", lambda s, sf: B.article_features(V.revisions(s, sf), life(s, sf), "fa")[0], article_sql())
+    modeling = f"{D}, {V.TOPICS}, od AS (SELECT o_custkey AS page_id, count(*) AS EDIT_orders FROM orders GROUP BY 1), tt AS (SELECT DISTINCT project_name AS t FROM topics)"
+    register("build_modeling_table", modeling_table, w(modeling, "SELECT m.id AS page_id, CAST(m.y AS BIGINT) AS y, CAST(m.year AS BIGINT) AS TIME_promotion_year, EDIT_orders, 'TOPIC_i_' || replace(lower(t), ' ', '_') AS topic, CAST(CASE WHEN t <> project_name THEN 0 WHEN importance = 'low' THEN 1 WHEN importance = 'mid' THEN 2 WHEN importance = 'high' THEN 4 WHEN importance = 'top' THEN 5 ELSE 3 END AS BIGINT) AS v FROM model m JOIN od ON od.page_id = m.id JOIN topics ON topics.page_id = m.id, tt WHERE m.year <= 2016"))
+    # Learners. Trees are tested by their held-out quality; logistic regression on one binary feature predicts each group's share in training, so
+    # whole jobs of it, at their published sizes, have SQL.
+    for learner in ("gbt", "rf"):
         def fit(s, sf, learner=learner):
             h = B.stratified_holdout(md(s, sf))
             return B.fold_run(h.where("not is_test"), h.where("is_test"), FEATURES, learner=learner, trees=TREES)[1]
         register(f"train_{learner}", fit)
-    def fold_measures(s, sf):
-        h = B.stratified_holdout(md(s, sf))
-        return B.fold_run(h.where("not is_test"), h.where("is_test"), FEATURES, **small)[0]
-    register("fold_run", fold_measures)
-    register("cv_job", lambda s, sf: splits_report(B.cv_job(md(s, sf), FEATURES, k=3, **small)))
-    register("bootstrap_job", lambda s, sf: splits_report(B.bootstrap_job(md(s, sf), FEATURES, n=3, **small)))
-    register("feature_importance_sum", lambda s, sf: B.cv_job(md(s, sf), FEATURES, k=2, **small)[2])
-    register("cv_by_time", lambda s, sf: splits_report(B.cv_by_time(md(s, sf), FEATURES, k=3, **small)))
-    register("per_period_holdout", lambda s, sf: splits_report(B.per_period_holdout(md(s, sf), FEATURES, k=2, **small)))
-    register("expanding_year_eval", lambda s, sf: B.expanding_year_eval(md(s, sf), FEATURES, initial=15, k=2, trees=TREES, learner="lr"))
-    register("sliding_year_eval", lambda s, sf: B.sliding_year_eval(md(s, sf), FEATURES, initial=13, move=True, trees=TREES, learner="lr"))
-    register("future_cohort_eval", lambda s, sf: B.future_cohort_eval(md(s, sf), FEATURES, max_year=2014, **small))
-    register("ablation_compare", lambda s, sf: B.ablation_compare(md(s, sf), {"all": FEATURES, "edit": FEATURES[:2]}, k=2, trees=TREES, learner="lr"))
-    register("decile_relabel_eval", lambda s, sf: splits_report(B.cv_job(md(s, sf).withColumn("y", F.when(F.col("days") <= 450, 0).otherwise(1)), FEATURES, k=2, trees=TREES, learner="lr")))
-    register("univariate_logit", lambda s, sf: B.univariate_logit(md(s, sf), FEATURES))
-    register("multivariate_logit", lambda s, sf: B.multivariate_logit(md(s, sf), FEATURES, level=1.1))
+    register("feature_importance_sum", lambda s, sf: B.cv_job(md(s, sf), FEATURES, learner="rf", trees=TREES)[2])
+    holdout = f"{placed('1984|holdout').replace('pl AS', 'pl AS', 1)}, splits AS (SELECT 0 AS fold, id, y, x, rk + 1 <= ceil(sz * 0.3) AS is_test FROM pl)"
+    lr = dict(learner="lr")
+    one = lambda s, sf: md(s, sf).withColumn("x", (F.col("EDIT_chars") > CHARS).cast("double"))
+    M1 = f"{D.replace('model AS', 'model0 AS', 1)}, model AS (SELECT *, CAST(EDIT_chars > {CHARS} AS BIGINT) AS x FROM model0)"
+    def held(s, sf):
+        h = B.stratified_holdout(one(s, sf))
+        return B.fold_run(h.where("not is_test"), h.where("is_test"), ["x"], **lr)
+    register("train_lr", lambda s, sf: held(s, sf)[1].select("id", F.round("p", 3).alias("p"), "y"), w(f"{M1}, {holdout}, {PREDICTED}", "SELECT id, round(p, 3) AS p, CAST(y AS BIGINT) AS y FROM te"))
+    register("fold_run", lambda s, sf: held(s, sf)[0], w(f"{M1}, {holdout}, {EVALUATED}", "SELECT " + rounded("") + " FROM ev"))
+    jobs = {}
+    folds = f"{placed(1984)}, fo AS (SELECT *, rk % 5 AS f FROM pl), splits AS (SELECT k AS fold, id, y, x, f = k AS is_test FROM fo, range(5) t(k))"
+    jobs["cv_job"] = (lambda s, sf: B.cv_job(one(s, sf), ["x"], **lr), M1, folds)
+    jobs["bootstrap_job"] = (lambda s, sf: B.bootstrap_job(one(s, sf), ["x"], **lr), M1, "splits AS (SELECT i AS fold, id, y, x, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS is_test FROM model, range(100) t(i))")
+    by_bucket = f"{BUCKETS}, mb AS (SELECT * FROM model JOIN buckets USING (year))"
+    jobs["cv_by_time"] = (lambda s, sf: B.cv_by_time(one(s, sf), ["x"], **lr), M1, f"{by_bucket}, splits AS (SELECT k AS fold, id, y, x, bucket = k AS is_test FROM mb, (SELECT DISTINCT bucket AS k FROM buckets))")
+    jobs["per_period_holdout"] = (lambda s, sf: B.per_period_holdout(one(s, sf), ["x"], **lr), M1, f"{by_bucket}, splits AS (SELECT bucket AS fold, id, y, x, row_number() OVER (PARTITION BY bucket, y ORDER BY md5('1984|holdout|' || id), id) <= ceil(count(*) OVER (PARTITION BY bucket, y) * 0.3) AS is_test FROM mb)")
+    for name, (run, cte, splits) in jobs.items():
+        register(name, lambda s, sf, run=run: splits_report(run(s, sf)), w(f"RECURSIVE {cte}, {splits}, {EVALUATED}", REPORT))
+    years = "yr AS (SELECT row_number() OVER (ORDER BY year) AS i, year AS cutoff FROM (SELECT DISTINCT year FROM model WHERE year IS NOT NULL))"
+    upto = "up AS (SELECT cutoff, m.*, row_number() OVER (PARTITION BY cutoff, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM model m JOIN yr ON m.year <= cutoff AND i >= 3)"
+    register("expanding_year_eval", lambda s, sf: settled(B.expanding_year_eval(one(s, sf), ["x"], **lr)), w(f"{M1}, {years}, {upto}, splits AS (SELECT cutoff * 10 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM up, range(5) t(k)), {EVALUATED}, {LONG}", "SELECT fold % 10 AS fold, measure, round(value, 6) AS value, fold // 10 AS year FROM long"))
+    def sliding(s, sf):
+        rows, out = one(s, sf), None
+        for move in (False, True):
+            m = B.sliding_year_eval(rows, ["x"], move=move, **lr).withColumn("moving", F.lit(move))
+            out = m if out is None else out.unionByName(m)
+        return settled(out)
+    slide = "splits AS (SELECT cutoff * 10 + v AS fold, id, y, x, year > cutoff AS is_test FROM model, yr, range(2) t(v) WHERE i >= 3 AND (v = 0 OR year >= cutoff - 3)), ok AS (SELECT fold FROM splits GROUP BY 1 HAVING count(DISTINCT y) FILTER (is_test) = 2 AND count(DISTINCT y) FILTER (NOT is_test) = 2)"
+    register("sliding_year_eval", sliding, w(f"{M1}, {years}, {slide.replace('splits AS', 's0 AS', 1).replace('FROM splits', 'FROM s0')}, splits AS (SELECT s0.* FROM s0 JOIN ok USING (fold)), {EVALUATED}, {LONG}", "SELECT fold // 10 AS year, measure, round(value, 6) AS value, fold % 10 = 1 AS moving FROM long"))
+    cohort = "splits AS (SELECT 0 AS fold, id, y, x, year > 2014 AS is_test FROM model)"
+    register("future_cohort_eval", lambda s, sf: B.future_cohort_eval(one(s, sf), ["x"], max_year=2014, **lr), w(f"{M1}, {cohort}, {PREDICTED}", "SELECT count(*) AS n, round(avg(CAST(y = 0 AS INTEGER)), 6) AS precision FROM (SELECT y, row_number() OVER (ORDER BY p, id) AS rn, count(*) OVER () AS k FROM te) WHERE rn <= greatest(1, CAST(floor(k * 0.05) AS BIGINT))"))
+    two = lambda s, sf: one(s, sf).withColumn("z", (F.col("id") % 3 == 0).cast("double"))
+    ablation = folds.replace("x, f = k", "v * 2 + CASE WHEN v = 0 THEN x ELSE CAST(id % 3 = 0 AS BIGINT) END AS x, f = k").replace("k AS fold", "v * 10 + k AS fold").replace("FROM fo, range(5) t(k)", "FROM fo, range(5) t(k), range(2) u(v)")
+    register("ablation_compare", lambda s, sf: B.ablation_compare(two(s, sf), {"chars": ["x"], "third": ["z"]}, **lr).transform(settled), w(f"{M1}, {ablation}, {EVALUATED}, {LONG}", "SELECT CASE WHEN fold < 10 THEN 'chars' ELSE 'third' END AS model, measure, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
+    register("decile_relabel_eval", lambda s, sf: settled(B.decile_relabel_eval(one(s, sf), ["x"], "days", **lr)), w(f"{dec.replace(D, M1)}, re AS (SELECT id, x, decile, CASE WHEN days <= cutoff THEN 0 ELSE 1 END AS y FROM model, dc), pl AS (SELECT *, row_number() OVER (PARTITION BY decile, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM re), some AS (SELECT decile FROM re GROUP BY 1 HAVING min(y) < max(y)), splits AS (SELECT decile * 10 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM pl JOIN some USING (decile), range(5) t(k)), {EVALUATED}, {LONG}", "SELECT fold // 10 AS decile, measure, count(value) AS n, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
+    cell = lambda f: f"SELECT '{f}' AS feature, count(*) FILTER ({f} = 1 AND y = 1) AS a, count(*) FILTER ({f} = 1 AND y = 0) AS b, count(*) FILTER ({f} = 0 AND y = 1) AS c, count(*) FILTER ({f} = 0 AND y = 0) AS d FROM m2"
+    wald = f"{M1}, m2 AS (SELECT *, CAST(id % 3 = 0 AS BIGINT) AS z FROM model), ce AS ({cell('x')} UNION ALL {cell('z')}), lo AS (SELECT feature, ln(a * d / (b * c)) AS coef, abs(ln(a * d / (b * c))) / sqrt(1 / a + 1 / b + 1 / c + 1 / d) / sqrt(2) AS u FROM ce), pv AS (SELECT feature, coef, 1 - 2 / sqrt(pi()) * (SELECT sum((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(u) - lgamma(k + 1)) / (2 * k + 1)) FROM range(120) t(k)) AS p FROM lo)"
+    register("univariate_logit", lambda s, sf: B.univariate_logit(two(s, sf), ["x", "z"]).select("feature", F.round("coefficient", 4).alias("coefficient"), F.round("p_value", 3).alias("p_value")), w(wald, "SELECT feature, round(coef, 4) AS coefficient, round(p, 3) AS p_value FROM pv"))
+    register("multivariate_logit", lambda s, sf: B.multivariate_logit(md(s, sf), FEATURES))
+
+
+CHARS = 1500
+BUCKETS = """yc AS (SELECT row_number() OVER (ORDER BY year) AS i, year, count(*) AS n FROM model WHERE year IS NOT NULL GROUP BY year),
+yb AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS year, 0 AS bucket, CAST(0 AS BIGINT) AS held UNION ALL
+ SELECT yc.i, yc.year, CASE WHEN held + n > 1.2 * (SELECT sum(n) FROM yc) / 5 AND bucket < 4 THEN bucket + 1 ELSE bucket END, CASE WHEN held + n > 1.2 * (SELECT sum(n) FROM yc) / 5 AND bucket < 4 THEN n ELSE held + n END FROM yb JOIN yc ON yc.i = yb.i + 1),
+buckets AS (SELECT year, bucket FROM yb WHERE year IS NOT NULL)"""
+# A regression on one binary feature predicts the share of label 1 among the training rows with the same value.
+PREDICTED = """sp AS (SELECT s.*, g.p FROM splits s JOIN (SELECT fold, x, avg(y) AS p FROM splits WHERE NOT is_test GROUP BY ALL) g USING (fold, x)),
+tr AS (FROM sp WHERE NOT is_test), te AS (FROM sp WHERE is_test)"""
+KEPT = {c: c for c in ("macro_precision", "macro_recall", "macro_f1", "binary_precision", "binary_recall", "binary_f1")}
+OPT = {f"{kind}_{m}_opt_th": f"{kind}_{m}" if m != "accuracy" else m for kind in ("macro", "binary") for m in ("accuracy", "precision", "recall", "f1")}
+
+
+def counts_at(threshold: str, source: str, by: str) -> str:
+    return f"SELECT {by}, count(*) FILTER (p > {threshold} AND y = 1) AS tp, count(*) FILTER (p > {threshold} AND y = 0) AS fp, count(*) FILTER (p <= {threshold} AND y = 1) AS fn, count(*) FILTER (p <= {threshold} AND y = 0) AS tn FROM {source} GROUP BY ALL"
+
+
+def of_measures(names: dict[str, str], source: str) -> str:
+    return f"SELECT fold, {', '.join(f'{MEASURES[m]} AS {n}' for n, m in names.items())} FROM ({source})"
+
+
+def best_at(measure: str, name: str) -> str:
+    return f"SELECT fold, CAST(threshold AS DOUBLE) AS {name} FROM (SELECT fold, threshold, row_number() OVER (PARTITION BY fold ORDER BY round({MEASURES[measure]}, 12) DESC, threshold) AS rn FROM (SELECT * FROM tc)) WHERE rn = 1"
+
+
+def top_share(k: int) -> str:
+    return f"SELECT fold, avg(CAST(y = 0 AS INTEGER)) AS binary_prec_at_{k}_perc FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY p, id) AS rn, count(*) OVER (PARTITION BY fold) AS m FROM te) WHERE rn <= floor(m * {k} / 100) GROUP BY fold"
+
+
+EVALUATED = f"""{PREDICTED}, tc AS ({counts_at('threshold', f'tr, {CUTS}', 'fold, threshold')}), mt AS ({best_at('macro_f1', 'macro_optimal_th')}), bt AS ({best_at('binary_f1', 'binary_optimal_th')}),
+ev AS (SELECT * FROM (SELECT fold, count(*) AS n FROM te GROUP BY 1) JOIN mt USING (fold) JOIN bt USING (fold) JOIN ({of_measures({'macro_accuracy': 'accuracy'} | KEPT, counts_at('0.5', 'te', 'fold'))}) USING (fold)
+ JOIN ({of_measures({k: v for k, v in OPT.items() if k.startswith('macro')}, counts_at('macro_optimal_th', 'te JOIN mt USING (fold)', 'fold'))}) USING (fold) JOIN ({of_measures({k: v for k, v in OPT.items() if k.startswith('binary')}, counts_at('binary_optimal_th', 'te JOIN bt USING (fold)', 'fold'))}) USING (fold)
+ LEFT JOIN (SELECT a.fold, avg(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) AS auc FROM te a JOIN te b USING (fold) WHERE a.y = 1 AND b.y = 0 GROUP BY 1) USING (fold)
+ LEFT JOIN (SELECT fold, sum(a * ca / cn) / nullif(sum(a), 0) AS average_precision FROM (SELECT fold, a, sum(a) OVER w AS ca, sum(n) OVER w AS cn FROM (SELECT fold, p, count(*) FILTER (y = 1) AS a, count(*) AS n FROM te GROUP BY ALL) WINDOW w AS (PARTITION BY fold ORDER BY p DESC)) GROUP BY 1) USING (fold)
+ LEFT JOIN ({top_share(2)}) USING (fold) LEFT JOIN ({top_share(5)}) USING (fold))"""
+COLUMNS = ["n", "macro_optimal_th", "binary_optimal_th", "macro_accuracy", *KEPT, *OPT, "auc", "average_precision", "binary_prec_at_2_perc", "binary_prec_at_5_perc"]
+MANY = [c for c in COLUMNS if not c.endswith("optimal_th")]  # a share that is one of the thresholds lies on either side of it by a last digit
+LONG = "long AS (SELECT fold, unnest([" + ", ".join(f"'{c}'" for c in MANY) + "]) AS measure, unnest([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in MANY) + "]) AS value FROM ev)"
+REPORT = f"SELECT measure, count(value) AS n, round(avg(value), 6) AS mean FROM (WITH {LONG} FROM long) GROUP BY 1"
+
+
+def rounded(_: str) -> str:
+    return "n, " + ", ".join(f"round({c}, 6) AS {c}" for c in COLUMNS[1:])
+
+
+def modeling_table(s, sf):
+    """The joined blocks with all topic columns, one row for each page and topic."""
+    orders = V.read(s, sf, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.count("*").alias("EDIT_orders"))
+    rows = V.model(s, sf).select(F.col("id").alias("page_id"), "y", F.col("year").alias("TIME_promotion_year"), *FEATURES)
+    out = B.build_modeling_table([rows, orders], V.topics(s, sf), max_year=2016)
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("topic"), F.col(c).alias("v")) for c in out.columns if c.startswith("TOPIC_")))).alias("e")
+    return out.select("page_id", "y", "TIME_promotion_year", "EDIT_orders", cells).select("page_id", "y", "TIME_promotion_year", "EDIT_orders", "e.*")
+
+
+def article_sql() -> str:
+    from . import lifecycle_queries as Q
+    from . import page_queries as P
+
+    fd, iso = Q.fd, Q.iso
+    good = "good AS (SELECT *, fa_promotion AS promotion FROM life WHERE fa_promotion IS NOT NULL AND is_valid)"
+    edits = "edits AS (SELECT page_id, rev_id, ts, user_id FROM revisions JOIN good USING (page_id) WHERE ts < promotion)"
+    edit = f"""SELECT page_id, {iso('max(ts)')} AS TIME_last_revision_timestamp, count(DISTINCT user_id) AS EDIT_num_authors, round(count(DISTINCT user_id) / greatest(1, count(*)), 6) AS EDIT_num_authors_normalized, count(*) AS EDIT_num_revisions,
+ round(count(*) / greatest(1, {fd('max(ts)', 'min(ts)')}), 6) AS EDIT_num_revisions_normalized, min({fd('promotion', 'creation')}) AS EDIT_time_to_promotion, CAST(CAST(min(coalesce(ga_promotion < promotion, FALSE)) AS INTEGER) AS BIGINT) AS EDIT_used_to_be_good,
+ round(avg(CAST(user_id IS NULL AS INTEGER)), 6) AS COMPOSITION_anonymous_share, round(count(*) - 1, 6) AS COMPOSITION_revert_share FROM edits JOIN good USING (page_id) GROUP BY page_id"""
+    uc = "uc AS (SELECT page_id, user_id, count(*) AS n FROM edits WHERE user_id IS NOT NULL GROUP BY ALL)"
+    gini = "SELECT a.page_id, round(sum(abs(a.n - b.n)) / 2.0 / any_value(k * k) / any_value(mu), 6) AS COMPOSITION_gini FROM uc a JOIN uc b ON a.page_id = b.page_id JOIN (SELECT page_id, count(*) AS k, avg(n) AS mu FROM uc GROUP BY 1) z ON z.page_id = a.page_id GROUP BY a.page_id"
+    base = f"SELECT page_id, CAST(CAST(label AS INTEGER) AS BIGINT) AS y, {iso('promotion')} AS TIME_promotion_date, {iso('fa_demotion')} AS TIME_demotion_date, year(promotion) AS TIME_promotion_year, fa_promotion_to_demotion AS TIME_days_to_demotion FROM good"
+    return f"WITH RECURSIVE {Q.MERGED}, {good}, {edits}, {P.GRAPH}, {P.DEGREES}, {P.HOPS}, {P.CUTS}, {uc} SELECT * FROM ({base}) LEFT JOIN ({edit}) USING (page_id) LEFT JOIN ({gini}) USING (page_id) LEFT JOIN ({P.network_sql()}) USING (page_id)"
