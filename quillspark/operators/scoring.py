@@ -16,9 +16,10 @@ LEXICON = {
 
 
 class LexiconScorer:
-    """A deterministic scorer: the share of listed words among the first `window` words, doubled and cut at 1, on each scale."""
+    """A deterministic scorer: the share of listed words among all words (or, as models with a limit do, the first `window`),
+    doubled and cut at 1, on each scale."""
 
-    def __init__(self, window: int = 512):
+    def __init__(self, window: int | None = None):
         self.window, self.words = window, {k: (set(w.split()), a, b) for k, (w, a, b) in LEXICON.items()}
 
     def __call__(self, texts: pd.Series) -> pd.DataFrame:

@@ -186,7 +186,7 @@ def register_all(register) -> None:
     two = lambda s, sf: one(s, sf).withColumn("z", (F.col("id") % 3 == 0).cast("double"))
     ablation = folds.replace("x, f = k", "v * 2 + CASE WHEN v = 0 THEN x ELSE CAST(id % 3 = 0 AS BIGINT) END AS x, f = k").replace("k AS fold", "v * 10 + k AS fold").replace("FROM fo, range(5) t(k)", "FROM fo, range(5) t(k), range(2) u(v)")
     register("ablation_compare", lambda s, sf: B.ablation_compare(two(s, sf), {"chars": ["x"], "third": ["z"]}, **lr).transform(settled), w(f"{M1}, {ablation}, {EVALUATED}, {LONG}", "SELECT CASE WHEN fold < 10 THEN 'chars' ELSE 'third' END AS model, measure, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
-    register("decile_relabel_eval", lambda s, sf: settled(B.decile_relabel_eval(one(s, sf), ["x"], "days", **lr)), w(f"{dec.replace(D, M1)}, re AS (SELECT id, x, decile, CASE WHEN days <= cutoff THEN 0 ELSE 1 END AS y FROM model, dc), pl AS (SELECT *, row_number() OVER (PARTITION BY decile, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM re), some AS (SELECT decile FROM re GROUP BY 1 HAVING min(y) < max(y)), splits AS (SELECT decile * 10 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM pl JOIN some USING (decile), range(5) t(k)), {EVALUATED}, {LONG}", "SELECT fold // 10 AS decile, measure, count(value) AS n, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
+    register("decile_relabel_eval", lambda s, sf: settled(B.decile_relabel_eval(one(s, sf), ["x"], "days", **lr)), w(f"{dec.replace(D, M1)}, re AS (SELECT id, x, decile, CASE WHEN days <= cutoff THEN 0 ELSE 1 END AS y FROM model, dc), pl AS (SELECT *, row_number() OVER (PARTITION BY decile, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM re), mixed AS (SELECT decile FROM re GROUP BY 1 HAVING min(y) < max(y)), splits AS (SELECT decile * 10 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM pl JOIN mixed USING (decile), range(5) t(k)), {EVALUATED}, {LONG}", "SELECT fold // 10 AS decile, measure, count(value) AS n, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
     cell = lambda f: f"SELECT '{f}' AS feature, count(*) FILTER ({f} = 1 AND y = 1) AS a, count(*) FILTER ({f} = 1 AND y = 0) AS b, count(*) FILTER ({f} = 0 AND y = 1) AS c, count(*) FILTER ({f} = 0 AND y = 0) AS d FROM m2"
     wald = f"{M1}, m2 AS (SELECT *, CAST(id % 3 = 0 AS BIGINT) AS z FROM model), ce AS ({cell('x')} UNION ALL {cell('z')}), lo AS (SELECT feature, ln(a * d / (b * c)) AS coef, abs(ln(a * d / (b * c))) / sqrt(1 / a + 1 / b + 1 / c + 1 / d) / sqrt(2) AS u FROM ce), pv AS (SELECT feature, coef, 1 - 2 / sqrt(pi()) * (SELECT sum((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(u) - lgamma(k + 1)) / (2 * k + 1)) FROM range(120) t(k)) AS p FROM lo)"
     register("univariate_logit", lambda s, sf: B.univariate_logit(two(s, sf), ["x", "z"]).select("feature", F.round("coefficient", 4).alias("coefficient"), F.round("p_value", 3).alias("p_value")), w(wald, "SELECT feature, round(coef, 4) AS coefficient, round(p, 3) AS p_value FROM pv"))

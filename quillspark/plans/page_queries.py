@@ -10,7 +10,7 @@ from ..operators import edits as E
 from ..operators import network as N
 from ..operators import reports as R
 from ..operators import wikitext as W
-from ..operators.scoring import score_texts
+from ..operators.scoring import LEXICON, score_texts
 from . import views as V
 
 # The editor network of `edits`, whatever view that is.
@@ -193,7 +193,8 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
         return D.attach_scores(c, scored).select("page_id", "pos", "sentiment", "page_missing")
     at = f"{cm}, c1 AS (SELECT page_id, thread * 100 + pos AS pos, coalesce(text, '') AS t, sentiment FROM comments), s1 AS (SELECT page_id, CASE WHEN pos % 2 = 0 THEN pos ELSE pos + 100000 END AS pos, t, sentiment FROM c1 WHERE pos % 3 <> 0), f1 AS (SELECT page_id, t, arg_min(sentiment, pos) AS s FROM s1 GROUP BY ALL), att AS (SELECT c1.page_id, c1.pos, coalesce(s1.sentiment, f1.s) AS s FROM c1 LEFT JOIN s1 ON s1.page_id = c1.page_id AND s1.pos = c1.pos AND s1.t = c1.t LEFT JOIN f1 ON f1.page_id = c1.page_id AND f1.t = c1.t)"
     register("attach_scores", attached, w(at, "SELECT page_id, pos, round(s, 6) AS sentiment, bool_or(s IS NULL) OVER (PARTITION BY page_id) AS page_missing FROM att"))
-    register("score_texts", lambda s, sf: score_texts(V.read(s, sf, "conversations").select("conv_id", "turn", "text")).drop("text"))
+    share = lambda k: f"round({LEXICON[k][1]} + {LEXICON[k][2] - LEXICON[k][1]} * least(1, 2 * len(list_filter(t, lambda x: list_contains({LEXICON[k][0].split()}, x))) / greatest(1, len(t))), 6) AS {k}"
+    register("score_texts", lambda s, sf: score_texts(V.read(s, sf, "conversations").select("conv_id", "turn", "text")).drop("text"), w("tk AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS t FROM conversations)", f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, {', '.join(share(k) for k in LEXICON)} FROM tk"))
     register("describe_scores", lambda s, sf: R.dataset_stats(co(s, sf), list(D.SCORES)), w(cm, " UNION ALL ".join(f"SELECT '{x}' AS feature, round(sum({x}), 6) AS sum, round(avg({x}), 6) AS mean, round(median({x}), 6) AS median, round(stddev_samp({x}), 6) AS std FROM comments" for x in D.SCORES)))
     # templates, by the rule that made them
     wt, day = V.wikitext, "lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0')"
