@@ -82,30 +82,37 @@ def held(owner: str, key: object, make: Callable[[], object]) -> object:
     return _held[owner, key]
 
 
-def packed(docs: DataFrame, text: str, leave_out: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(`row`, a struct of all columns but those left out (whatever the case), and `text` as a string; the struct's columns).
-    Inside an operator no name of the input can then clash with another."""
+def packed(docs: DataFrame, text: str, leave_out: list[str] | tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[], list[Column]]]:
+    """(`row`, a struct of all columns but `text` and those left out (whatever the case), and `text` as a string; a function
+    that gives the kept columns back, text included, in their order). Inside an operator no name of the input can then clash
+    with another, and the text is sent once."""
     out = {n.lower() for n in leave_out}
-    kept = [c for c in docs.columns if c.lower() not in out]
-    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(None).cast("boolean")
-    return docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), kept
+    kept = [f for f in docs.schema.fields if f.name.lower() not in out]
+    other = [f.name for f in kept if f.name != text]
+    row = F.struct(*(F.col(f"`{c}`") for c in other)) if other else F.lit(None).cast("boolean")
+
+    def back() -> list[Column]:
+        return [F.col("text").cast(f.dataType).alias(text) if f.name == text else F.col(f"row.`{f.name}`").alias(f.name) for f in kept]
+
+    return docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")), back
 
 
 def annotate(docs: DataFrame, text: str, fields: T.StructType, make: Callable, limit: int = 1 << 22) -> DataFrame:
     """docs with added columns, without a shuffle: `make()` runs once a task and gives a function from a list of texts
     (null: None) to a list of Arrow arrays, one for each field. A column of docs with the name of a field (whatever the
     case) gives way to it, `text` included, which is read first; all others pass through unchanged."""
-    rows, kept = packed(docs, text, fields.fieldNames())
-    names = ["row", *(f"v{i}" for i in range(len(fields)))]
+    rows, back = packed(docs, text, fields.fieldNames())
+    names = [f"v{i}" for i in range(len(fields))]
+    n = 1 if text.lower() in [f.lower() for f in fields.fieldNames()] else 2  # a replaced text does not come back
 
     def run(batches):
         held("annotate", 0, object)
         f = make()
         for b in slices(batches, 1, limit):
-            yield pa.RecordBatch.from_arrays([b.column(0), *f(b.column(1).to_pylist())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *f(b.column(1).to_pylist())], [*("row", "text")[:n], *names])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["row"], *(T.StructField(n, f.dataType) for n, f in zip(names[1:], fields, strict=True))]))
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *(F.col(n).alias(f.name) for n, f in zip(names[1:], fields, strict=True)))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:n], *(T.StructField(k, f.dataType) for k, f in zip(names, fields, strict=True))]))
+    return out.select(*back(), *(F.col(k).alias(f.name) for k, f in zip(names, fields, strict=True)))
 
 
 def chosen(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -125,22 +132,23 @@ def keep_winners(docs: DataFrame, rooted: DataFrame, key: Callable[[str | None],
     first = per.groupBy("root").agg(best.alias("m")).select(F.col("root").alias("__root"), "m")
     judged = per.join(first, per.root == first["__root"]).withColumn("won", F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t") == F.col("m.t")))
     judged = to_table(judged.select(F.col("doc_id").alias("__d"), F.col("t").alias("__k"), "won", "n"), "near-judged")
-    rows, kept = packed(docs.select(*(F.col(f"`{c}`") for c in docs.columns)), text)
-    rows = rows.withColumn("d", F.col(f"row.`{doc_id}`").cast("long"))
+    rows, back = packed(docs, text)
+    where = F.col("text") if doc_id == text else F.col(f"row.`{doc_id}`")
+    rows = rows.withColumn("d", where.cast("long"))
 
     def run(batches):
         for b in slices(batches, 1, 1 << 22):
             t = np.array([key(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(t)], ["row", "d", "k"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t)], ["row", "text", "d", "k"])
 
-    keyed = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("d", T.LongType()), T.StructField("k", T.LongType())]))
+    keyed = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("k", T.LongType())]))
     same = lambda other: F.col("d").eqNullSafe(other["__d"]) & (F.col("k") == other["__k"])
-    plain = lambda df: df.select(*(F.col(f"row.`{c}`").alias(c) for c in kept))
     lost = judged.where("not won or n > 1")
     if lost.count() <= BROADCAST:
         lost = F.broadcast(lost)
-    out = plain(keyed.join(lost, same(lost), "left_anti"))
+    out = keyed.join(lost, same(lost), "left_anti").select(*back())
     twice = judged.where("won and n > 1")
     if twice.isEmpty():
         return out
-    return out.unionByName(plain(keyed.join(twice, same(twice), "left_semi").groupBy("d", "k").agg(F.first("row").alias("row"))))
+    one = keyed.join(twice, same(twice), "left_semi").groupBy("d", "k").agg(F.first(F.struct("row", "text")).alias("r"))
+    return out.unionByName(one.select("r.row", "r.text").select(*back()))

@@ -105,7 +105,7 @@ def find_contamination(
     are scanned whole, one at a time. Columns of docs with these four names are replaced, all others pass through.
     """
     spark, added = docs.sparkSession, [f.name for f in T.StructType.fromDDL(FIELDS).fields]
-    rows, kept = packed(docs, text, added)
+    rows, back = packed(docs, text, added)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     blanks = F.regexp_count("text", F.lit(r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     size = items.agg(F.sum(F.coalesce(blanks, F.lit(0)) + 1)).first()[0] or 0  # words, and so windows, at most
@@ -114,12 +114,12 @@ def find_contamination(
     for k in range(shards):
         part = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect() if r.text]
         out = _pass(out, spark.sparkContext.broadcast(part), (job, k), n, k > 0, k == shards - 1)
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *added)
+    return out.select(*back(), *added)
 
 
 def _pass(rows: DataFrame, sent, key: tuple[str, int], n: int, more: bool, last: bool) -> DataFrame:
     """One scan of row, text and, if `more`, the matches so far."""
-    kept = rows.schema.fields[: 1 if last else 2]
+    kept = rows.schema.fields[:2]
     added = T.StructType.fromDDL(FIELDS if last else "matches array<struct<word:int,n:int,item:string>>").fields
     names = [*(f.name for f in kept), *(f.name for f in added)]
 
@@ -139,7 +139,7 @@ def _pass(rows: DataFrame, sent, key: tuple[str, int], n: int, more: bool, last:
                 cols = [pa.array(count, pa.int64()), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.list_(pa.string()), spans)))]
             else:
                 cols = [pa.array([[{"word": w, "n": k, "item": i} for w, k, i in f] for f in found], MATCHES)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *cols], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *cols], names)
 
     return rows.mapInArrow(run, T.StructType([*kept, *added]))
 

@@ -137,9 +137,9 @@ class Model:
         shuffled; an empty table stays empty. Where the sample had one label only, that is every text's score."""
         if self.constant is not None:
             return docs.withColumn(column, F.lit(float(self.constant)))
-        rows, kept = packed(docs, text, [column])
+        rows, back = packed(docs, text, [column])
         out = calibrated(features(rows, self.words), self.trees, self.calibration, "__score")
-        return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), F.col("__score").alias(column))
+        return out.select(*back(), F.col("__score").alias(column))
 
 
 def raw_scores(rows: DataFrame, trees) -> DataFrame:
