@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, to_table
 
 ROUNDS = 8
 # Frequent first names by script and gender, and titles by gender.
@@ -75,6 +75,7 @@ BESIDE = re.compile(rf"(?P<names>{FULL})[ ]*[<(][ ]*(?:mailto:)?$")
 HINTS = [*(c.split("[")[0].lower() for c in CUES), *(f"{c}:" for c in LABELS)]  # a text without any of these has no cue
 IP6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")
 NAMED = re.compile(rf"\b(?P<names>(?:{'|'.join(sorted(POOL, key=len, reverse=True))})[ ]+{WORD})\b")
+SEPARATORS = re.compile(r"[\s()\[\]./-]+")
 ENTITIES = "array<struct<type:string,start:int,end:int,surrogate:string>>"
 
 
@@ -329,12 +330,19 @@ def replace(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[
     return "".join([*parts, text[at:]]) if parts else text, entities
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", entities: str = "entities") -> DataFrame:
+def identity(type_: str, original: str) -> bytes:
+    """Digest of what an entity is: its type and value, runs of separators counting as one, names and addresses whatever the case."""
+    value = " ".join(SEPARATORS.sub(" ", original).split())
+    return hashlib.blake2b(f"{type_}|{value.lower() if type_ in ('person', 'email') else value}".encode(), digest_size=16).digest()
+
+
+def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", entities: str = "entities", identities: str | None = None) -> DataFrame:
     """docs with surrogates in `text` and the column `entities` (type, start and end in the original text, surrogate).
 
     Null stays null; texts without entities stay as they are; repeated rows get equal results; very long texts are read
     whole, one at a time; an empty table stays empty. A column of docs that has the name of `entities` is replaced, all others
-    pass through. Rows need no exchange: the key alone decides every surrogate.
+    pass through. Rows need no exchange: the key alone decides every surrogate. `identities` names one more column, the
+    digests of the entities' originals, for a collision check.
     """
 
     def make():
@@ -343,20 +351,35 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", entities: str
         def f(texts):
             got = [replace(t, surrogates) for t in texts]
             kind_ = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
-            return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], kind_)]
+            out = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], kind_)]
+            if identities:
+                out.append(pa.array([[identity(e["type"], t[e["start"] : e["end"]]) for e in g[1]] for t, g in zip(texts, got, strict=True)], pa.list_(pa.binary())))
+            return out
 
         return f
 
     fields = T.StructType([T.StructField(text, T.StringType()), T.StructField(entities, T._parse_datatype_string(ENTITIES))])
+    last = [entities, *([identities] if identities else [])]
+    if identities:
+        fields = fields.add(identities, T.ArrayType(T.BinaryType()))
     out = annotate(docs, text, fields, make)
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != entities.lower()), F.col(f"`{entities}`"))
-
-
-def collisions(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
-    """type, surrogate, n: surrogates that stand for several different (up to case and separators) originals; none expected.
-    Only the entities are shuffled, summed up in each task first."""
-    rows = pseudonymise(docs.select(F.col(text).cast("string").alias("text"), F.col(text).cast("string").alias("original")), key)
-    e = rows.select("original", F.explode("entities").alias("e")).select("e", F.expr("substring(original, e.start + 1, e.end - e.start)").alias("found")).distinct()
-    plain = F.lower(F.regexp_replace("found", "[^\\p{L}\\p{N}@.:+]", ""))
-    pairs = e.select("e.type", F.lower(F.regexp_replace("e.surrogate", "[^\\p{L}\\p{N}@.:+]", "")).alias("surrogate"), plain.alias("original"))
-    return pairs.groupBy("type", "surrogate").agg(F.count_distinct("original").alias("n")).where("n > 1")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in [x.lower() for x in last]), *(F.col(f"`{c}`") for c in last))
+
+
+def collisions(annotated: DataFrame, *, entities: str = "entities", identities: str = "identities") -> DataFrame:
+    """type, surrogate: surrogates that stand for different originals (identity); none expected. Surrogates are compared as they
+    are, runs of blanks collapsed: formats are kept, so one that differs from another in its separators stands for another entity.
+    Only entities are shuffled, summed up in each task first."""
+    e = annotated.select(F.explode(F.arrays_zip(F.col(f"`{entities}`").alias("e"), F.col(f"`{identities}`").alias("i"))).alias("z")).select("z.e.type", F.regexp_replace("z.e.surrogate", r"\s+", " ").alias("surrogate"), "z.i")
+    return e.groupBy("type", "surrogate").agg(F.min("i").alias("a"), F.max("i").alias("b")).where("a <> b").select("type", "surrogate")
+
+
+def pseudonymise_checked(docs: DataFrame, key: str, *, text: str = "text", entities: str = "entities") -> DataFrame:
+    """pseudonymise, written once as a table in the shared folder and searched for collisions; ValueError if there is one."""
+    identities = "identities"
+    while identities in [c.lower() for c in docs.columns]:
+        identities += "_"
+    rows = to_table(pseudonymise(docs, key, text=text, entities=entities, identities=identities), "pseudonyms")
+    if clash := collisions(rows, entities=entities, identities=identities).first():
+        raise ValueError(f"one surrogate for different entities: {clash.type} {clash.surrogate}")
+    return rows.drop(identities)

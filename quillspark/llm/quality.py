@@ -26,6 +26,7 @@ from .common import annotate, remainder
 SAMPLE = 4096
 TERMS, DIMENSIONS, NEIGHBOURS = 1024, 48, 15
 PIECE, WINDOW = 12, 200
+WEIGHT, BASIS, UNIT = 16, 18, 17  # binary digits of weights, of the latent space's entries, of vectors
 
 
 class Classes(dict):
@@ -91,27 +92,35 @@ class Model:
     share: float
 
     def weights(self, rows: list[Counter]) -> np.ndarray:
-        out = np.zeros((len(rows), len(self.number)), np.float32)
+        """Whole numbers, in units of 2**-WEIGHT."""
+        out = np.zeros((len(rows), len(self.number)))
         for i, row in enumerate(rows):
             n = row["#"]
             for t, c in row.items():
                 j = self.number.get(t)
                 if j is not None and c:
                     out[i, j] = c / n
-        return np.log1p(1000 * out, out=out) * self.idf
+        return np.rint(np.log1p(1000 * out, out=out) * self.idf * 2**WEIGHT)
 
     def project(self, rows: list[Counter]) -> np.ndarray:
+        """Vectors of length 1, as whole numbers in units of 2**-UNIT. Every sum on the way is one of whole numbers below
+        2**53, so it is exact and a vector is a function of its text, however texts are put into blocks."""
         x = self.weights(rows) @ self.basis
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))
+        x = np.rint(np.ldexp(x, UNIT + 4 - exponent))
+        return np.rint(x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1) * 2**UNIT)
 
     def scores(self, texts: list[str | None], block: int = 256) -> np.ndarray:
+        """The nearest are the NEIGHBOURS highest cosines, of equal ones those of the first vectors."""
         out = np.full(len(texts), self.share)
-        k = min(NEIGHBOURS, len(self.labels))
+        n = len(self.labels)
+        k = min(NEIGHBOURS, n)
         for at in range(0, len(texts) if k else 0, block):
             x = self.project([terms(t) for t in texts[at : at + block]])
-            cosine = x @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 8
+            key = (x @ self.vectors.T) * n - np.arange(n)
+            near = np.sort(np.argpartition(-key, k - 1, axis=1)[:, :k], axis=1)
+            cosine = (np.take_along_axis(key, near, 1) + near) / n / 4**UNIT
+            w = np.maximum(cosine, 0) ** 8
             total = w.sum(1)
             some = total > 1e-12
             out[at : at + block][some] = (w * self.labels[near]).sum(1)[some] / total[some]
@@ -123,13 +132,13 @@ def fit(rows: list[tuple[Counter, int]]) -> Model:
     kept = sorted(sorted((t for t, n in df.items() if n >= 3), key=lambda t: (-df[t], t))[:TERMS])
     labels = np.array([y for _, y in rows], np.float64)
     share = float(labels.mean()) if len(rows) else 0.5
-    model = Model({t: i for i, t in enumerate(kept)}, np.ones(len(kept), np.float32), np.zeros((len(kept), 1), np.float32), np.zeros((0, 1), np.float32), labels[:0], share)
+    model = Model({t: i for i, t in enumerate(kept)}, np.ones(len(kept)), np.zeros((len(kept), 1)), np.zeros((0, 1)), labels[:0], share)
     if not kept:
         return model
-    model.idf = np.log((1 + len(rows)) / (1 + np.array([df[t] for t in kept], np.float32))) + np.float32(0.1)
-    x = model.weights([r for r, _ in rows])
-    values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
-    model.basis = np.ascontiguousarray(basis[:, ::-1][:, :DIMENSIONS], np.float32)
+    model.idf = np.log((1 + len(rows)) / (1 + np.array([df[t] for t in kept]))) + 0.1
+    x = model.weights([r for r, _ in rows]) / 2**WEIGHT
+    values, basis = np.linalg.eigh(x.T @ x)
+    model.basis = np.rint(np.ascontiguousarray(basis[:, ::-1][:, :DIMENSIONS]) * 2**BASIS)
     model.vectors, model.labels = model.project([r for r, _ in rows]), labels
     return model
 
@@ -159,8 +168,8 @@ def score_quality(docs: DataFrame, model: Model, *, text: str = "text", column:
     """docs with `column`: the weighted vote for label 1, 0 to 1.
 
     Null, empty and blank texts, and texts that share no term with the sample, get the sample's share of label 1
-    (0.5 if nothing was learned). All rows and columns pass through; nothing is shuffled. Equal texts get equal scores; a
-    tie for the last neighbour goes to either. Very long texts are read whole, one at a time. A column of docs that has the name
+    (0.5 if nothing was learned). All rows and columns pass through; nothing is shuffled. A score is a
+    function of the text alone: equal texts get equal scores however the table is partitioned. Very long texts are read whole, one at a time. A column of docs that has the name
     of `column` is replaced; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

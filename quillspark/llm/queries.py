@@ -55,12 +55,9 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import collisions, pseudonymise
+    from .pii import pseudonymise_checked
 
-    docs, key = chosen(table(spark, sf_dir, "documents"), "doc_id", "text"), pii_key(spark)
-    if clash := collisions(docs, key).first():
-        raise ValueError(f"one surrogate for different entities: {clash}")
-    found = pseudonymise(docs, key)
+    found = pseudonymise_checked(chosen(table(spark, sf_dir, "documents"), "doc_id", "text"), pii_key(spark))
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 

@@ -45,20 +45,26 @@ def class_ranges() -> tuple[np.ndarray, np.ndarray]:
     """(first code point, class) of each run of code points of one class, as the tokenizers library has them.
 
     Which code points are letters, numbers or white space depends on the Unicode version built into the library, so its
-    pre-tokenizer is asked: a code point that stays with a letter, a digit or a sign before it is of that kind, one that
-    stays with none is white space. Done once, on the driver; the runs (a few thousand) go to the tasks.
+    pre-tokenizer is asked. It parts a string of all code points where their class changes, and the first of each part tells
+    the class: one that stays with a letter, a digit or a sign before it is of that kind, one that stays with none is white
+    space. Done once, on the driver; the runs (a few thousand) go to the tasks.
     """
     from tokenizers.pre_tokenizers import ByteLevel
 
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    by = np.full(0x110000, OTHER, np.uint8)  # planes 4 to 13 are unassigned, 15 and 16 private; surrogates are in no text
-    by[:0xD800] = by[0xE000:0x40000] = by[0xE0000:0xF0000] = BLANK
-    for first in (*range(0, 0x40000, 1 << 14), *range(0xE0000, 0xF0000, 1 << 14)):
-        codes = [c for c in range(first, first + (1 << 14)) if not 0xD800 <= c < 0xE000]
-        for before, kind in (("!", OTHER), ("1", NUMBER), ("a", LETTER)):
-            starts = np.zeros(3 * len(codes) + 1, bool)
-            starts[[x[1][0] for x in split("".join(f"{before}{chr(c)}\n" for c in codes))]] = True
-            by[np.array(codes, np.int64)[~starts[1:-1:3]]] = kind
+    # ASCII blanks and apostrophes join what follows them; char_classes sets those that matter. Planes 4 to 13 are
+    # unassigned, 15 and 16 private; surrogates are in no text.
+    asked = [*range(1, 0x20), *range(0x21, 0x27), *range(0x28, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)]
+    codes = np.array(asked, np.int64)
+    first = codes[[x[1][0] for x in split("".join(map(chr, asked)))]]
+    by = np.full(0x110000, OTHER, np.uint8)
+    kind_of = np.full(len(first), BLANK, np.uint8)
+    for before, kind in (("!", OTHER), ("1", NUMBER), ("a", LETTER)):
+        starts = np.zeros(3 * len(first) + 1, bool)
+        starts[[x[1][0] for x in split("".join(f"{before}{chr(c)}\n" for c in first))]] = True
+        kind_of[~starts[1:-1:3]] = kind
+    by[codes] = np.repeat(kind_of, np.diff(np.append(np.searchsorted(codes, first), len(codes))))
+    by[[0, 0x20, 0x27]] = OTHER, BLANK, OTHER
     first = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
     return first, by[first]
 

@@ -24,9 +24,10 @@ def test_quality_votes():
     m = quality.fit([(r, int(y)) for r, y in rows])
     asked = texts(2, 40)
     got = m.scores(asked)
-    x, some = m.project([quality.terms(t) for t in asked]).astype(np.float64), 0
+    unit = 2.0**quality.UNIT
+    x, some = m.project([quality.terms(t) for t in asked]) / unit, 0
     for v, score in zip(x, got, strict=True):
-        near = sorted(((float(np.dot(v, u.astype(np.float64))), y) for u, y in zip(m.vectors, m.labels, strict=True)), reverse=True)
+        near = sorted(((float(np.dot(v, u / unit)), y) for u, y in zip(m.vectors, m.labels, strict=True)), reverse=True)
         last, after = near[quality.NEIGHBOURS - 1][0], near[quality.NEIGHBOURS][0]
         weight = [max(c, 0.0) ** 8 for c, _ in near[: quality.NEIGHBOURS]]
         if last - after > 1e-6 and sum(weight) > 1e-9:
@@ -35,6 +36,25 @@ def test_quality_votes():
     assert some > 10
 
 
+def test_quality_is_a_function_of_the_text():
+    """Whatever else is in the block and wherever ties fall: the same bits."""
+    rows = [(quality.terms(t), i % 3 % 2) for i, t in enumerate(texts(1, 60) * 2)]
+    m = quality.fit(rows)
+    asked = texts(2, 90) * 2
+    alone = [float(m.scores([t])[0]) for t in asked]
+    for block in (1, 7, 64, 256):
+        assert m.scores(asked, block).tolist() == alone
+    assert m.scores(asked[::-1]).tolist() == alone[::-1]
+
+
+def test_quality_whatever_the_partitions(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
+    a, b = ({r.doc_id: r.score for r in quality.score_quality(docs.select("doc_id", "text").repartition(n), model).collect()} for n in (3, 7))
+    assert a == b
+
+
 def test_quality_reads_whole_texts():
     """What stands at the end of a long token or of a long text changes the terms."""
     long = "a1" * 400

@@ -107,7 +107,7 @@ def test_clean_texts_stay():
 
 def test_whole_table(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
-    assert P.collisions(docs, "k").count() == 0
+    assert P.collisions(P.pseudonymise(docs, "k", identities="identities")).count() == 0
     old = {r.doc_id: r.text for r in docs.collect()}
     n = 0
     for r in P.pseudonymise(docs, "k").collect():
@@ -120,3 +120,32 @@ def test_whole_table(spark, sf_small):
     clash = spark.createDataFrame([(1, "x@y.org " + "lorem " * 200_000, "e", "t", "n")], "doc_id long, text string, Entities string, __text string, __new string")
     [r] = P.pseudonymise(clash, "k").collect()
     assert list(r.asDict()) == ["doc_id", "text", "__text", "__new", "entities"] and (r["__text"], r["__new"], len(r.entities)) == ("t", "n", 1)
+
+
+def clashes(texts):
+    """Surrogates of two different originals, by a plain dictionary."""
+    of, out = {}, []
+    for t in texts:
+        for e in P.replace(t, S)[1]:
+            value = " ".join(re.split(r"[\s()\[\]./-]+", t[e["start"] : e["end"]].strip()))
+            value = value.lower() if e["type"] in ("person", "email") else value
+            if of.setdefault((e["type"], " ".join(e["surrogate"].split())), value) != value:
+                out.append((e, value))
+    return out
+
+
+def test_collision_check(spark, monkeypatch):
+    """Names that differ in where the blank is are no collision; one surrogate for two entities is one."""
+    K = "quillspark"
+    two = spark.createDataFrame([(1, "Mr Hu Lori wrote.", "x"), (2, "Mrs Xoxe Yi wrote.", "x")], "doc_id long, text string, Identities string")
+    got = {r.doc_id: (r.text, r["Identities"]) for r in P.pseudonymise_checked(two, K).collect()}
+    assert got == {d: (P.replace(t, P.Surrogates(K.encode()))[0], "x") for d, t in ((1, "Mr Hu Lori wrote."), (2, "Mrs Xoxe Yi wrote."))}
+    assert P.pseudonymise_checked(two.limit(0), K).count() == 0
+    rng = __import__("random").Random(8)
+    part = lambda: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))).title()
+    names = [(i, f"{rng.choice(['Mr', 'Mrs', 'Dr'])} {part()} {part()} wrote.") for i in range(4000)]
+    assert not clashes(t for _, t in names)
+    assert P.pseudonymise_checked(spark.createDataFrame(names, "doc_id long, text string"), "k").count() == 4000
+    made = P.pseudonymise(spark.createDataFrame([(1, "Mr Abe Dode wrote."), (2, "Mr Ibo Fafe wrote.")], "doc_id long, text string"), "k", identities="identities")
+    same = made.withColumn("entities", P.F.expr("transform(entities, e -> struct(e.type, e.start, e.end, 'Zed Zed' as surrogate))"))
+    assert [tuple(r) for r in P.collisions(same).collect()] == [("person", "Zed Zed")]

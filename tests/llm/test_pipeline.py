@@ -1,6 +1,7 @@
 """The pipeline against a plain version of every stage, each on its own input."""
 
 import corpus_pipeline as C
+import numpy as np
 import pytest
 from quillspark.llm import pii
 from quillspark.llm.queries import KEY
@@ -75,4 +76,14 @@ def test_edge_tables(spark, sf_small):
 def test_packing_and_run(chain, spark, sf_small):
     before, after = chain[4]
     assert {r.doc_id for r in after.collect()} == set(rows(before))
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.queries import bpe_path
+
+    own, ids = Tokenizer.from_file(bpe_path()), {}
+    for r in sorted(after.collect(), key=lambda r: (r.doc_id, r.start)):
+        got = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(got) == r.length
+        ids.setdefault(r.doc_id, []).extend(got)
+    assert ids == {d: [*own.encode(r.text or "", add_special_tokens=False).ids, 1] for d, r in rows(before).items()}
     assert sorted(map(tuple, C.run(spark, sf_small).collect())) == sorted(map(tuple, after.collect()))
