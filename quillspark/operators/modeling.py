@@ -1,30 +1,24 @@
-"""Modeling tables, splits, classifiers and time-aware evaluation with Spark ML. Rows have id, y (0 or 1) and features."""
+"""Modeling tables, splits, classifiers and time-aware evaluation. Rows have id, y (0 or 1) and features."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.feature import Imputer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edits import community_dynamics, edit_features
 from .lifecycle import filter_until, valid_for_usecase
-from .metrics import eval_folds, eval_measures, find_threshold, fold_thresholds
+from .logit import coefficients, fit_splits, with_z
+from .metrics import eval_folds, fold_thresholds
 from .network import editor_edges, network_features
 from .reports import decile_cutoffs, relabel_by_cutoff
+from .trees import Bagged, Boosted, grow_splits, importances, tree_scores
 from .wikitext import topic_pivot
 
 SEED = 1984
-LEARNERS = {
-    "gbt": lambda trees: GBTClassifier(featuresCol="__x", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.1, seed=SEED),
-    "rf": lambda trees: RandomForestClassifier(featuresCol="__x", labelCol="y", numTrees=trees, seed=SEED),
-    "lr": lambda trees: LogisticRegression(featuresCol="__x", labelCol="y"),
-}
+PLACES = 6  # digits of a probability
+LOGIT_STEPS = 12
+LEARNERS = {"gbt": lambda trees: Boosted(trees=trees), "rf": lambda trees: Bagged(trees=trees)}
 
 
 def select_feature_groups(columns: list[str], *, target: str = "y", off: tuple[str, ...] = (), only: list[str] | None = None) -> list[str]:
@@ -65,9 +59,9 @@ def build_modeling_table(blocks: list[DataFrame], tags: DataFrame | None = None,
     return out if max_year is None else out.where(F.col("TIME_promotion_year") <= max_year)
 
 
-def place(rows: DataFrame, salt: str) -> DataFrame:
-    """rank (from 0) and size of each row within its class, in the order of a hash of salt and id."""
-    w = Window.partitionBy("y")
+def place(rows: DataFrame, salt: str, *by: str) -> DataFrame:
+    """rank (from 0) and size of each row within its class (of its group `by`), in the order of a hash of salt and id."""
+    w = Window.partitionBy(*by, "y")
     h = F.md5(F.concat(F.lit(f"{salt}|"), F.col("id").cast("string")).cast("binary"))
     return rows.withColumn("rank", F.row_number().over(w.orderBy(h, "id")) - 1).withColumn("size", F.count(F.lit(1)).over(w))
 
@@ -90,31 +84,18 @@ def stratified_holdout(rows: DataFrame, *, test: float = 0.3, seed: int = SEED)
     return place(rows, f"{seed}|holdout").withColumn("is_test", F.col("rank") + 1 <= F.ceil(F.col("size") * test)).drop("rank", "size")
 
 
-def pipeline(features: list[str], learner: str, trees: int) -> Pipeline:
-    filled = [f"__{i}" for i in range(len(features))]
-    imputer = Imputer(strategy="mean", inputCols=features, outputCols=filled)
-    return Pipeline(stages=[imputer, VectorAssembler(inputCols=filled, outputCol="__x", handleInvalid="keep"), LEARNERS[learner](trees)])
-
-
 def mean_impute(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
     """rows with missing values replaced by the means of train."""
     return Imputer(strategy="mean", inputCols=features, outputCols=features).fit(train).transform(rows)
 
 
-def fold_run(train: DataFrame, test: DataFrame, features: list[str], *, learner: str = "gbt", trees: int = 100) -> tuple[DataFrame, DataFrame, list[tuple[str, float]]]:
+def fold_run(train: DataFrame, test: DataFrame, features: list[str], **how) -> tuple[DataFrame, DataFrame, list[tuple[str, float]]]:
     """(measures of the test rows, their predictions id, p, y, pred at class 0's threshold, importances). Thresholds are those of the training rows."""
-    kinds = {c: F.col(c).cast("double") for c in features}
-    train, test = train.withColumns(kinds), test.withColumns(kinds)
-    model = pipeline(features, learner, trees).fit(train)
-    scored = lambda rows: model.transform(rows).select("id", vector_to_array("probability")[1].alias("p"), "y")
-    fitted = scored(train).cache()
-    macro = find_threshold(fitted).first()
-    binary = find_threshold(fitted, measure="binary_f1").first()
-    cuts = [r.threshold if r else 0.5 for r in (macro, binary)]
-    p = scored(test).cache()
-    last = model.stages[-1]
-    weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    return eval_measures(p, *cuts), p.withColumn("pred", (F.col("p") > cuts[1]).cast("int")), list(zip(features, map(float, weights), strict=True))
+    columns = ["id", "y", *features]
+    both = train.select(*columns, F.lit(False).alias("is_test")).unionByName(test.select(*columns, F.lit(True).alias("is_test"))).withColumn("fold", F.lit(0))
+    trained, tested, weights = scored_splits(both, features, **how)
+    cuts = fold_thresholds(trained).cache()
+    return eval_folds(tested, cuts).drop("fold"), with_pred(tested, cuts).drop("fold"), [(r.feature, r.importance) for r in weights.collect()]
 
 
 def long_measures(table: DataFrame) -> DataFrame:
@@ -129,41 +110,49 @@ def stacked(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def run_splits(splits: list[tuple[int, DataFrame, DataFrame]], features: list[str], *, learner: str = "gbt", trees: int = 100, threads: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fit every split, a few at a time: measures (fold, measure, value), predictions, summed importances (feature, importance).
+def with_pred(tested: DataFrame, cuts: DataFrame) -> DataFrame:
+    p = tested.join(F.broadcast(cuts), "fold", "left")
+    return p.withColumn("pred", (F.col("p") > F.coalesce("binary_optimal_th", F.lit(0.5))).cast("int")).select("fold", "id", "p", "y", "pred")
+
 
-    Only fitting is done split by split. Thresholds (of the training rows) and measures of all splits come from one grouped pass each."""
-    kinds = {c: F.col(c).cast("double") for c in features}
+def scored_splits(splits: DataFrame, features: list[str], *, learner: str = "gbt", trees: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training rows, test rows: fold, id, p to PLACES digits, y; feature, importance summed over the splits).
 
-    def fit(split):
-        fold, train, test = split
-        model = pipeline(features, learner, trees).fit(train.withColumns(kinds))
-        last = model.stages[-1]
-        weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-        scored = lambda rows: model.transform(rows.withColumns(kinds)).select(F.lit(fold).alias("fold"), "id", vector_to_array("probability")[1].alias("p"), "y")
-        return scored(train), scored(test), list(zip(features, map(float, weights), strict=True))
+    splits: fold, is_test, id, y and the features, a row for each split that it takes part in. All splits are fitted together, in grouped passes
+    over the rows: Newton steps of `lr`, the levels of trees of `gbt` and `rf`."""
+    splits = splits.select("fold", "is_test", "id", "y", *(F.col(f"`{f}`").cast("double").alias(f) for f in features)).cache()
+    if learner == "lr":
+        fits = fit_splits(splits, features)
+        p = with_z(splits, features, fits)
+        weights = [(f, float(sum(abs(fit.weights[j + 1]) for fit in fits.values()))) for j, f in enumerate(features)]
+    else:
+        nodes = grow_splits(splits, features, LEARNERS[learner](trees))
+        p = tree_scores(splits, features, nodes)
+        weights = importances(nodes, features)
+    p = p.select("fold", "is_test", "id", F.round("p", PLACES).alias("p"), "y").cache()
+    rows = splits.sparkSession.createDataFrame(weights, "feature string, importance double")
+    return p.where("not is_test").drop("is_test"), p.where("is_test").drop("is_test"), rows
 
-    with ThreadPoolExecutor(threads) as pool:
-        got = list(pool.map(fit, splits))
-    trained, tested = stacked([g[0] for g in got]), stacked([g[1] for g in got]).cache()
+
+def run_splits(splits: DataFrame, features: list[str], **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit every split: measures (fold, measure, value), predictions, summed importances (feature, importance)."""
+    trained, tested, weights = scored_splits(splits, features, **how)
     cuts = fold_thresholds(trained).cache()
-    spark = splits[0][1].sparkSession
-    weights = spark.createDataFrame([w for *_, ws in got for w in ws], "feature string, importance double")
-    predictions = tested.join(F.broadcast(cuts), "fold", "left").withColumn("pred", (F.col("p") > F.coalesce("binary_optimal_th", F.lit(0.5))).cast("int")).select("fold", "id", "p", "y", "pred")
-    return long_measures(eval_folds(tested, cuts)), predictions, weights.groupBy("feature").agg(F.sum("importance").alias("importance"))
+    return long_measures(eval_folds(tested, cuts)), with_pred(tested, cuts), weights
+
+
+def kfold_splits(rows: DataFrame, k: int = 5, *by: str) -> DataFrame:
+    """Every row once for each of the k folds (of its group `by`), with is_test in its own."""
+    placed = place(rows, str(SEED), *by).withColumn("own", F.col("rank") % k).drop("rank", "size")
+    return placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("is_test", F.col("own") == F.col("fold")).drop("own")
 
 
 def cv_job(rows: DataFrame, features: list[str], *, k: int = 5, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    folds = stratified_kfold(rows, k).cache()
-    return run_splits([(i, folds.where(F.col("fold") != i).drop("fold"), folds.where(F.col("fold") == i).drop("fold")) for i in range(k)], features, **how)
+    return run_splits(kfold_splits(rows, k), features, **how)
 
 
 def bootstrap_job(rows: DataFrame, features: list[str], *, n: int = 100, test: float = 0.2, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
-    def split(i: int) -> tuple[int, DataFrame, DataFrame]:
-        r = place(rows, f"{SEED}|{i}").withColumn("t", F.col("rank") + 1 <= F.ceil(F.col("size") * test)).drop("rank", "size")
-        return i, r.where("not t").drop("t"), r.where("t").drop("t")
-
-    return run_splits([split(i) for i in range(n)], features, **how)
+    return run_splits(stratified_bootstrap(rows.select("id", "y", *features), n, test=test).withColumnRenamed("replicate", "fold"), features, **how)
 
 
 def year_buckets(rows: DataFrame, year: str = "year", *, k: int = 5) -> DataFrame:
@@ -180,45 +169,43 @@ def year_buckets(rows: DataFrame, year: str = "year", *, k: int = 5) -> DataFram
 
 def cv_by_time(rows: DataFrame, features: list[str], *, k: int = 5, **how):
     """Leave out one bucket of years at a time."""
-    r = rows.join(F.broadcast(year_buckets(rows, k=k)), "year").cache()
-    buckets = sorted(x[0] for x in r.select("bucket").distinct().collect())
-    return run_splits([(b, r.where(F.col("bucket") != b), r.where(F.col("bucket") == b)) for b in buckets], features, **how)
+    buckets = year_buckets(rows, k=k)
+    each = rows.join(F.broadcast(buckets), "year")
+    folds = buckets.select(F.col("bucket").alias("fold")).distinct()
+    return run_splits(each.join(F.broadcast(folds), F.lit(True)).withColumn("is_test", F.col("bucket") == F.col("fold")), features, **how)
 
 
-def per_period_holdout(rows: DataFrame, features: list[str], *, k: int = 5, **how):
+def per_period_holdout(rows: DataFrame, features: list[str], *, k: int = 5, test: float = 0.3, **how):
     """A stratified 70/30 split inside each bucket of years."""
-    r = rows.join(F.broadcast(year_buckets(rows, k=k)), "year").cache()
-    splits = []
-    for b in sorted(x[0] for x in r.select("bucket").distinct().collect()):
-        h = stratified_holdout(r.where(F.col("bucket") == b))
-        splits.append((b, h.where("not is_test"), h.where("is_test")))
-    return run_splits(splits, features, **how)
+    each = rows.join(F.broadcast(year_buckets(rows, k=k)), "year").withColumnRenamed("bucket", "fold")
+    placed = place(each, f"{SEED}|holdout", "fold").withColumn("is_test", F.col("rank") + 1 <= F.ceil(F.col("size") * test))
+    return run_splits(placed, features, **how)
 
 
-def expanding_years(rows: DataFrame, *, initial: int = 3) -> list[tuple[int, DataFrame]]:
-    """(year, rows up to it) from the `initial`-th year on."""
-    years = sorted(r[0] for r in rows.select("year").distinct().where("year is not null").collect())
-    return [(y, rows.where(F.col("year") <= y)) for y in years[initial - 1 :]]
+def years_from(rows: DataFrame, initial: int) -> list[int]:
+    """Years from the `initial`-th on. Years are few."""
+    return sorted(r[0] for r in rows.select("year").distinct().where("year is not null").collect())[initial - 1 :]
+
+
+def by_cutoff(rows: DataFrame, years: list[int]) -> DataFrame:
+    """Every row once for each of the years, as `cutoff`."""
+    return rows.withColumn("cutoff", F.explode(F.array(*map(F.lit, years)))) if years else rows.withColumn("cutoff", F.lit(0)).limit(0)
 
 
 def expanding_year_eval(rows: DataFrame, features: list[str], *, initial: int = 3, k: int = 5, **how) -> DataFrame:
-    """fold measures of a cross-validation on all rows up to each year, with that year."""
-    out = None
-    for y, upto in expanding_years(rows, initial=initial):
-        m = cv_job(upto, features, k=k, **how)[0].withColumn("year", F.lit(y))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """fold measures of a cross-validation on all rows up to each year, with that year; all years are fitted together."""
+    upto = by_cutoff(rows, years_from(rows, initial)).where(F.col("year") <= F.col("cutoff"))
+    splits = kfold_splits(upto, k, "cutoff").withColumn("fold", F.col("cutoff") * k + F.col("fold"))
+    out = run_splits(splits, features, **how)[0]
+    return out.select((F.col("fold") % k).alias("fold"), "measure", "value", F.floor(F.col("fold") / k).cast("int").alias("year"))
 
 
 def sliding_year_eval(rows: DataFrame, features: list[str], *, initial: int = 3, lag: int = 3, move: bool = False, **how) -> DataFrame:
     """Train on years up to each year (or, moving, the years from year - lag to it, both included), test on later ones; splits with one class are skipped."""
-    splits = []
-    for y, upto in expanding_years(rows, initial=initial):
-        train = upto.where(F.col("year") >= y - lag) if move else upto
-        test = rows.where(F.col("year") > y)
-        if min(s.select("y").distinct().count() for s in (train, test)) == 2:
-            splits.append((y, train, test))
-    return run_splits(splits, features, **how)[0].withColumnRenamed("fold", "year")
+    each = by_cutoff(rows, years_from(rows, initial)).withColumn("is_test", F.col("year") > F.col("cutoff")).withColumn("fold", F.col("cutoff"))
+    each = each.where(F.col("year") >= F.col("cutoff") - lag if move else F.col("year").isNotNull()).cache()
+    kinds = each.groupBy("fold", "is_test").agg(F.count_distinct("y").alias("n")).where("n = 2").groupBy("fold").count().where("count = 2").select("fold")
+    return run_splits(each.join(F.broadcast(kinds), "fold", "left_semi"), features, **how)[0].withColumnRenamed("fold", "year")
 
 
 def future_cohort_eval(rows: DataFrame, features: list[str], *, max_year: int, share: float = 0.05, **how) -> DataFrame:
@@ -229,18 +216,14 @@ def future_cohort_eval(rows: DataFrame, features: list[str], *, max_year: int, s
     return p.orderBy("p", "id").limit(k).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == 0).cast("double")).alias("precision"))
 
 
-def decile_relabel_eval(rows: DataFrame, features: list[str], value: str, **how) -> DataFrame:
+def decile_relabel_eval(rows: DataFrame, features: list[str], value: str, *, k: int = 5, **how) -> DataFrame:
     """decile, measure, n, mean: a cross-validation under each of the ten decile cutoffs of `value`, with the label that
-    relabel_by_cutoff gives. A cutoff that leaves one class has no rows."""
-    out = None
-    for r in decile_cutoffs(rows, value).collect():
-        one = relabel_by_cutoff(rows.drop("y"), rows.sparkSession.createDataFrame([(r.decile, r.cutoff)], "decile long, cutoff long"), value)
-        one = one.select("*", F.col("relabelled").alias("y")).drop("decile", "cutoff", "relabelled")
-        if one.select("y").distinct().count() < 2:
-            continue
-        m = cv_job(one, features, **how)[0].groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean")).withColumn("decile", F.lit(r.decile))
-        out = m if out is None else out.unionByName(m)
-    return out if out is not None else rows.sparkSession.createDataFrame([], "measure string, n long, mean double, decile long")
+    relabel_by_cutoff gives, all together. A cutoff that leaves one class has no rows."""
+    each = relabel_by_cutoff(rows.drop("y"), decile_cutoffs(rows, value), value).withColumnRenamed("relabelled", "y").cache()
+    mixed = each.groupBy("decile").agg(F.count_distinct("y").alias("n")).where("n = 2").select("decile")
+    splits = kfold_splits(each.join(F.broadcast(mixed), "decile", "left_semi"), k, "decile").withColumn("fold", (F.col("decile") * k + F.col("fold")).cast("int"))
+    out = run_splits(splits, features, **how)[0].withColumn("decile", F.floor(F.col("fold") / k))
+    return out.groupBy("decile", "measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
 def ablation_compare(rows: DataFrame, models: dict[str, list[str]], *, k: int = 5, **how) -> DataFrame:
@@ -252,23 +235,20 @@ def ablation_compare(rows: DataFrame, models: dict[str, list[str]], *, k: int =
     return out
 
 
-def logit(rows: DataFrame, features: list[str]) -> DataFrame:
-    """feature, coefficient, p_value of a binomial regression on all features together."""
-    data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.select("y", *(F.col(f).cast("double").alias(f) for f in features)))
-    m = GeneralizedLinearRegression(family="binomial", featuresCol="__x", labelCol="y").fit(data)
-    p = m.summary.pValues
-    return rows.sparkSession.createDataFrame([(f, float(c), float(v)) for f, c, v in zip(features, m.coefficients, p, strict=False)], "feature string, coefficient double, p_value double")
+def logit(rows: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """feature, coefficient, p_value of a binomial regression on each set of features; rows with a missing feature of a set are left out.
+    A constant feature is skipped."""
+    out = []
+    for features in sets:
+        fits = fit_splits(rows.select(F.lit(0).alias("fold"), F.lit(False).alias("is_test"), "y", *features).na.drop(subset=features), features, steps=LOGIT_STEPS, ridge=0.0)
+        out += [x for fit in fits.values() for j, x in enumerate(coefficients(fit, features)) if fit.scale[j]]
+    return rows.sparkSession.createDataFrame(out, "feature string, coefficient double, p_value double")
 
 
 def univariate_logit(rows: DataFrame, features: list[str]) -> DataFrame:
-    """One regression for each feature; those that fail (a constant column) are skipped."""
-    out = None
-    for f in features:
-        if rows.agg(F.count_distinct(f)).first()[0] > 1:
-            one = logit(rows, [f])
-            out = one if out is None else out.unionByName(one)
-    return out
+    """One regression for each feature; a constant one is skipped."""
+    return logit(rows, [[f] for f in features])
 
 
 def multivariate_logit(rows: DataFrame, features: list[str], *, level: float = 0.01) -> DataFrame:
-    return logit(rows, features).where(F.col("p_value") < level)
+    return logit(rows, [features]).where(F.col("p_value") < level)

@@ -8,11 +8,15 @@ from ..operators import metrics as M
 from ..operators import modeling as B
 from ..operators import reports as R
 from ..operators import wikitext as W
+from ..operators.logit import RIDGE, STEPS
+from . import newton_sql as N
+from . import tree_sql as T
 from . import views as V
 from .lifecycle_queries import life
 
 FEATURES = ["EDIT_chars", "EDIT_lines", "COMPOSITION_words", "NETWORK_hash"]
 TREES = 100
+JOB = [*FEATURES, "days"]  # days are missing in every third row
 CUTS = "(SELECT unnest([" + ", ".join(map(str, M.THRESHOLDS)) + "]) AS threshold)"
 CONF = f"cf AS (SELECT threshold, count(*) FILTER (p > threshold AND y = 1) AS tp, count(*) FILTER (p > threshold AND y = 0) AS fp, count(*) FILTER (p <= threshold AND y = 1) AS fn, count(*) FILTER (p <= threshold AND y = 0) AS tn FROM preds, {CUTS} GROUP BY threshold)"
 
@@ -64,14 +68,9 @@ def load(s, sf):
     return R.reindex_fill(V.preds(s, sf).withColumn("page_id", F.col("id")), outcomes(s, sf))
 
 
-def settled(measures):
-    """Without the chosen thresholds: a training share that equals one of them lies on either side of it by a last digit."""
-    return measures.where("measure not like '%optimal_th'")
-
-
 def splits_report(run):
     """Splits' measures in the long form."""
-    return settled(run[0]).groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return run[0].groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
 
 
 def register_all(register) -> None:
@@ -144,63 +143,57 @@ def register_all(register) -> None:
     register("article_features", lambda s, sf: B.article_features(V.revisions(s, sf), life(s, sf), "fa")[0], article_sql())
     modeling = f"{D}, {V.TOPICS}, od AS (SELECT o_custkey AS page_id, count(*) AS EDIT_orders FROM orders GROUP BY 1), tt AS (SELECT DISTINCT project_name AS t FROM topics)"
     register("build_modeling_table", modeling_table, w(modeling, "SELECT m.id AS page_id, CAST(m.y AS BIGINT) AS y, CAST(m.year AS BIGINT) AS TIME_promotion_year, EDIT_orders, 'TOPIC_i_' || replace(lower(t), ' ', '_') AS topic, CAST(CASE WHEN t <> project_name THEN 0 WHEN importance = 'low' THEN 1 WHEN importance = 'mid' THEN 2 WHEN importance = 'high' THEN 4 WHEN importance = 'top' THEN 5 ELSE 3 END AS BIGINT) AS v FROM model m JOIN od ON od.page_id = m.id JOIN topics ON topics.page_id = m.id, tt WHERE m.year <= 2016"))
-    # Learners. Trees are tested by their held-out quality; logistic regression on one binary feature predicts each group's share in training, so
-    # whole jobs of it, at their published sizes, have SQL.
-    for learner in ("gbt", "rf"):
-        def fit(s, sf, learner=learner):
-            h = B.stratified_holdout(md(s, sf))
-            return B.fold_run(h.where("not is_test"), h.where("is_test"), FEATURES, learner=learner, trees=TREES)[1]
-        register(f"train_{learner}", fit)
-    register("feature_importance_sum", lambda s, sf: B.cv_job(md(s, sf), FEATURES, learner="rf", trees=TREES)[2])
-    holdout = f"{placed('1984|holdout').replace('pl AS', 'pl AS', 1)}, splits AS (SELECT 0 AS fold, id, y, x, rk + 1 <= ceil(sz * 0.3) AS is_test FROM pl)"
+    # Learners. All jobs are registered at their published sizes, on real features; their SQL writes out the same Newton steps and tree levels.
     lr = dict(learner="lr")
-    one = lambda s, sf: md(s, sf).withColumn("x", (F.col("EDIT_chars") > CHARS).cast("double"))
-    M1 = f"{D.replace('model AS', 'model0 AS', 1)}, model AS (SELECT *, CAST(EDIT_chars > {CHARS} AS BIGINT) AS x FROM model0)"
-    def held(s, sf):
-        h = B.stratified_holdout(one(s, sf))
-        return B.fold_run(h.where("not is_test"), h.where("is_test"), ["x"], **lr)
-    register("train_lr", lambda s, sf: held(s, sf)[1].select("id", F.round("p", 3).alias("p"), "y"), w(f"{M1}, {holdout}, {PREDICTED}", "SELECT id, round(p, 3) AS p, CAST(y AS BIGINT) AS y FROM te"))
-    register("fold_run", lambda s, sf: held(s, sf)[0], w(f"{M1}, {holdout}, {EVALUATED}", "SELECT " + rounded("") + " FROM ev"))
+    M1 = f"{D.replace('model AS', 'model0 AS', 1)}, model AS (SELECT *, [{', '.join(f'CAST({c} AS DOUBLE)' for c in JOB)}] AS x FROM model0)"
+    holdout = f"{placed('1984|holdout')}, splits AS (SELECT 0 AS fold, id, y, x, rk + 1 <= ceil(sz * 0.3) AS is_test FROM pl)"
+    def held(s, sf, **how):
+        h = B.stratified_holdout(md(s, sf))
+        return B.fold_run(h.where("not is_test"), h.where("is_test"), JOB, **how)
+    register("train_lr", lambda s, sf: held(s, sf, **lr)[1], w(f"{M1}, {holdout}, {EVALUATED}", "SELECT id, p, y, CAST(p > binary_optimal_th AS BIGINT) AS pred FROM te JOIN bt USING (fold)"))
+    register("fold_run", lambda s, sf: held(s, sf, **lr)[0], w(f"{M1}, {holdout}, {EVALUATED}", "SELECT " + rounded("") + " FROM ev"))
+    chosen = f"tc AS ({counts_at('threshold', f'tr, {CUTS}', 'fold, threshold')}), bt AS ({best_at('binary_f1', 'binary_optimal_th')})"
+    for learner, cte in (("gbt", T.boosted(len(JOB), TREES)), ("rf", T.forest(len(JOB), TREES))):
+        register(f"train_{learner}", lambda s, sf, learner=learner: held(s, sf, learner=learner, trees=TREES)[1], w(f"RECURSIVE {M1}, {holdout}, {cte}, {chosen}", "SELECT id, p, y, CAST(p > binary_optimal_th AS BIGINT) AS pred FROM te JOIN bt USING (fold)"))
     jobs = {}
     folds = f"{placed(1984)}, fo AS (SELECT *, rk % 5 AS f FROM pl), splits AS (SELECT k AS fold, id, y, x, f = k AS is_test FROM fo, range(5) t(k))"
-    jobs["cv_job"] = (lambda s, sf: B.cv_job(one(s, sf), ["x"], **lr), M1, folds)
-    jobs["bootstrap_job"] = (lambda s, sf: B.bootstrap_job(one(s, sf), ["x"], **lr), M1, "splits AS (SELECT i AS fold, id, y, x, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS is_test FROM model, range(100) t(i))")
+    jobs["cv_job"] = (lambda s, sf: B.cv_job(md(s, sf), JOB, **lr), M1, folds)
+    jobs["bootstrap_job"] = (lambda s, sf: B.bootstrap_job(md(s, sf), JOB, **lr), M1, "splits AS (SELECT i AS fold, id, y, x, row_number() OVER (PARTITION BY i, y ORDER BY md5('1984|' || i || '|' || id), id) <= ceil(count(*) OVER (PARTITION BY i, y) * 0.2) AS is_test FROM model, range(100) t(i))")
+    register("feature_importance_sum", lambda s, sf: B.cv_job(md(s, sf), JOB, learner="rf", trees=TREES)[2], w(f"{M1}, {folds}, {T.forest(len(JOB), TREES)}", "SELECT [" + ", ".join(f"'{c}'" for c in JOB) + "][j] AS feature, round(sum(share), 6) AS importance FROM (SELECT fold, j, sum(gain) / sum(sum(gain)) OVER (PARTITION BY fold) AS share FROM gn GROUP BY fold, j) GROUP BY j"))
     by_bucket = f"{BUCKETS}, mb AS (SELECT * FROM model JOIN buckets USING (year))"
-    jobs["cv_by_time"] = (lambda s, sf: B.cv_by_time(one(s, sf), ["x"], **lr), M1, f"{by_bucket}, splits AS (SELECT k AS fold, id, y, x, bucket = k AS is_test FROM mb, (SELECT DISTINCT bucket AS k FROM buckets))")
-    jobs["per_period_holdout"] = (lambda s, sf: B.per_period_holdout(one(s, sf), ["x"], **lr), M1, f"{by_bucket}, splits AS (SELECT bucket AS fold, id, y, x, row_number() OVER (PARTITION BY bucket, y ORDER BY md5('1984|holdout|' || id), id) <= ceil(count(*) OVER (PARTITION BY bucket, y) * 0.3) AS is_test FROM mb)")
+    jobs["cv_by_time"] = (lambda s, sf: B.cv_by_time(md(s, sf), JOB, **lr), M1, f"{by_bucket}, splits AS (SELECT k AS fold, id, y, x, bucket = k AS is_test FROM mb, (SELECT DISTINCT bucket AS k FROM buckets))")
+    jobs["per_period_holdout"] = (lambda s, sf: B.per_period_holdout(md(s, sf), JOB, **lr), M1, f"{by_bucket}, splits AS (SELECT bucket AS fold, id, y, x, row_number() OVER (PARTITION BY bucket, y ORDER BY md5('1984|holdout|' || id), id) <= ceil(count(*) OVER (PARTITION BY bucket, y) * 0.3) AS is_test FROM mb)")
     for name, (run, cte, splits) in jobs.items():
         register(name, lambda s, sf, run=run: splits_report(run(s, sf)), w(f"RECURSIVE {cte}, {splits}, {EVALUATED}", REPORT))
     years = "yr AS (SELECT row_number() OVER (ORDER BY year) AS i, year AS cutoff FROM (SELECT DISTINCT year FROM model WHERE year IS NOT NULL))"
     upto = "up AS (SELECT cutoff, m.*, row_number() OVER (PARTITION BY cutoff, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM model m JOIN yr ON m.year <= cutoff AND i >= 3)"
-    register("expanding_year_eval", lambda s, sf: settled(B.expanding_year_eval(one(s, sf), ["x"], **lr)), w(f"{M1}, {years}, {upto}, splits AS (SELECT cutoff * 10 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM up, range(5) t(k)), {EVALUATED}, {LONG}", "SELECT fold % 10 AS fold, measure, round(value, 6) AS value, fold // 10 AS year FROM long"))
+    register("expanding_year_eval", lambda s, sf: B.expanding_year_eval(md(s, sf), JOB, **lr), w(f"{M1}, {years}, {upto}, splits AS (SELECT cutoff * 5 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM up, range(5) t(k)), {EVALUATED}, {LONG}", "SELECT CAST(fold % 5 AS BIGINT) AS fold, measure, round(value, 6) AS value, CAST(fold // 5 AS BIGINT) AS year FROM long"))
     def sliding(s, sf):
-        rows, out = one(s, sf), None
+        rows, out = md(s, sf), None
         for move in (False, True):
-            m = B.sliding_year_eval(rows, ["x"], move=move, **lr).withColumn("moving", F.lit(move))
+            m = B.sliding_year_eval(rows, JOB, move=move, **lr).withColumn("moving", F.lit(move))
             out = m if out is None else out.unionByName(m)
-        return settled(out)
+        return out
     slide = "splits AS (SELECT cutoff * 10 + v AS fold, id, y, x, year > cutoff AS is_test FROM model, yr, range(2) t(v) WHERE i >= 3 AND (v = 0 OR year >= cutoff - 3)), ok AS (SELECT fold FROM splits GROUP BY 1 HAVING count(DISTINCT y) FILTER (is_test) = 2 AND count(DISTINCT y) FILTER (NOT is_test) = 2)"
-    register("sliding_year_eval", sliding, w(f"{M1}, {years}, {slide.replace('splits AS', 's0 AS', 1).replace('FROM splits', 'FROM s0')}, splits AS (SELECT s0.* FROM s0 JOIN ok USING (fold)), {EVALUATED}, {LONG}", "SELECT fold // 10 AS year, measure, round(value, 6) AS value, fold % 10 = 1 AS moving FROM long"))
+    register("sliding_year_eval", sliding, w(f"{M1}, {years}, {slide.replace('splits AS', 's0 AS', 1).replace('FROM splits', 'FROM s0')}, splits AS (SELECT s0.* FROM s0 JOIN ok USING (fold)), {EVALUATED}, {LONG}", "SELECT CAST(fold // 10 AS BIGINT) AS year, measure, round(value, 6) AS value, fold % 10 = 1 AS moving FROM long"))
     cohort = "splits AS (SELECT 0 AS fold, id, y, x, year > 2014 AS is_test FROM model)"
-    register("future_cohort_eval", lambda s, sf: B.future_cohort_eval(one(s, sf), ["x"], max_year=2014, **lr), w(f"{M1}, {cohort}, {PREDICTED}", "SELECT count(*) AS n, round(avg(CAST(y = 0 AS INTEGER)), 6) AS precision FROM (SELECT y, row_number() OVER (ORDER BY p, id) AS rn, count(*) OVER () AS k FROM te) WHERE rn <= greatest(1, CAST(floor(k * 0.05) AS BIGINT))"))
-    two = lambda s, sf: one(s, sf).withColumn("z", (F.col("id") % 3 == 0).cast("double"))
-    ablation = folds.replace("x, f = k", "v * 2 + CASE WHEN v = 0 THEN x ELSE CAST(id % 3 = 0 AS BIGINT) END AS x, f = k").replace("k AS fold", "v * 10 + k AS fold").replace("FROM fo, range(5) t(k)", "FROM fo, range(5) t(k), range(2) u(v)")
-    register("ablation_compare", lambda s, sf: B.ablation_compare(two(s, sf), {"chars": ["x"], "third": ["z"]}, **lr).transform(settled), w(f"{M1}, {ablation}, {EVALUATED}, {LONG}", "SELECT CASE WHEN fold < 10 THEN 'chars' ELSE 'third' END AS model, measure, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
-    register("decile_relabel_eval", lambda s, sf: settled(B.decile_relabel_eval(one(s, sf), ["x"], "days", **lr)), w(f"{dec.replace(D, M1)}, re AS (SELECT id, x, decile, CASE WHEN days <= cutoff THEN 0 ELSE 1 END AS y FROM model, dc), pl AS (SELECT *, row_number() OVER (PARTITION BY decile, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM re), mixed AS (SELECT decile FROM re GROUP BY 1 HAVING min(y) < max(y)), splits AS (SELECT decile * 10 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM pl JOIN mixed USING (decile), range(5) t(k)), {EVALUATED}, {LONG}", "SELECT fold // 10 AS decile, measure, count(value) AS n, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
-    cell = lambda f: f"SELECT '{f}' AS feature, count(*) FILTER ({f} = 1 AND y = 1) AS a, count(*) FILTER ({f} = 1 AND y = 0) AS b, count(*) FILTER ({f} = 0 AND y = 1) AS c, count(*) FILTER ({f} = 0 AND y = 0) AS d FROM m2"
-    wald = f"{M1}, m2 AS (SELECT *, CAST(id % 3 = 0 AS BIGINT) AS z FROM model), ce AS ({cell('x')} UNION ALL {cell('z')}), lo AS (SELECT feature, ln(a * d / (b * c)) AS coef, abs(ln(a * d / (b * c))) / sqrt(1 / a + 1 / b + 1 / c + 1 / d) / sqrt(2) AS u FROM ce), pv AS (SELECT feature, coef, 1 - 2 / sqrt(pi()) * (SELECT sum((CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(u) - lgamma(k + 1)) / (2 * k + 1)) FROM range(120) t(k)) AS p FROM lo)"
-    register("univariate_logit", lambda s, sf: B.univariate_logit(two(s, sf), ["x", "z"]).select("feature", F.round("coefficient", 4).alias("coefficient"), F.round("p_value", 3).alias("p_value")), w(wald, "SELECT feature, round(coef, 4) AS coefficient, round(p, 3) AS p_value FROM pv"))
-    register("multivariate_logit", lambda s, sf: B.multivariate_logit(md(s, sf), FEATURES))
-
-
-CHARS = 1500
+    register("future_cohort_eval", lambda s, sf: B.future_cohort_eval(md(s, sf), JOB, max_year=2014, **lr), w(f"{M1}, {cohort}, {PREDICTED}", "SELECT count(*) AS n, round(avg(CAST(y = 0 AS INTEGER)), 6) AS precision FROM (SELECT y, row_number() OVER (ORDER BY p, id) AS rn, count(*) OVER () AS k FROM te) WHERE rn <= greatest(1, CAST(floor(k * 0.05) AS BIGINT))"))
+    ablation = folds.replace("x, f = k", "CASE WHEN v = 0 THEN [x[1], x[2], NULL, NULL, NULL] ELSE x END AS x, f = k").replace("k AS fold", "v * 10 + k AS fold").replace("FROM fo, range(5) t(k)", "FROM fo, range(5) t(k), range(2) u(v)")
+    register("ablation_compare", lambda s, sf: B.ablation_compare(md(s, sf), {"edits": JOB[:2], "all": JOB}, **lr), w(f"{M1}, {ablation}, {EVALUATED}, {LONG}", "SELECT CASE WHEN fold < 10 THEN 'edits' ELSE 'all' END AS model, measure, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
+    relabelled = f"{dec.replace(D, M1)}, re AS (SELECT id, [x[1], x[2], x[3], x[4], NULL] AS x, decile, CASE WHEN days <= cutoff THEN 0 ELSE 1 END AS y FROM model, dc), pl AS (SELECT *, row_number() OVER (PARTITION BY decile, y ORDER BY md5('1984|' || id), id) - 1 AS rk FROM re), mixed AS (SELECT decile FROM re GROUP BY 1 HAVING min(y) < max(y))"
+    register("decile_relabel_eval", lambda s, sf: B.decile_relabel_eval(md(s, sf), FEATURES, "days", **lr), w(f"{relabelled}, splits AS (SELECT decile * 5 + k AS fold, id, y, x, rk % 5 = k AS is_test FROM pl JOIN mixed USING (decile), range(5) t(k)), {EVALUATED}, {LONG}", "SELECT CAST(fold // 5 AS BIGINT) AS decile, measure, count(value) AS n, round(avg(value), 6) AS mean FROM long GROUP BY ALL"))
+    each = f"splits AS (SELECT j AS fold, id, y, [x[j]] AS x, false AS is_test FROM model, range(1, {len(JOB) + 1}) t(j) WHERE x[j] IS NOT NULL)"
+    number = " ".join(f"WHEN {j} THEN '{c}'" for j, c in enumerate(JOB, 1))
+    register("univariate_logit", lambda s, sf: B.univariate_logit(md(s, sf), JOB), w(f"{M1}, {each}, {N.newton(1, B.LOGIT_STEPS, 0)}, {N.coefficients(1, B.LOGIT_STEPS, ['x'])}", f"SELECT CASE fold {number} END AS feature, round(coefficient, 6) AS coefficient, round(p_value, 6) AS p_value FROM pv"))
+    whole = f"splits AS (SELECT 0 AS fold, id, y, x, false AS is_test FROM model WHERE {' AND '.join(f'x[{j}] IS NOT NULL' for j in range(1, len(JOB) + 1))})"
+    register("multivariate_logit", lambda s, sf: B.multivariate_logit(md(s, sf), JOB), w(f"{M1}, {whole}, {N.newton(len(JOB), B.LOGIT_STEPS, 0)}, {N.coefficients(len(JOB), B.LOGIT_STEPS, JOB)}", "SELECT feature, round(coefficient, 6) AS coefficient, round(p_value, 6) AS p_value FROM pv WHERE p_value < 0.01"))
+
+
 BUCKETS = """yc AS (SELECT row_number() OVER (ORDER BY year) AS i, year, count(*) AS n FROM model WHERE year IS NOT NULL GROUP BY year),
 yb AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS year, 0 AS bucket, CAST(0 AS BIGINT) AS held UNION ALL
  SELECT yc.i, yc.year, CASE WHEN held + n > 1.2 * (SELECT sum(n) FROM yc) / 5 AND bucket < 4 THEN bucket + 1 ELSE bucket END, CASE WHEN held + n > 1.2 * (SELECT sum(n) FROM yc) / 5 AND bucket < 4 THEN n ELSE held + n END FROM yb JOIN yc ON yc.i = yb.i + 1),
 buckets AS (SELECT year, bucket FROM yb WHERE year IS NOT NULL)"""
-# A regression on one binary feature predicts the share of label 1 among the training rows with the same value.
-PREDICTED = """sp AS (SELECT s.*, g.p FROM splits s JOIN (SELECT fold, x, avg(y) AS p FROM splits WHERE NOT is_test GROUP BY ALL) g USING (fold, x)),
-tr AS (FROM sp WHERE NOT is_test), te AS (FROM sp WHERE is_test)"""
+PREDICTED = N.predicted(len(JOB), STEPS, RIDGE)
 KEPT = {c: c for c in ("macro_precision", "macro_recall", "macro_f1", "binary_precision", "binary_recall", "binary_f1")}
 OPT = {f"{kind}_{m}_opt_th": f"{kind}_{m}" if m != "accuracy" else m for kind in ("macro", "binary") for m in ("accuracy", "precision", "recall", "f1")}
 
@@ -228,8 +221,7 @@ ev AS (SELECT * FROM (SELECT fold, count(*) AS n FROM te GROUP BY 1) JOIN mt USI
  LEFT JOIN (SELECT fold, sum(a * ca / cn) / nullif(sum(a), 0) AS average_precision FROM (SELECT fold, a, sum(a) OVER w AS ca, sum(n) OVER w AS cn FROM (SELECT fold, p, count(*) FILTER (y = 1) AS a, count(*) AS n FROM te GROUP BY ALL) WINDOW w AS (PARTITION BY fold ORDER BY p DESC)) GROUP BY 1) USING (fold)
  LEFT JOIN ({top_share(2)}) USING (fold) LEFT JOIN ({top_share(5)}) USING (fold))"""
 COLUMNS = ["n", "macro_optimal_th", "binary_optimal_th", "macro_accuracy", *KEPT, *OPT, "auc", "average_precision", "binary_prec_at_2_perc", "binary_prec_at_5_perc"]
-MANY = [c for c in COLUMNS if not c.endswith("optimal_th")]  # a share that is one of the thresholds lies on either side of it by a last digit
-LONG = "long AS (SELECT fold, unnest([" + ", ".join(f"'{c}'" for c in MANY) + "]) AS measure, unnest([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in MANY) + "]) AS value FROM ev)"
+LONG = "long AS (SELECT fold, unnest([" + ", ".join(f"'{c}'" for c in COLUMNS) + "]) AS measure, unnest([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in COLUMNS) + "]) AS value FROM ev)"
 REPORT = f"SELECT measure, count(value) AS n, round(avg(value), 6) AS mean FROM (WITH {LONG} FROM long) GROUP BY 1"
 
 
