@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, to_table
+from .common import held, slices, to_table
 from .token_counts import SLICE, class_ranges, encode_texts, machine
 
 GROUP = 4096
@@ -132,6 +132,7 @@ def pack_documents(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text:
     """
 
     def run(group: pa.Table) -> pa.Table:
+        held("packing", 0, object)  # a reused worker lets go of the transducer
         grp, width = group["grp"][0].as_py(), group["width"][0].as_py()
         docs = sorted(zip(group["doc_id"].to_pylist(), group["ids"].to_pylist(), strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         lengths = [len(x) // width for _, x in docs]
