@@ -1,8 +1,8 @@
 """Editor and interaction networks of pages. Edges have page_id, src, dst, weight.
 
 Sizes, degrees and triangles are joins and aggregates over all pages at once. Searches from every node (distances, closeness,
-betweenness) are split into blocks of a page's nodes. Components of pages of up to NODES nodes are one linear pass a page, those
-of larger pages are joined round by round, as are distances there.
+betweenness) are split into blocks of a page's nodes. Components and cut nodes of a page are one linear pass. So is done for
+pages of up to NODES nodes and EDGES edges; larger ones are worked on in rounds of joins (rounds.py).
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from . import rounds
 from .edits import agg_stats
+from .rounds import kept
 
-NODES = 5000
+NODES, EDGES = 5000, 1 << 17
 STEPS, ROWS = 1 << 22, 1 << 16
 
 
@@ -76,10 +78,12 @@ def degree_centrality_stats(edges: DataFrame) -> DataFrame:
     return agg_stats(c, "page_id", "centrality", "centrality")
 
 
-def by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges of pages of up to NODES nodes, and those of larger pages (None if there are none)."""
-    sizes = graph_size(edges).select("page_id", "num_nodes")
-    large = sizes.where(F.col("num_nodes") > NODES).select("page_id").cache()
+Sides = tuple[DataFrame, DataFrame | None]
+
+
+def by_size(edges: DataFrame) -> Sides:
+    """Edges of pages of up to NODES nodes and EDGES edges, and those of larger pages (None if there are none)."""
+    large = graph_size(edges).where((F.col("num_nodes") > NODES) | (F.col("num_edges") > EDGES)).select("page_id").cache()
     if large.isEmpty():
         return edges, None
     return edges.join(large, "page_id", "left_anti"), edges.join(large, "page_id", "left_semi")
@@ -138,33 +142,13 @@ def bfs_distances(edges: DataFrame, *, hops: int | None = None) -> DataFrame:
 
     kind = edges.schema["src"].dataType.simpleString()
     out = source_blocks(small).mapInPandas(run, f"page_id long, src {kind}, dst {kind}, distance int")
-    return out if large is None else out.unionByName(hop_distances(large, hops=hops))
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+    return out if large is None else out.unionByName(rounds.pair_distances(large, hops=hops))
 
 
-def hop_distances(edges: DataFrame, *, hops: int | None = None) -> DataFrame:
-    """The same for large pages, one join a hop."""
-    step = kept(edges.where("src <> dst").select("page_id", F.col("src").alias("mid"), F.col("dst").alias("to")).distinct())
-    known = front = step.select("page_id", F.col("mid").alias("src"), F.col("to").alias("dst"), F.lit(1).alias("distance"))
-    n = 1
-    while hops is None or n < hops:
-        n += 1
-        nxt = front.select("page_id", "src", F.col("dst").alias("mid")).join(step, ["page_id", "mid"]).where(F.col("src") != F.col("to")).select("page_id", "src", F.col("to").alias("dst")).distinct()
-        front = kept(nxt.join(known, ["page_id", "src", "dst"], "left_anti").withColumn("distance", F.lit(n)))
-        if front.isEmpty():
-            break
-        known = kept(known.unionByName(front))
-    return known
-
-
-def reach_sums(edges: DataFrame) -> DataFrame:
+def reach_sums(sides: Sides) -> DataFrame:
     """page_id, node, r, d: how many nodes reach a node, and their summed hops. A block of sources gives one row for each
-    node that it reaches, so no pairs leave a task."""
-    small, large = by_size(edges)
+    node that it reaches, so no pairs leave a task; large pages are searched 64 sources at a time."""
+    small, large = sides
 
     def run(batches):
         for b in batches:
@@ -177,17 +161,17 @@ def reach_sums(edges: DataFrame) -> DataFrame:
                             total[t] = (r + 1, hops + d)
                 yield pd.DataFrame([(page, t, r, d) for t, (r, d) in total.items()], columns=["page_id", "node", "r", "d"])
 
-    kind = edges.schema["src"].dataType.simpleString()
+    kind = small.schema["src"].dataType.simpleString()
     parts = source_blocks(small).mapInPandas(run, f"page_id long, node {kind}, r long, d long")
     if large is not None:
-        parts = parts.unionByName(hop_distances(large).groupBy("page_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("distance").alias("d")))
+        parts = parts.unionByName(rounds.bit_search(large)[0].where("r > 0").select("page_id", "node", "r", "d"))
     return parts.groupBy("page_id", "node").agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
 
 
-def closeness_stats(edges: DataFrame) -> DataFrame:
+def closeness_stats(edges: DataFrame, sides: Sides | None = None) -> DataFrame:
     """Incoming closeness, scaled by the share of nodes that reach the node; 0 for a node that none reaches."""
     n = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
-    c = nodes(edges).withColumn("n", n).join(reach_sums(edges), ["page_id", "node"], "left")
+    c = nodes(edges).withColumn("n", n).join(reach_sums(sides or by_size(edges)), ["page_id", "node"], "left")
     value = F.coalesce(F.try_divide("r", "d") * F.try_divide("r", F.col("n") - 1), F.lit(0.0))
     return agg_stats(c.withColumn("closeness", value), "page_id", "closeness", "closeness")
 
@@ -226,10 +210,10 @@ def strong_parts(near: dict) -> dict:
     return out
 
 
-def components(edges: DataFrame, *, directed: bool = False) -> DataFrame:
+def components(edges: DataFrame, *, directed: bool = False, sides: Sides | None = None) -> DataFrame:
     """page_id, node, component (its smallest node): weak, or strong (nodes that reach each other). Pages of up to NODES
     nodes are one linear pass each; larger ones are joined round by round."""
-    small, large = by_size(edges)
+    small, large = sides or by_size(edges)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         near, page = neighbours(pdf, directed=directed), int(pdf.page_id.iloc[0])
@@ -245,7 +229,7 @@ def components(edges: DataFrame, *, directed: bool = False) -> DataFrame:
 
     kind = edges.schema["src"].dataType.simpleString()
     out = small.select("page_id", "src", "dst").groupBy("page_id").applyInPandas(one, f"page_id long, node {kind}, component {kind}")
-    return out if large is None else out.unionByName(strong_labels(large) if directed else spread_labels(large))
+    return out if large is None else out.unionByName(strong_labels(large) if directed else rounds.weak_labels(large))
 
 
 def strong_labels(edges: DataFrame) -> DataFrame:
@@ -277,21 +261,6 @@ def min_reach(own: DataFrame, edges: DataFrame) -> DataFrame:
         low = nxt
 
 
-def spread_labels(edges: DataFrame) -> DataFrame:
-    """Weak components of large pages: smallest label of the neighbours, then of the label's own label, until nothing changes."""
-    both = undirected(edges)
-    both = kept(both.unionByName(both.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = kept(nodes(edges).select("page_id", "node", F.col("node").alias("component")))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), ["page_id", "b"]).select("page_id", F.col("a").alias("node"), "component")
-        low = label.unionByName(near).groupBy("page_id", "node").agg(F.min("component").alias("component"))
-        jump = label.select("page_id", F.col("node").alias("component"), F.col("component").alias("to"))
-        nxt = kept(low.join(jump, ["page_id", "component"]).select("page_id", "node", F.col("to").alias("component")))
-        if nxt.join(label, ["page_id", "node", "component"], "left_anti").isEmpty():
-            return nxt
-        label = nxt
-
-
 def component_summary(parts: DataFrame, *, over: int, prefix: str) -> DataFrame:
     """Number of components, of those of more than `over` nodes, and the largest size."""
     sizes = parts.groupBy("page_id", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -358,8 +327,10 @@ def cut_nodes(adjacent: dict) -> tuple[set, bool]:
     return cuts, len(adjacent) > 1 and parts == 1 and not cuts
 
 
-def betweenness_scores(edges: DataFrame) -> DataFrame:
+def betweenness_scores(edges: DataFrame, sides: Sides | None = None) -> DataFrame:
     """page_id, node, betweenness; partial sums of blocks of sources are added up."""
+    small, large = sides or by_size(edges)
+
     def run(batches):
         for b in batches:
             for page, sources, src, dst in b.itertuples(index=False):
@@ -367,34 +338,38 @@ def betweenness_scores(edges: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["page_id", "node", "part"])
 
     kind = edges.schema["src"].dataType.simpleString()
-    total = source_blocks(edges).mapInPandas(run, f"page_id long, node {kind}, part double").groupBy("page_id", "node").agg(F.sum("part").alias("part"))
+    parts = source_blocks(small).mapInPandas(run, f"page_id long, node {kind}, part double")
+    total = (parts if large is None else parts.unionByName(rounds.path_shares(large))).groupBy("page_id", "node").agg(F.sum("part").alias("part"))
     n = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
     scale = F.when(n > 2, (n - 1).cast("double") * (n - 2)).otherwise(1.0)
     return nodes(edges).withColumn("scale", scale).join(total, ["page_id", "node"], "left").select("page_id", "node", (F.coalesce("part", F.lit(0.0)) / F.col("scale")).alias("betweenness"))
 
 
-def cut_counts(edges: DataFrame) -> DataFrame:
-    """articulation_points and is_biconnected of each page. One search of a page's whole graph (n + m steps) in one group; its
-    rows are distinct undirected edges, so it grows with the page's editors, not with its edits."""
+def cut_counts(edges: DataFrame, sides: Sides | None = None) -> DataFrame:
+    """articulation_points and is_biconnected of each page: one search of a page's graph (n + m steps), or, for large pages, blocks of a
+    spanning forest by rounds of joins."""
+    small, large = sides or by_size(edges)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         cuts, whole = cut_nodes(neighbours(pdf, directed=False))
         return pd.DataFrame([(int(pdf.page_id.iloc[0]), len(cuts), int(whole))])
 
-    least = edges.select("page_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return least.groupBy("page_id").applyInPandas(one, "page_id long, articulation_points long, is_biconnected int")
+    least = small.select("page_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    out = least.groupBy("page_id").applyInPandas(one, "page_id long, articulation_points long, is_biconnected int")
+    return out if large is None else out.unionByName(rounds.cut_nodes_by_rounds(large))
 
 
-def betweenness_stats(edges: DataFrame) -> DataFrame:
+def betweenness_stats(edges: DataFrame, sides: Sides | None = None) -> DataFrame:
     """Node betweenness; its n m steps are split into blocks of sources."""
-    return agg_stats(betweenness_scores(edges), "page_id", "betweenness", "betweenness")
+    return agg_stats(betweenness_scores(edges, sides), "page_id", "betweenness", "betweenness")
 
 
 def network_features(edges: DataFrame) -> DataFrame:
     """The 27 NETWORK_ columns of pages with edges: 6 of structure, 15 statistics, 6 of components."""
     edges = edges.cache()
+    sides = by_size(edges)
     out = graph_size(edges).join(triangle_count(edges), "page_id")
-    for block in (degree_stats(edges), degree_centrality_stats(edges), closeness_stats(edges), cut_counts(edges), betweenness_stats(edges),
-                  component_summary(components(edges), over=2, prefix="weak"), component_summary(components(edges, directed=True), over=1, prefix="strong")):
+    for block in (degree_stats(edges), degree_centrality_stats(edges), closeness_stats(edges, sides), cut_counts(edges, sides), betweenness_stats(edges, sides),
+                  component_summary(components(edges, sides=sides), over=2, prefix="weak"), component_summary(components(edges, directed=True, sides=sides), over=1, prefix="strong")):
         out = out.join(block, "page_id", "left")
     return out.select("page_id", *(F.col(c).alias(f"NETWORK_{c}") for c in out.columns if c != "page_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_quantiles, running_counts
+
 LABEL = ("far", "gar")
 # Review outcomes by action.
 RESULTS = {("far", 0): ("demoted", "failed", "removed"), ("far", 1): ("kept", "pass"), ("gar", 0): ("delisted", "failed", "not listed", "fail"), ("gar", 1): ("kept", "listed", "keep", "passed")}
@@ -89,8 +91,7 @@ def review_comparison(populations: dict[str, DataFrame], reviews: DataFrame) ->
 
 def qcut_edges(rows: DataFrame, value: str, bins: int = 8) -> list[float]:
     """Distinct quantile edges of a column (bins + 1 numbers at most)."""
-    q = rows.agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0] or []
-    return sorted(set(q))
+    return sorted(set(exact_quantiles(rows, value, [i / bins for i in range(bins + 1)])))
 
 
 def qcut(value: str | Column, edges: list[float]) -> Column:
@@ -120,8 +121,8 @@ def bin_heatmap(rows: DataFrame, a: str, b: str, label: str, *, bins: int = 8, l
 
 def decile_cutoffs(rows: DataFrame, value: str) -> DataFrame:
     """decile (1 to 10) and cutoff, truncated."""
-    q = F.percentile(value, F.array(*(F.lit(i / 10) for i in range(1, 11))))
-    return rows.agg(q.alias("q")).select(F.posexplode("q").alias("i", "c")).select((F.col("i") + 1).alias("decile"), F.col("c").cast("long").alias("cutoff"))
+    cutoffs = [(i, int(c)) for i, c in enumerate(exact_quantiles(rows, value, [i / 10 for i in range(1, 11)]), 1)]
+    return rows.sparkSession.createDataFrame(cutoffs, "decile int, cutoff long")
 
 
 def relabel_by_cutoff(rows: DataFrame, cutoffs: DataFrame, value: str) -> DataFrame:
@@ -131,12 +132,13 @@ def relabel_by_cutoff(rows: DataFrame, cutoffs: DataFrame, value: str) -> DataFr
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks for ties: ranks of distinct values come from cumulated counts."""
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+
     def ranks(c: str) -> DataFrame:
-        per = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        return per.select(c, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
+        run = running_counts(known.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, "n")
+        return run.select(c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
-    return rows.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
+    return known.join(ranks(a), a).join(ranks(b), b).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
 
 
 def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
