@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +19,39 @@ BROADCAST = 1 << 20  # rows of a few numbers that are broadcast at most, about 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on a single machine, an error on a cluster."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         where = sc.getCheckpointDir()
     return where
 
 
+_tables: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that to_table writes inside are deleted at the end, but for those that the body takes out of the list."""
+    _tables.append(made := [])
+    try:
+        yield made
+    finally:
+        _tables.remove(made)
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def to_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _tables[-1:]:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,8 +14,9 @@ Texts are cut into blocks of about BLOCK tokens; a block's words and distinct pa
 hash, which hold the n-gram tables: each adds up the counts of its n-grams and answers every block in the order asked,
 so that no key travels back. One block that has a seen pair is its owner and adds it to its history's sums; a second,
 smaller exchange by history gives the backoff weights that the blocks ask for. Words are told apart by 64-bit hashes,
-pairs by 56 bits of a mixed hash and their bucket, which has bits of another one; both are checked nowhere, as
-a clash is unlikely at any size (below 0.03 expected at 10**9 words or 10**12 pairs).
+pairs by 56 bits of a mixed hash and their bucket, which has bits of another one. Clashes are not looked for: n words have
+n**2 / 2**65 expected ones (0.03 at 10**9); a bucket of up to 2**21 pairs has 2**42 / 2**57 = 3 * 10**-5, so 10**12 pairs in
+480,000 buckets have about 15, each of which adds one pair's count to another's.
 
 A hot word spreads over all buckets (pairs are dealt by both words), and is one row of a block's word list.
 """

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -16,6 +17,24 @@ def tokens(text):
     return (text or "").encode().lower().split() + [b" end"]
 
 
+def good_turing(n, k):
+    """Katz (1987): d_r = (r* / r - A) / (1 - A) with r* = (r + 1) n_(r+1) / n_r and A = (k + 1) n_(k+1) / n_1, for r up to k; the
+    largest k for which all of them are proper discounts."""
+    for top in range(k, 0, -1):
+        if any(n.get(r, 0) == 0 for r in range(1, top + 2)) or (a := Fraction((top + 1) * n[top + 1], n[1])) >= 1:
+            continue
+        d = {r: (Fraction((r + 1) * n[r + 1], n[r]) / r - a) / (1 - a) for r in range(1, top + 1)}
+        if all(0 < x <= 1 for x in d.values()):
+            return d
+    return {}
+
+
+@pytest.mark.parametrize("seen", [[100, 40, 20, 12, 8, 5], [100, 40, 20, 12, 8, 50], [10, 10, 10, 10, 10, 10], [50, 10, 0, 3, 2, 1], [900, 300, 120, 70, 50, 1], [0] * 6, [7], [1, 1]])
+def test_good_turing(seen):
+    want = good_turing(dict(enumerate(seen, 1)), K.K)
+    assert K.discounts(seen).tolist() == pytest.approx([1, *(float(want.get(r, 1)) for r in range(1, K.K + 1))])
+
+
 class Plain:
     def __init__(self, texts):
         self.c, self.cc, self.of = Counter(), Counter(), defaultdict(Counter)
@@ -26,8 +45,8 @@ class Plain:
                 self.cc[h, w] += 1
                 self.of[h][w] += 1
                 h = w
-        hist = lambda c: [sum(v == r for v in c.values()) for r in range(1, K.K + 2)]
-        self.d1, self.d2, self.n = K.discounts(hist(self.c)), K.discounts(hist(self.cc)), sum(self.c.values())
+        own = lambda c: (lambda d: [float(d.get(r, 1)) for r in range(K.K + 1)])(good_turing(Counter(c.values()), K.K))
+        self.d1, self.d2, self.n = own(self.c), own(self.cc), sum(self.c.values())
 
     def word(self, w):
         f = lambda c: (self.d1[c] if c <= K.K else 1) * c / (self.n + 1)

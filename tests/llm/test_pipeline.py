@@ -87,3 +87,17 @@ def test_packing_and_run(chain, spark, sf_small):
         ids.setdefault(r.doc_id, []).extend(got)
     assert ids == {d: [*own.encode(r.text or "", add_special_tokens=False).ids, 1] for d, r in rows(before).items()}
     assert sorted(map(tuple, C.run(spark, sf_small).collect())) == sorted(map(tuple, after.collect()))
+
+
+def test_run_leaves_one_table(spark, sf_small):
+    from pathlib import Path
+
+    from quillspark.llm.common import shared_dir
+
+    C.run(spark, sf_small)  # sets the folder
+    where = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in where.iterdir()}
+    out = C.run(spark, sf_small)
+    left = {p.name for p in where.iterdir()} - before
+    tables = [p for p in left if (where / p / "_SUCCESS").exists()]
+    assert len(tables) == 1 and tables[0].startswith("pipeline-packing") and out.count() > 0
