@@ -84,19 +84,9 @@ def confusion_groups(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def eval_measures(rows: DataFrame, macro_threshold: float = 0.5, binary_threshold: float = 0.5, *, compat: bool = False) -> DataFrame:
-    """One row with the 22 measures of a scored set. The precision at 5 percent is named so, not after 10 percent."""
-    def at(t: float, names: dict[str, str]) -> DataFrame:
-        return measures(confusion(rows, t)).select(*(F.col(a).alias(b) for a, b in names.items()))
-
-    plain = {c: c for c in ("macro_precision", "macro_recall", "macro_f1", "binary_precision", "binary_recall", "binary_f1")}
-    macro = {"accuracy": "macro_accuracy_opt_th"} | {f"macro_{m}": f"macro_{m}_opt_th" for m in ("precision", "recall", "f1")}
-    binary = {"accuracy": "binary_accuracy_opt_th"} | {f"binary_{m}": f"binary_{m}_opt_th" for m in ("precision", "recall", "f1")}
-    out = rows.agg(F.count(F.lit(1)).alias("n"), F.lit(macro_threshold).alias("macro_optimal_th"), F.lit(binary_threshold).alias("binary_optimal_th"))
-    blocks = [at(0.5, {"accuracy": "macro_accuracy"} | plain), at(macro_threshold, macro), at(binary_threshold, binary), rank_auc(rows), average_precision(rows, compat=compat)]
-    blocks += [precision_at_k(rows, k, target=0).withColumnRenamed("precision_at_k", f"binary_prec_at_{k}_perc") for k in (2, 5)]
-    for b in blocks:  # one row each
-        out = out.crossJoin(b)
-    return out
+    """One row with the 22 measures of a scored set (none of an empty one). The precision at 5 percent is named so, not after 10 percent."""
+    cuts = rows.sparkSession.createDataFrame([(0, float(macro_threshold), float(binary_threshold))], "fold int, macro_optimal_th double, binary_optimal_th double")
+    return eval_folds(rows.select(F.lit(0).alias("fold"), "id", "p", "y"), cuts, compat=compat).drop("fold")
 
 
 def fold_thresholds(rows: DataFrame) -> DataFrame:
@@ -105,7 +95,7 @@ def fold_thresholds(rows: DataFrame) -> DataFrame:
     return threshold_scores(rows, "fold").groupBy("fold").agg(best("macro_f1").alias("macro_optimal_th"), best("binary_f1").alias("binary_optimal_th"))
 
 
-def eval_folds(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+def eval_folds(rows: DataFrame, cuts: DataFrame, *, compat: bool = False) -> DataFrame:
     """The 22 measures of eval_measures for each fold of rows (fold, id, y, p), at the fold's thresholds (0.5 where it has none).
     The confusion counts at all three thresholds are one aggregate."""
     r = rows.join(F.broadcast(cuts), "fold", "left").na.fill(0.5, ["macro_optimal_th", "binary_optimal_th"])
@@ -122,7 +112,7 @@ def eval_folds(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     w = Window.partitionBy("fold")
     placed = rows.withColumn("place", F.row_number().over(w.orderBy("p", "id"))).withColumn("size", F.count(F.lit(1)).over(w))
     lowest = placed.groupBy("fold").agg(*(F.avg(F.when(F.col("place") <= F.floor(F.col("size") * k / 100), (F.col("y") == 0).cast("double"))).alias(f"binary_prec_at_{k}_perc") for k in (2, 5)))
-    for block in (rank_auc(rows, "fold"), average_precision(rows, "fold"), lowest):
+    for block in (rank_auc(rows, "fold"), average_precision(rows, "fold", compat=compat), lowest):
         out = out.join(block, "fold", "left")
     return out
 

@@ -112,12 +112,12 @@ def simple_badge(found: Column) -> Column:
     return F.when(short.isNotNull(), F.struct(F.lower(short["name"]).alias("badge"), F.lower(written).alias("date")))
 
 
-def current_status(content: Column | str) -> Column:
-    """What stands after the single `currentstatus=` of a text, lower-case, up to white space or another `=`; null if there is none or
-    several. Read from the text as it is, so signs that follow stay."""
+def current_status(content: Column | str, *, compat: bool = False) -> Column:
+    """What stands after the single `currentstatus=` of a text, lower-case, up to white space, `=`, a bar or a brace; null if there is
+    none or several. compat: the published reading, in which a bar or a brace that follows stays."""
     c = F.col(content) if isinstance(content, str) else content
     parts = F.split(c, "currentstatus=", -1)
-    return F.when(F.size(parts) == 2, F.lower(F.split(F.get(parts, 1), r"[\s=]", 2)[0]))
+    return F.when(F.size(parts) == 2, F.lower(F.split(F.get(parts, 1), r"[\s=]" if compat else r"[\s=|{}]", 2)[0]))
 
 
 def action_time(rows: DataFrame, kind: str, results: tuple[str, ...]) -> DataFrame:
@@ -130,7 +130,7 @@ def talk_promotion_dates(pages: DataFrame) -> DataFrame:
     """page_id, four dates, status and reached (false: neither a history nor a short badge). Pages without content have no row.
     Of several histories the first is read. One grouping by page gives all four dates and the status."""
     known = with_templates(pages.where("content is not null"))
-    out = known.select("page_id", (F.size(histories("templates")) > 0).alias("has"), simple_badge(F.col("templates")).alias("b"), current_status("content").alias("s"), F.lower(value_of(F.get(histories("templates"), 0), "currentstatus")).alias("listed"))
+    out = known.select("page_id", (F.size(histories("templates")) > 0).alias("has"), simple_badge(F.col("templates")).alias("b"), current_status("content", compat=True).alias("s"), F.lower(value_of(F.get(histories("templates"), 0), "currentstatus")).alias("listed"))
     rows = actions(known)
     first = lambda kind, results: F.min_by(F.get("dates", 0), F.when((F.col("kind") == kind) & (F.size("dates") == 1) & (F.size("results") == 1) & F.lower(F.get("results", 0)).isin(*results), F.col("order")))
     times = rows.groupBy("page_id").agg(*(F.regexp_replace(first(kind, results), r"^[Dd]ate=", "").alias(name) for name, kind, results in OUTCOMES))

@@ -82,6 +82,8 @@ def register_all(register) -> None:
     register("find_threshold", lambda s, sf: M.find_threshold(pr(s, sf)), w(f"{P}, {CONF}", f"SELECT CAST(threshold AS DOUBLE) AS threshold, round(m, 6) AS macro_f1 FROM (SELECT threshold, {MEASURES['macro_f1']} AS m FROM cf) ORDER BY round(m, 12) DESC, threshold LIMIT 1"))
     register("rank_auc", lambda s, sf: M.rank_auc(pr(s, sf)), w(P, f"SELECT round(auc, 6) AS auc FROM ({AUC})"))
     register("average_precision", lambda s, sf: M.average_precision(pr(s, sf)), w(P, f"SELECT round(ap, 6) AS average_precision FROM ({AP})"))
+    hard = P.replace("preds AS", "preds0 AS", 1) + ", preds AS (SELECT id, y, CAST(p > 0.5 AS DOUBLE) AS p FROM preds0)"
+    register("average_precision_compat", lambda s, sf: M.average_precision(pr(s, sf), compat=True), w(hard, f"SELECT round(ap, 6) AS average_precision FROM ({AP})"))
     register("precision_at_k", lambda s, sf: M.precision_at_k(pr(s, sf), 10, target=0), w(P, f"SELECT round(({at_k(10, 0)}), 6) AS precision_at_k"))
     plain = {"macro_accuracy": "accuracy", **{k: k for k in MEASURES if k != "accuracy"}}
     opt = {"macro_accuracy_opt_th": "accuracy", **{f"macro_{m}_opt_th": f"macro_{m}" for m in ("precision", "recall", "f1")}, "binary_accuracy_opt_th": "accuracy", **{f"binary_{m}_opt_th": f"binary_{m}" for m in ("precision", "recall", "f1")}}

@@ -207,7 +207,8 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
     register("parse_template_kv", lambda s, sf: W.parsed(wt(s, sf)).groupBy("key").agg(F.count("*").alias("n")), "SELECT k AS key, count(*) AS n FROM (SELECT unnest(CASE doc_id % 4 WHEN 0 THEN ['action1', 'action1date', 'action1result', 'action2', 'action2date', 'action2result', 'currentstatus'] WHEN 2 THEN ['action1', 'action1date', 'action1result'] ELSE [] END) AS k FROM documents) GROUP BY 1")
     register("group_template_actions", lambda s, sf: W.actions(wt(s, sf)).select("page_id", "n", "kind"), "SELECT doc_id AS page_id, 1 AS n, CASE doc_id % 4 WHEN 0 THEN 'gan' ELSE 'fac' END AS kind FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, 'gar' FROM documents WHERE doc_id % 4 = 0")
     register("extract_action_time", lambda s, sf: W.action_time(W.actions(wt(s, sf)), "gar", ("delisted",)), "SELECT doc_id AS page_id, '2012-01-02' AS time FROM documents WHERE doc_id % 4 = 0")
-    register("extract_current_status", lambda s, sf: wt(s, sf).select("page_id", W.current_status("content").alias("status")), "SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 0 THEN 'dga}}' END AS status FROM documents")
+    for name, compat, status in (("extract_current_status", False, "dga"), ("extract_current_status_compat", True, "dga}}")):
+        register(name, lambda s, sf, compat=compat: wt(s, sf).select("page_id", W.current_status("content", compat=compat).alias("status")), f"SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 0 THEN '{status}' END AS status FROM documents")
     register("extract_simple_badge", lambda s, sf: wt(s, sf).select("page_id", W.simple_badge(W.templates("content")).alias("b")).select("page_id", "b.badge", "b.date"), "SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 1 THEN 'ga' END AS badge, CASE WHEN doc_id % 4 = 1 THEN '14 january 2008' END AS date FROM documents")
     register("parse_date_multi", lambda s, sf: V.read(s, sf, "orders").select("o_orderkey", *(C.parse_date(F.date_format("o_orderdate", p)).alias(f"d{i}") for i, p in enumerate(("yyyy-MM-dd", "d MMMM yyyy", "MMM d, yyyy", "HH:mm, d MMMM, yyyy", "HH:mm:ss MMMM d yyyy", "M/d/yyyy", "yyyy.MM.dd", "dd-MMM-yyyy", "yyyy-MM-dd, HH:mm")))), "SELECT o_orderkey, " + ", ".join(f"strftime({'o_orderdate' if i in (4,) else f'date_trunc({u!r}, o_orderdate)'}, '%Y-%m-%dT%H:%M:%SZ') AS d{i}" for i, u in enumerate(("day", "day", "day", "minute", "second", "day", "day", "day", "minute"))) + " FROM orders")
     # topics
