@@ -11,6 +11,8 @@ from ..operators import network as N
 from ..operators import reports as R
 from ..operators import wikitext as W
 from ..operators.scoring import LEXICON, score_texts
+from ..operators.text_classifier import STEPS, fit_text_classifier, score_with
+from . import softmax_sql
 from . import views as V
 
 # The editor network of `edits`, whatever view that is.
@@ -195,6 +197,15 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
     register("attach_scores", attached, w(at, "SELECT page_id, pos, round(s, 6) AS sentiment, bool_or(s IS NULL) OVER (PARTITION BY page_id) AS page_missing FROM att"))
     share = lambda k: f"round({LEXICON[k][1]} + {LEXICON[k][2] - LEXICON[k][1]} * least(1, 2 * len(list_filter(t, lambda x: list_contains({LEXICON[k][0].split()}, x))) / greatest(1, len(t))), 6) AS {k}"
     register("score_texts", lambda s, sf: score_texts(V.read(s, sf, "conversations").select("conv_id", "turn", "text")).drop("text"), w("tk AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS t FROM conversations)", f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, {', '.join(share(k) for k in LEXICON)} FROM tk"))
+    # a two-class scorer fitted on labelled texts, applied to all turns
+    fit = lambda s, sf: fit_text_classifier(V.read(s, sf, "documents").join(V.read(s, sf, "labels").select("doc_id", "toxic"), "doc_id"), label="toxic")
+    labelled = f"lt AS (SELECT doc_id AS id, CAST(toxic AS VARCHAR) AS y, text FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL), {softmax_sql.fitted('lt')}"
+    register("fit_text_classifier", fit, w(labelled, f"SELECT c AS class, k AS bucket, round(w, 6) AS weight FROM w{STEPS}"))
+    def fitted_scores(s, sf):
+        turns = V.read(s, sf, "conversations").select("conv_id", "turn", "text")
+        return score_with(turns, fit(s, sf)).select("conv_id", "turn", F.col("scores")["1"].alias("toxicity"))
+    turns = f"{softmax_sql.features('conversations', 'tx', 'conv_id, turn')}, {softmax_sql.probabilities('tx', f'w{STEPS}', 'conv_id, turn', 'tp')}"
+    register("score_texts_fitted", fitted_scores, w(f"{labelled}, {turns}", "SELECT conv_id, CAST(turn AS BIGINT) AS turn, round(p, 6) AS toxicity FROM tp WHERE c = '1'"))
     register("describe_scores", lambda s, sf: R.dataset_stats(co(s, sf), list(D.SCORES)), w(cm, " UNION ALL ".join(f"SELECT '{x}' AS feature, round(sum({x}), 6) AS sum, round(avg({x}), 6) AS mean, round(median({x}), 6) AS median, round(stddev_samp({x}), 6) AS std FROM comments" for x in D.SCORES)))
     # templates, by the rule that made them
     wt, day = V.wikitext, "lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0')"
