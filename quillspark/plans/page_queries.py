@@ -222,6 +222,16 @@ e AS (SELECT page_id, user_id, n / sum(n) OVER (PARTITION BY page_id) AS e FROM
         register(name, lambda s, sf, compat=compat: wt(s, sf).select("page_id", W.current_status("content", compat=compat).alias("status")), f"SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 0 THEN '{status}' END AS status FROM documents")
     register("extract_simple_badge", lambda s, sf: wt(s, sf).select("page_id", W.simple_badge(W.templates("content")).alias("b")).select("page_id", "b.badge", "b.date"), "SELECT doc_id AS page_id, CASE WHEN doc_id % 4 = 1 THEN 'ga' END AS badge, CASE WHEN doc_id % 4 = 1 THEN '14 january 2008' END AS date FROM documents")
     register("parse_date_multi", lambda s, sf: V.read(s, sf, "orders").select("o_orderkey", *(C.parse_date(F.date_format("o_orderdate", p)).alias(f"d{i}") for i, p in enumerate(("yyyy-MM-dd", "d MMMM yyyy", "MMM d, yyyy", "HH:mm, d MMMM, yyyy", "HH:mm:ss MMMM d yyyy", "M/d/yyyy", "yyyy.MM.dd", "dd-MMM-yyyy", "yyyy-MM-dd, HH:mm")))), "SELECT o_orderkey, " + ", ".join(f"strftime({'o_orderdate' if i in (4,) else f'date_trunc({u!r}, o_orderdate)'}, '%Y-%m-%dT%H:%M:%SZ') AS d{i}" for i, u in enumerate(("day", "day", "day", "minute", "second", "day", "day", "day", "minute"))) + " FROM orders")
+    # pages of a small grammar; the SQL knows what was written
+    kinds = [[g[i].lower() for g in V.GRAMMAR] for i in range(3)]
+    listed = f"""ac AS (SELECT doc_id AS page_id, i, {kinds[0]}[1 + (doc_id + i) % 4] AS action, strftime(make_date(CAST(2001 + (doc_id + i) % 19 AS INT), 5, CAST(1 + (doc_id + i) % 28 AS INT)), '%Y-%m-%dT00:00:00Z') AS date,
+ CASE WHEN (doc_id + i) % 2 = 0 THEN '{{{{oldid|' || doc_id || '}}}}' ELSE '[[talk:page/ga1|review]]' END AS link, CASE WHEN (doc_id + i) % 5 <> 0 THEN {kinds[1]}[1 + (doc_id + i) % 4] END AS result, {kinds[2]}[1 + (doc_id + i) % 4] AS outcome
+ FROM (SELECT doc_id, unnest(range(1, 2 + doc_id % 12)) AS i FROM documents))"""
+    gr = V.wikitext_grammar
+    register("talk_events_grammar", lambda s, sf: W.talk_events(gr(s, sf)), w(listed, "SELECT page_id, action, date, link, result FROM ac"))
+    first = ", ".join(f"arg_min(date, i) FILTER (WHERE outcome = '{x}' AND result IS NOT NULL) AS {x}" for x in kinds[2])
+    register("talk_promotion_dates_grammar", lambda s, sf: W.talk_promotion_dates(gr(s, sf)), w(listed, f"SELECT page_id, {first}, CASE WHEN page_id % 2 = 0 THEN 'ffa' END AS status, true AS reached FROM ac GROUP BY page_id"))
+    register("group_template_actions_grammar", lambda s, sf: W.actions(gr(s, sf)).select("page_id", "n", "kind", F.size("results").alias("results")), w(listed, "SELECT page_id, i AS n, action AS kind, CAST(result IS NOT NULL AS BIGINT) AS results FROM ac"))
     # topics
     tp = V.TOPICS
     for name in ("extract_topic_tags", "topic_tags"):

@@ -95,6 +95,34 @@ def wikitext(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("page_id"), F.concat(F.when(k == 0, a).when(k == 1, b).when(k == 2, c).otherwise(""), F.lit(" "), F.coalesce("text", F.lit(""))).alias("content"))
 
 
+#: kind, accepted result and outcome of the actions of wikitext_grammar
+GRAMMAR = (("GAN", "Listed", "ga_promotion"), ("fac", "promoted", "fa_promotion"), ("Gar", "delisted", "ga_demotion"), ("FAR", "Demoted", "fa_demotion"))
+
+
+def wikitext_grammar(spark: SparkSession, sf: str) -> DataFrame:
+    """Talk pages as they are written: up to 12 actions over several lines, links and templates as values, three forms of dates,
+    missing results, a repeated key, a history inside another template or behind open braces, and a second history."""
+    k = F.col("doc_id")
+
+    def action(i):
+        j = k + i
+        of = lambda at: F.element_at(F.array(*(F.lit(g[at]) for g in GRAMMAR)), (j % 4 + 1).cast("int"))
+        key, day, year = F.concat(F.lit("\n|action"), i.cast("string")), (1 + j % 28).cast("string"), (2001 + j % 19).cast("string")
+        date = F.when(j % 3 == 0, F.concat(year, F.lit("-05-"), F.lpad(day, 2, "0"))).when(j % 3 == 1, F.concat(day, F.lit(" May "), year)).otherwise(F.concat(F.lit("May "), day, F.lit(", "), year))
+        link = F.when(j % 2 == 0, F.concat(F.lit("{{Oldid|"), k.cast("string"), F.lit("}}"))).otherwise(F.lit("[[Talk:Page/GA1|Review]]"))
+        again = F.when((k % 7 == 0) & (i == 1), F.concat(key, F.lit("result=failed"))).otherwise("")
+        result = F.when(j % 5 == 0, "").otherwise(F.concat(again, key, F.lit("result = "), of(1)))
+        return F.concat(key, F.lit(" = "), of(0), key, F.lit("date="), date, key, F.lit("link= "), link, result)
+
+    name = F.when(k % 2 == 0, F.lit("{{ArticleHistory")).otherwise(F.lit("{{article history"))
+    status = F.when(k % 2 == 0, F.lit("\n| currentstatus = FFA")).otherwise("")
+    listed = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), 1 + k % 12), action), "")
+    before = F.when(k % 3 == 0, F.lit("{{stub ")).when(k % 3 == 1, F.lit("{{Talk header|1=\n")).otherwise(F.lit("}} | ]] "))
+    after = F.concat(F.when(k % 3 == 1, F.lit("}}")).otherwise(""), F.lit(" {{ArticleHistory|action1=FAC|action1date=1 May 1999|action1result=promoted}} "))
+    page = F.concat(before, name, listed, status, F.lit("\n}}"), after, F.coalesce("text", F.lit("")))
+    return read(spark, sf, "documents").select(k.alias("page_id"), page.alias("content"))
+
+
 def topics(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id") % 5
     imp = F.when(k == 0, "low").when(k == 1, "mid").when(k == 2, "high").when(k == 3, "top")

@@ -12,6 +12,7 @@ NAMES = [
     "dump_timeline", "promoted_yet_flags", "lifecycle_build", "merge_sources_ga", "credibility_score", "site_activity", "community_dynamics", "users_overlap",
     "degree_centrality_stats", "triangle_count", "connected_components", "closeness_stats", "reply_stats", "score_per_user", "attach_scores", "talk_promotion_dates",
     "talk_events", "parse_date_multi", "topic_pivot", "eval_measures", "find_threshold", "qcut_bins", "spearman_corr", "stratified_bootstrap", "source_fallback",
+    "talk_events_grammar", "talk_promotion_dates_grammar", "fit_text_classifier",
 ]
 
 
