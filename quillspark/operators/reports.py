@@ -22,10 +22,14 @@ def yearly_rate(rows: DataFrame, date: str, label: str) -> DataFrame:
     return rows.where(F.col(date).isNotNull()).groupBy(F.year(date).alias("year")).agg((F.avg(F.col(label).cast("double")) * 100).alias("sustained"), F.count(F.lit(1)).alias("n"))
 
 
+def join_topic_labels(tags: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels of every topic's pages; pages without label have no row, a page's repeated tags count once."""
+    return tags.select("page_id", "project_name").distinct().join(labels, "page_id")
+
+
 def topic_rate(tags: DataFrame, labels: DataFrame) -> DataFrame:
     """Pages, sustained pages and their share for each topic."""
-    j = tags.select("page_id", "project_name").distinct().join(labels, "page_id")
-    return j.groupBy("project_name").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sustained"), F.avg("y").alias("share")).orderBy(F.desc("share"), "project_name")
+    return join_topic_labels(tags, labels).groupBy("project_name").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sustained"), F.avg("y").alias("share")).orderBy(F.desc("share"), "project_name")
 
 
 def duration_summary(pages: DataFrame, columns: list[str]) -> DataFrame:

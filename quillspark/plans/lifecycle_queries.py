@@ -114,12 +114,28 @@ def scan_jsonl(spark, sf):
     return S.project_revisions(S.scan_jsonl_bz2(spark, path)).groupBy("level").agg(F.count("*").alias("n"), F.count("user_id").alias("users"), F.max("ts").alias("last"), F.sum("text_len").alias("chars"))
 
 
+def written_jsonl(spark, sf):
+    """What sink_jsonl_bz2 wrote by year, read as lines of text: of each folder the lines in compressed files and their fields."""
+    path = scratch(spark)
+    S.sink_jsonl_bz2(raw_revisions(spark, sf).withColumn("year", F.substring("timestamp", 1, 4).cast("int")), path, by="year")
+    field = lambda k: F.get_json_object("value", f"$.{k}")
+    lines = spark.read.text(path).where(F.col("_metadata.file_name").endswith(".json.bz2"))
+    return lines.groupBy("year").agg(F.count("*").alias("n"), F.min(field("id").cast("long")).alias("first_id"), F.max(field("user.id").cast("long")).alias("last_user"), F.count(field("assessment_found")).alias("badges"), F.min(field("timestamp")).alias("began"))
+
+
 def scan_csv(spark, sf):
     path = scratch(spark)
     S.sink_csv(V.read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), path)
     return S.scan_csv(spark, path, "c0 long, nation int, segment string")
 
 
+def written_csv(spark, sf):
+    """The different lines of text that sink_csv wrote, the header once."""
+    path = scratch(spark)
+    S.sink_csv(V.read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), path)
+    return spark.read.text(path).select(F.col("value").alias("line")).distinct()
+
+
 def multi(spark, sf):
     df = S.scan_multi(spark, [f"{sf}/customer.parquet", f"{sf}/supplier.parquet"])
     return df.groupBy(F.coalesce("c_nationkey", "s_nationkey").alias("nation")).agg(F.count("c_custkey").alias("customers"), F.count("s_suppkey").alias("suppliers"))
@@ -135,9 +151,9 @@ def register_all(register) -> None:
     rev = V.revisions
     w = lambda cte, body: f"WITH {cte} {body}"
     register("scan_jsonl_bz2", scan_jsonl, w(V.REVISIONS, f"SELECT level, count(*) AS n, count(user_id) AS users, {iso('max(ts)')} AS last, count(*) * 3 AS chars FROM revisions GROUP BY level"))
-    register("sink_jsonl_bz2", scan_jsonl, w(V.REVISIONS, f"SELECT level, count(*) AS n, count(user_id) AS users, {iso('max(ts)')} AS last, count(*) * 3 AS chars FROM revisions GROUP BY level"))
-    for name in ("scan_csv", "sink_csv"):
-        register(name, scan_csv, "SELECT c_custkey AS page_id, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment FROM customer")
+    register("sink_jsonl_bz2", written_jsonl, w(V.REVISIONS, f"SELECT CAST(year(ts) AS BIGINT) AS year, count(*) AS n, min(rev_id) AS first_id, max(user_id) AS last_user, count(*) FILTER (WHERE level IN ('ga', 'fa')) AS badges, {iso('min(ts)')} AS began FROM revisions GROUP BY 1"))
+    register("scan_csv", scan_csv, "SELECT c_custkey AS page_id, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment FROM customer")
+    register("sink_csv", written_csv, "SELECT c_custkey || ',' || c_nationkey || ',' || c_mktsegment AS line FROM customer UNION SELECT 'c_custkey,c_nationkey,c_mktsegment'")
     register("scan_multi_glob_union", multi, "SELECT CAST(k AS BIGINT) AS nation, count(c) AS customers, count(s) AS suppliers FROM (SELECT c_nationkey AS k, c_custkey AS c, NULL AS s FROM customer UNION ALL SELECT s_nationkey, NULL, s_suppkey FROM supplier) GROUP BY k")
     register("source_fallback", fallback, """WITH t AS (SELECT o_custkey AS c, CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 1 END AS source FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
 SELECT CAST(source AS BIGINT) AS source, count(*) AS n, count(DISTINCT c) AS pages FROM t GROUP BY source UNION ALL SELECT -1, count(*), count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")

@@ -102,8 +102,8 @@ def register_all(register) -> None:
     register("feature_by_class", lambda s, sf: R.feature_by_class(md(s, sf), "EDIT_chars", "y"), w(D, "SELECT CAST(y AS BIGINT) AS y, round(avg(EDIT_chars), 6) AS mean, round(median(EDIT_chars), 6) AS median, round(quantile_cont(EDIT_chars, 0.95), 6) AS upper FROM model GROUP BY y"))
     register("dataset_stats", lambda s, sf: R.dataset_stats(md(s, sf), FEATURES), w(D, " UNION ALL ".join(f"SELECT '{c}' AS feature, round(sum({c}), 6) AS sum, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std FROM model" for c in FEATURES)))
     labels = lambda s, sf: V.read(s, sf, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("y"))
-    for name in ("topic_rate", "join_topic_labels"):
-        register(name, lambda s, sf: R.topic_rate(V.topics(s, sf), labels(s, sf)), w(V.TOPICS, "SELECT project_name, count(*) AS n, CAST(sum(quality) AS BIGINT) AS sustained, round(avg(quality), 6) AS share FROM topics JOIN labels ON doc_id = page_id GROUP BY 1"))
+    register("join_topic_labels", lambda s, sf: R.join_topic_labels(V.topics(s, sf), labels(s, sf)).select("page_id", "project_name", "y"), w(V.TOPICS, "SELECT DISTINCT page_id, project_name, CAST(quality AS BIGINT) AS y FROM topics JOIN labels ON doc_id = page_id"))
+    register("topic_rate", lambda s, sf: R.topic_rate(V.topics(s, sf), labels(s, sf)), w(V.TOPICS, "SELECT project_name, count(*) AS n, CAST(sum(quality) AS BIGINT) AS sustained, round(avg(quality), 6) AS share FROM topics JOIN labels ON doc_id = page_id GROUP BY 1"))
     register("unmatched_pages_profile", lambda s, sf: labels(s, sf).join(V.topics(s, sf).where("importance is not null"), "page_id", "left_anti").groupBy("y").agg(F.count("*").alias("n")), w(V.TOPICS, "SELECT CAST(quality AS BIGINT) AS y, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT page_id FROM topics WHERE importance IS NOT NULL) GROUP BY quality"))
     register("join_meta_inner", lambda s, sf: V.topics(s, sf).join(labels(s, sf), "page_id").select("page_id", "project_name", "y"), w(V.TOPICS, "SELECT page_id, project_name, CAST(quality AS BIGINT) AS y FROM topics JOIN labels ON doc_id = page_id"))
     register("lookup_title", lambda s, sf: labels(s, sf).join(V.read(s, sf, "pages").select("page_id", "url"), "page_id", "left").select("page_id", "url"), "SELECT doc_id AS page_id, url FROM labels LEFT JOIN pages ON page_id = doc_id")
