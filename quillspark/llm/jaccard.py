@@ -1,16 +1,17 @@
-"""Near-duplicates of five-word shingles, similarity 0.8 or more: SimHash fingerprints compared in shards, then shingles.
+"""Near-duplicates of five-word shingles, similarity 0.8 or more: SimHash fingerprints in sharded BK-trees, then shingles.
 
 Two sets of similarity s or more, each sorted by one order of all shingles, share one of their first n - ceil(s n) + 1
 elements (their prefix). So a shard is keyed by a prefix shingle, and no pair above the threshold is missed. The order
 is that of the hashes, with common shingles (at most HEAVY, by their counts in a first pass over whole texts) behind all
 others: any order finds the same pairs, this one keeps passages that many documents share out of the shards.
 
-In a shard, texts are compared whose sizes allow the threshold and whose SimHash fingerprints (WORDS times 64 bits) differ
-in at most RADIUS bits. At similarity 0.8 a bit differs with probability 0.15, so 39 of 256 are expected and 68 is five
-deviations away (about one lost pair in three millions at 0.8, fewer above it). That holds for small sets too, as every bit is
-a vote of its own (0.12 to 0.16 from 8 shingles on, 0.19 for 4 against 5); below SMALL shingles all are candidates. A BK-tree does not help at this radius: unrelated fingerprints
-lie half their bits apart, so a search would follow nearly every edge; distances are computed directly. A shard gives a
-spanning forest of these comparisons, not all pairs, and the components of all forests are clusters of candidates.
+Each shard holds a BK-tree of its texts' XXH64 SimHash fingerprints (WORDS times 64 bits). Linked are texts of the tree whose
+sizes allow the threshold and whose fingerprints differ in at most RADIUS bits. At similarity 0.8 a bit differs with probability
+0.15, so 39 of 256 are expected and 68 is five deviations away (about one lost pair in three millions at 0.8, fewer above it).
+That holds for small sets too, as every bit is a vote of its own (0.12 to 0.16 from 8 shingles on, 0.19 for 4 against 5); below
+SMALL shingles the search takes the whole tree. Unrelated fingerprints lie half their bits apart, so at this radius the
+distances alone spare few branches; a search also leaves out branches of other sizes and those that can link nothing new. A
+shard gives a spanning forest of its links, not all pairs, and the components of all forests are clusters of candidates.
 
 Spark sorts the shards, and a task streams over them: it holds one shard of at most MARK texts at a time. A larger shard is hot:
 its shingle is common although it isn't among HEAVY. Pairs that meet in hot shards only are found in a second round, among
@@ -35,12 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST, held, keep_winners, slices, to_table
 from .minhash import mix
-from .simhash import bits_of, components, forest_links
+from .simhash import BkForest, bits_of, components, forest_links, popcount, shingle_array
 
 HEAVY, COMMON = 1 << 16, 16
 WORDS, RADIUS, SMALL = 4, 68, 16
 MARK = 8192  # texts of a shard, above which it is hot
+LOOKUPS = 1 << 18  # pairs of a text and a tree's node that are looked at together, about
 TURNS = 2  # rounds in which one text of each component meets others, at most; then all meet
+STEP = 1 << 16  # words whose shingles are hashed together
 SLICE = 8 << 20  # bytes of text whose shingles are counted together
 SHARE = 64 << 20  # bytes of text to a shuffle partition, whose prefix rows are about 100 MB
 BLOCK, BYTES, CELLS = 512, 16 << 20, 1 << 22
@@ -56,24 +59,10 @@ def text_id(w: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(w))
 
 
-class WordHashes(dict):
-    """XXH64 of words (seed 42), kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 17:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return h
-
-
-def shingle_hashes(w: list[bytes], width: int, known: WordHashes) -> np.ndarray:
-    """64-bit hashes of the shingles in order, repeats included: a mixed polynomial of their words' hashes."""
-    width = min(width, len(w))
-    a, n = np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), len(w) - width + 1
-    h = np.full(n, width, np.uint64)
-    for k in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[k : k + n]
-    return mix(h)
+def shingle_hashes(w: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of the shingles in order, repeats included, as op5 takes them; of a long text STEP words at a time."""
+    parts = [shingle_array(w[at : at + STEP + width - 1], width) for at in range(0, max(1, len(w) - width + 1), STEP)]
+    return np.concatenate(parts)
 
 
 def overlap_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +104,9 @@ def by_count(texts: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nd
     in every slice; any order is right, this one is fast): (sorted hashes, places by count)."""
 
     def run(batches):
-        known = held("jaccard", 0, WordHashes)
+        held("jaccard", 0, object)
         for b in slices(batches, 0, SLICE):
-            hs = [np.unique(shingle_hashes(w, width, known)) for w in {text_id(w): w for w in map(words, b.column(0).to_pylist())}.values()]
+            hs = [np.unique(shingle_hashes(w, width)) for w in {text_id(w): w for w in map(words, b.column(0).to_pylist())}.values()]
             h, n = np.unique(np.concatenate([*hs, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
@@ -136,8 +125,7 @@ def fingerprint(h: np.ndarray) -> list[int]:
 def may_match(n: np.ndarray, fp: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Pairs (at, to) of rows with sizes n (that of `at` is not larger) and fingerprints fp that need a test."""
     fits = UNDER * n[at].astype(np.int64) >= OVER * n[to].astype(np.int64)
-    away = sum(np.bitwise_count(fp[k][at] ^ fp[k][to]).astype(np.int16) for k in range(WORDS))
-    return fits & ((n[at] < SMALL) | (away <= RADIUS))
+    return fits & ((n[at] < SMALL) | (popcount(fp[at] ^ fp[to]) <= RADIUS))
 
 
 def prefix_rows(texts: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -145,7 +133,8 @@ def prefix_rows(texts: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarra
     sent = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def rows(batches):
-        late, seen, known = sent.value, set(), held("jaccard", 0, WordHashes)
+        late, seen = sent.value, set()
+        held("jaccard", 0, object)
         for b in slices(batches, 0, 1 << 21):
             hs, ts, ns, fs = [], [], [], []
             for text in b.column(0).to_pylist():
@@ -154,7 +143,7 @@ def prefix_rows(texts: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarra
                 if t in seen:
                     continue
                 seen.add(t)
-                h = np.unique(shingle_hashes(w, width, known))
+                h = np.unique(shingle_hashes(w, width))
                 hs.append(prefix(h, late))
                 ts.append(t)
                 ns.append(len(h))
@@ -169,26 +158,48 @@ def prefix_rows(texts: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarra
     return texts.select("text").mapInArrow(rows, "h long, t long, n int, " + ", ".join(f"f{k} long" for k in range(WORDS)))
 
 
-def shard_forest(h: np.ndarray, n: np.ndarray, fp: list[np.ndarray]) -> np.ndarray:
-    """Of rows whose shards h are runs, each sorted by n: for every row the first that comparisons connect it to."""
-    label = np.arange(len(h))
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(h)))
-    at = np.flatnonzero(np.repeat(size > 1, size))
-    left = np.repeat(first + size, size)[at] - 1 - at  # rows of the shard behind each
-    d, turn, a, b = 1, 1, [], []
-    while len(at := at[left >= d]):
-        left = left[left >= d]
-        apart = at[label[at] != label[at + d]]
-        hit = apart[may_match(n, fp, apart, apart + d)]
-        a.append(label[hit])
-        b.append(label[hit + d])
-        if d == turn:  # then most rows of a group of copies have one label, and are compared no more
-            turn *= 2
-            label = forest_links(np.concatenate(a), np.concatenate(b), len(label))[label]
-            a, b = [], []
-        d += 1
-    return forest_links(np.concatenate([*a, label[:0]]), np.concatenate([*b, label[:0]]), len(label))[label]
+def shard_forest(h: np.ndarray, n: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Of rows whose shards h are runs, each sorted by n: for every row the first that links of the shard's BK-tree connect it to.
+
+    All texts of a shard are looked up in its tree, in turns of 1, 1, 2, 4 .. texts spread over its sizes. A search leaves out what
+    cannot link: branches of other sizes, and branches whose texts were all looked up or belong to its own component.
+    """
+    whole, shard = len(h), np.cumsum(np.append(True, h[1:] != h[:-1])[: len(h)])
+    order = np.lexsort((*fp.T, n, shard))  # stable: of equal rows, the first leads
+    new = np.ones(whole, bool)
+    new[1:] = (shard[order][1:] != shard[order][:-1]) | (n[order][1:] != n[order][:-1]) | (fp[order][1:] != fp[order][:-1]).any(1)
+    lead = np.empty(whole, np.int64)
+    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    rows = np.flatnonzero(lead == np.arange(whole))  # a tree holds different values only
+    shard, n, fp = shard[rows], n[rows].astype(np.int64), fp[rows]
+    forest, label, done = BkForest(fp, shard), np.arange(len(rows)), np.zeros(len(rows), bool)
+    least, most = forest.bounds(n, n)
+    size = np.bincount(shard, minlength=1)
+    at = np.arange(len(rows)) - (np.cumsum(size) - size)[shard]
+    turn = np.where(at > 0, np.frexp(size[shard] - 1)[1] - np.frexp(at & -at)[1] + 2, 1)
+    radius = np.where(OVER * n <= UNDER * (SMALL - 1), 64 * WORDS, RADIUS)  # below SMALL shingles all of the tree
+    for k in range(1, int(turn.max(initial=0)) + 1):
+        ask, a, b = np.flatnonzero((turn == k) & (size[shard] > 1)), [label[:0]], [label[:0]]
+        low, high = forest.bounds(np.where(done, len(rows), label), np.where(done, -1, label))
+        part = np.cumsum(size[shard[ask]]) // LOOKUPS
+        for some in np.split(ask, np.flatnonzero(part[1:] != part[:-1]) + 1):
+
+            def follow(q, at, some=some):
+                own, sized = label[some][q], n[some][q]
+                return (low[at] <= high[at]) & ((low[at] != own) | (high[at] != own)) & (OVER * least[at] <= UNDER * sized) & (UNDER * most[at] >= OVER * sized)
+
+            q, node = forest.search(fp[some], shard[some], radius[some], follow)
+            q = some[q]
+            apart = label[q] != label[node]
+            q, node = q[apart], node[apart]
+            hit = may_match(n, fp, np.minimum(q, node), np.maximum(q, node))
+            a.append(label[q[hit]])
+            b.append(label[node[hit]])
+        label = forest_links(np.concatenate(a), np.concatenate(b), len(rows))[label]
+        done[ask] = True
+    of = np.empty(whole, np.int64)
+    of[rows] = rows[label]
+    return of[lead]
 
 
 class Shards:
@@ -238,7 +249,7 @@ class Shards:
                 self.rest = [c[first[-1] :].copy() for c in columns]
         some = np.repeat(keep, size)
         h, t, n, *fp = (c[some] for c in columns)
-        label = shard_forest(h, n, [f.view(np.uint64) for f in fp])
+        label = shard_forest(h, n, np.stack(fp, axis=1).view(np.uint64))
         linked = np.flatnonzero(label != np.arange(len(label)))
         pair = np.unique(np.stack([np.concatenate([t[linked], *out_a]), np.concatenate([t[label[linked]], *out_b])]), axis=1)
         return pair[0], pair[1], np.array(hot, np.int64)
@@ -250,7 +261,7 @@ def candidates(texts: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray
     mark = MARK
 
     def gather(batches):
-        held("jaccard", 0, WordHashes)
+        held("jaccard", 0, object)
         shards = Shards(star, mark)
         for b in batches:
             yield rows(*shards.links([c.to_numpy() for c in b.columns]))
@@ -267,12 +278,13 @@ def touched(texts: DataFrame, width: int, heavy: tuple[np.ndarray, np.ndarray],
     sent = texts.sparkSession.sparkContext.broadcast((heavy, hot))
 
     def run(batches):
-        known, (late, some) = held("jaccard", 0, WordHashes), sent.value
+        held("jaccard", 0, object)
+        late, some = sent.value
         for b in slices(batches, 0, 1 << 21):
             t, keep = [], []
             for text in b.column(0).to_pylist():
                 w = words(text)
-                keep.append(some is None or bool(np.isin(prefix(np.unique(shingle_hashes(w, width, known)), late), some).any()))
+                keep.append(some is None or bool(np.isin(prefix(np.unique(shingle_hashes(w, width)), late), some).any()))
                 t.append(text_id(w))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(t, np.uint64).view(np.int64)), b.column(0)], ["t", "text"]).filter(pa.array(keep, pa.bool_()))
 
@@ -307,7 +319,7 @@ def block_links(meet: DataFrame, sets: DataFrame) -> DataFrame:
     rows = meet.join(sets, "t").groupBy("h", "i", "j").agg(F.collect_list(F.struct("t", "set")).alias("m")).where(F.size("m") > 1).select("m.t", "m.set")
 
     def run(batches):
-        held("jaccard", 0, WordHashes)
+        held("jaccard", 0, object)
         for b in batches:
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for t, own in zip(*(b.column(i) for i in range(2)), strict=True):
@@ -335,9 +347,9 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """t, set: the sorted distinct hashes of each text's shingles, as bytes."""
 
     def run(batches):
-        known = held("jaccard", 0, WordHashes)
+        held("jaccard", 0, object)
         for b in slices(batches, 1, 1 << 21):
-            sets = [np.unique(shingle_hashes(words(x), width, known)).tobytes() for x in b.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(words(x), width)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["t", "set"])
 
     return texts.select("t", "text").mapInArrow(run, "t long, set binary")

@@ -16,6 +16,7 @@ alternating star contractions, each cut by a checkpoint in the shared folder.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ def shingle_array(w: list[bytes], width: int) -> np.ndarray:
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.append(0, ends[:-1] + 1)
     f = xxhash.xxh64_intdigest
-    return np.array([f(joined[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([f(joined[a:b], 42) for a, b in zip(starts[: len(w) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
 def bits_of(h: np.ndarray) -> int:
@@ -104,14 +105,16 @@ def shard_keys(fp: str, plan: list[list[tuple[int, int]]]) -> Column:
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
+    """Bits set in each value; of rows of several words, in each row."""
+    n = np.bitwise_count(x)
+    return n.astype(np.int64) if n.ndim == 1 else n.sum(1, dtype=np.int64)
 
 
 class BkForest:
-    """BK-trees over many groups at once; a group's first value is its root."""
+    """BK-trees over many groups at once; a group's first value is its root. Values are words of 64 bits or rows of such words."""
 
     def __init__(self, values: np.ndarray, group: np.ndarray):
-        self.values = values
+        self.values, self.base = values, 64 * (1 if values.ndim == 1 else values.shape[1]) + 1
         roots, first = np.unique(group, return_index=True)
         self.root = dict(zip(roots.tolist(), first.tolist(), strict=True))
         inside = np.ones(len(values), bool)
@@ -119,29 +122,48 @@ class BkForest:
         todo = np.flatnonzero(inside)
         at = first[np.searchsorted(roots, group[todo])]
         keys, child = [], []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # nodes of each depth, their parents
         while len(todo):
-            key = at * 65 + popcount(values[todo] ^ values[at])
+            key = at * self.base + popcount(values[todo] ^ values[at])
             new, index, back = np.unique(key, return_index=True, return_inverse=True)
             keys.append(new)
             child.append(todo[index])
+            self.levels.append((todo[index], at[index]))
             rest = np.ones(len(todo), bool)
             rest[index] = False
             at, todo = todo[index][back][rest], todo[rest]
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         order = np.argsort(self.keys)
+        self.inner = np.zeros(len(values), bool)
+        self.inner[self.keys // self.base] = True
         self.keys, self.child = self.keys[order], (np.concatenate(child) if child else np.zeros(0, np.int64))[order]
 
-    def search(self, queries: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs within the radius."""
+    def bounds(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least `low` and greatest `high` of the nodes from each node down."""
+        low, high = low.copy(), high.copy()
+        for node, parent in reversed(self.levels):
+            np.minimum.at(low, parent, low[node])
+            np.maximum.at(high, parent, high[node])
+        return low, high
+
+    def search(self, queries: np.ndarray, group: np.ndarray, radius: int | np.ndarray, follow: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs within the radius (one for all or one a query). `follow`, of queries and nodes, tells from which
+        nodes down there is something to find."""
         q, at = np.arange(len(queries)), np.array([self.root[g] for g in group.tolist()], np.int64)
         hits_q, hits_n = [], []
         while len(q):
-            d = popcount(queries[q] ^ self.values[at])
-            near = d <= radius
+            if follow is not None:
+                go = follow(q, at)
+                q, at = q[go], at[go]
+            d, r = popcount(queries[q] ^ self.values[at]), radius if isinstance(radius, int) else radius[q]
+            near = d <= r
             hits_q.append(q[near])
             hits_n.append(at[near])
-            lo = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 0), "left")
-            hi = np.searchsorted(self.keys, at * 65 + np.minimum(d + radius, 64), "right")
+            inner = self.inner[at]
+            q, at, d = q[inner], at[inner], d[inner]
+            r = r if isinstance(radius, int) else r[inner]
+            lo = np.searchsorted(self.keys, at * self.base + np.maximum(d - r, 0), "left")
+            hi = np.searchsorted(self.keys, at * self.base + np.minimum(d + r, self.base - 1), "right")
             n = hi - lo
             q = np.repeat(q, n)
             at = self.child[np.repeat(lo, n) + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)]

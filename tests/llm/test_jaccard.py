@@ -121,3 +121,47 @@ def test_stage_reaches_similarity(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
     kept = {r.doc_id for r in C.near_dedup(spark, docs, sf_small).collect()}
     assert kept == brute({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_shingles_are_op5s():
+    import xxhash
+
+    for n in (0, 1, 4, 5, 6, 40):
+        w = [f"w{i % 7}".encode() for i in range(n)]
+        want = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, n - 4))]
+        assert J.shingle_hashes(w, 5).tolist() == want
+
+
+def test_long_texts_in_steps(monkeypatch):
+    w = [str(i % 31).encode() for i in range(50)]
+    for width in (1, 5):
+        whole = J.shingle_hashes(w, width).tolist()
+        for step in (1, 7, 46, 47, 50):
+            monkeypatch.setattr(J, "STEP", step)
+            assert J.shingle_hashes(w, width).tolist() == whole and len(whole) == 51 - width
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("seed, lookups", [(0, 1 << 18), (1, 1 << 18), (2, 9), (3, 1)])
+def test_shards_are_bk_trees(monkeypatch, seed, lookups):
+    """Links come from searches of the shards' BK-trees and join the same texts as comparisons of all pairs."""
+    monkeypatch.setattr(J, "LOOKUPS", lookups)
+    found, search = [], J.BkForest.search
+    monkeypatch.setattr(J.BkForest, "search", lambda *a: found.append(search(*a)) or found[-1])
+    rng = np.random.default_rng(seed)
+    h = np.repeat(np.arange(60), rng.integers(1, 40, 60))
+    flips = np.packbits(rng.random((len(h), 256)) < 0.12, axis=1).view(np.uint64)
+    base = rng.integers(0, 1 << 63, (9, J.WORDS)).astype(np.uint64)
+    fp = base[rng.integers(0, 9, len(h))] ^ np.where(rng.random((len(h), 1)) < 0.3, 0, flips).astype(np.uint64)
+    n = rng.integers(4, 60, len(h)).astype(np.int32)
+    order = np.lexsort((n, h))
+    h, n, fp = h[order], n[order], fp[order]
+    top = np.arange(len(h))
+    for i in range(len(h)):
+        for j in range(i):
+            away = sum(int(x).bit_count() for x in fp[i] ^ fp[j])
+            if h[i] == h[j] and 5 * n[j] >= 4 * n[i] and (n[j] < J.SMALL or away <= J.RADIUS):
+                low, high = sorted((top[i], top[j]))
+                top[top == high] = low
+    assert J.shard_forest(h, n, fp).tolist() == top.tolist() and found
+    assert 60 < len(set(top.tolist())) < len(h)
