@@ -50,10 +50,17 @@ def thread_counts(comments: DataFrame) -> DataFrame:
 def thread_depth(comments: DataFrame, *, compat: bool = False) -> DataFrame:
     """Mean over threads of the mean depth, and of the share of comments of depth 0."""
     per = comments.groupBy("page_id", "thread").agg(F.avg("depth").alias("d"), F.avg((F.col("depth") == 0).cast("double")).alias("z"))
-    mean = lambda c: zero_null(F.avg(c), F.max(c), compat)
+    mean = lambda c: zero_null(steady_avg(c), F.max(c), compat)
     return per.groupBy("page_id").agg(mean("d").alias("avg_depth"), mean("z").alias("depth_zero_avg"))
 
 
+def steady_avg(c: str) -> Column:
+    """The mean of doubles, whatever their order: summed as decimals of 18 places, so that a mean on a rounding limit stays
+    there. Where a value or the sum has no such decimal (NaN, above 10**20), Spark's own mean."""
+    exact = F.col(c).try_cast("decimal(38,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(c), F.try_divide(F.try_sum(exact).cast("double"), F.count(c))), F.avg(c))
+
+
 def zero_null(value: Column, top: Column, compat: bool) -> Column:
     return F.when(top != 0, value) if compat else value
 
@@ -96,14 +103,14 @@ def interaction_triangles(comments: DataFrame, to: str, name: str) -> DataFrame:
 
 def score_overall(comments: DataFrame, *, compat: bool = False) -> DataFrame:
     """Mean of each score, and shares beyond the thresholds."""
-    means = [zero_null(F.avg(s), F.max(F.abs(s)), compat).alias(f"{s}_mean") for s in SCORES]
+    means = [zero_null(steady_avg(s), F.max(F.abs(s)), compat).alias(f"{s}_mean") for s in SCORES]
     return comments.groupBy("page_id").agg(*means, *(F.avg(F.expr(test).cast("double")).alias(f"{name}_share") for name, _, test in SHARES))
 
 
 def score_per_user(comments: DataFrame) -> DataFrame:
     """Mean and median over authors of their mean scores."""
-    per = comments.groupBy("page_id", "author").agg(*(F.avg(s).alias(s) for s in SCORES))
-    return per.groupBy("page_id").agg(*(f(s).alias(f"user_{s}_{n}") for s in SCORES for f, n in ((F.avg, "mean"), (F.median, "median"))))
+    per = comments.groupBy("page_id", "author").agg(*(steady_avg(s).alias(s) for s in SCORES))
+    return per.groupBy("page_id").agg(*(f(s).alias(f"user_{s}_{n}") for s in SCORES for f, n in ((steady_avg, "mean"), (F.median, "median"))))
 
 
 def discussion_features(comments: DataFrame, *, compat: bool = False) -> DataFrame:

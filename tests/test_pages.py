@@ -86,3 +86,18 @@ def test_precision_at_k(spark):
     assert metrics.rank_auc(df).first().auc == 1.0
     with pytest.raises(ValueError):
         metrics.precision_at_k(df, 0)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 3, 11])
+def test_score_means_keep_no_order(spark, seed):
+    """These scores' mean is 0.3128125; sums of doubles give it a last digit that follows the rows' order, and with it the sixth."""
+    from random import Random
+
+    scores = [64, 51, 44, 50, 30, 29, 62, 8, 43, 65, 20, 33, 34, 5, 16, 37, 23, 35, 44, 61, 27, 44, 5, 42, 42, 0, 34, 15, 2, 14, 13, 9]
+    Random(seed).shuffle(scores)
+    schema = "page_id long, author string, " + ", ".join(f"{s} double" for s in discussions.SCORES)
+    rows = [(1, "a", *[x / 100] * 5) for x in scores] + [(2, "a", *[None] * 5), (3, "a", *[float("nan")] * 5), (4, "a", *[1e30] * 5)]
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    for means, name in ((discussions.score_overall(df), "toxicity_mean"), (discussions.score_per_user(df), "user_toxicity_mean")):
+        got = {r.page_id: r[name] for r in means.collect()}
+        assert got[1] == 0.3128125 and got[2] is None and got[3] != got[3] and got[4] == 1e30
