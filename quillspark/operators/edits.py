@@ -145,8 +145,12 @@ def users_overlap(edit_shares: DataFrame, talk_shares: DataFrame) -> DataFrame:
 
 def agg_stats(rows: DataFrame, group: str, value: str, prefix: str) -> DataFrame:
     """{prefix}_mean, _median and _stdev (sample; 0 for one value) of each group."""
+    return rows.groupBy(group).agg(*stat_columns(value, prefix))
+
+
+def stat_columns(value: str, prefix: str) -> list[Column]:
     sd = F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value))
-    return rows.groupBy(group).agg(F.avg(value).alias(f"{prefix}_mean"), F.median(value).alias(f"{prefix}_median"), sd.alias(f"{prefix}_stdev"))
+    return [F.avg(value).alias(f"{prefix}_mean"), F.median(value).alias(f"{prefix}_median"), sd.alias(f"{prefix}_stdev")]
 
 
 def share_of_total(value: str, group: str) -> Column:
