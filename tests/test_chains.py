@@ -81,3 +81,18 @@ def no_rounds(monkeypatch):
 def test_betweenness_of_a_long_page(long_page):
     got = {r.node: r.betweenness for r in network.betweenness_scores(long_page).where("page_id = 1").collect()}
     assert len(got) == LONG and all(got[i] == pytest.approx(i * (LONG - 1 - i) / (LONG - 1) / (LONG - 2), abs=1e-12) for i in got)
+
+
+def test_distances_of_a_long_page(long_page):
+    got = network.bfs_distances(long_page).where("page_id = 1").selectExpr("count(*) n", "count(distinct src, dst) p", "sum(distance) d", "max(dst - src - distance) a", "min(dst - src - distance) b").first()
+    assert tuple(got) == (LONG * (LONG - 1) // 2, LONG * (LONG - 1) // 2, LONG * (LONG * LONG - 1) // 6, 0, 0)
+
+
+def test_pairs_within_a_limit():
+    rng = np.random.default_rng(3)
+    for edges in graphs(2, 200):
+        near, g = adjacent(edges), contracted(edges)
+        for limit in (None, 3):
+            want = sorted((v, w, h) for v in near for w, h in network.reach(near, v, limit).items() if h)
+            parts = np.array_split(rng.permutation(len(g.names)), 3)
+            assert want == sorted((int(g.names[s]), int(g.names[w]), int(h)) for p in parts for s, to, hops in chains.pairs(g, p, limit) for w, h in zip(to, hops, strict=True)), edges
