@@ -96,3 +96,11 @@ def test_pairs_within_a_limit():
             want = sorted((v, w, h) for v in near for w, h in network.reach(near, v, limit).items() if h)
             parts = np.array_split(rng.permutation(len(g.names)), 3)
             assert want == sorted((int(g.names[s]), int(g.names[w]), int(h)) for p in parts for s, to, hops in chains.pairs(g, p, limit) for w, h in zip(to, hops, strict=True)), edges
+
+
+def test_features_of_a_long_page(long_page):
+    got = network.network_features(long_page).where("page_id = 1").first().asDict()
+    n, want = LONG, {"num_edges": LONG - 1, "num_nodes": LONG, "triangles": 0, "in_degree_median": 1.0, "articulation_points": LONG - 2, "is_biconnected": 0}
+    want |= {"weak_components": 1, "weak_large_components": 1, "weak_max_size": n, "strong_components": n, "strong_large_components": 0, "strong_max_size": 1}
+    want |= {"betweenness_mean": sum(i * (n - 1 - i) for i in range(n)) / (n - 1) / (n - 2) / n, "out_degree_mean": (n - 1) / n, "density": 1 / n}
+    assert {c: got[f"NETWORK_{c}"] for c in want} == pytest.approx(want)
