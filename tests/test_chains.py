@@ -104,3 +104,7 @@ def test_features_of_a_long_page(long_page):
     want |= {"weak_components": 1, "weak_large_components": 1, "weak_max_size": n, "strong_components": n, "strong_large_components": 0, "strong_max_size": 1}
     want |= {"betweenness_mean": sum(i * (n - 1 - i) for i in range(n)) / (n - 1) / (n - 2) / n, "out_degree_mean": (n - 1) / n, "density": 1 / n}
     assert {c: got[f"NETWORK_{c}"] for c in want} == pytest.approx(want)
+
+
+def test_cut_nodes_of_a_long_page(long_page):
+    assert {r.page_id: r.articulation_points for r in network.cut_counts(long_page).collect()} == {1: LONG - 2, 2: 0}
