@@ -108,3 +108,8 @@ def test_features_of_a_long_page(long_page):
 
 def test_cut_nodes_of_a_long_page(long_page):
     assert {r.page_id: r.articulation_points for r in network.cut_counts(long_page).collect()} == {1: LONG - 2, 2: 0}
+
+
+def test_closeness_of_a_long_page(long_page):
+    got = network.closeness_stats(long_page).where("page_id = 1").first().closeness_mean
+    assert got == pytest.approx(sum(2 / (i + 1) * i / (LONG - 1) for i in range(1, LONG)) / LONG)
