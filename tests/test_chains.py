@@ -113,3 +113,8 @@ def test_cut_nodes_of_a_long_page(long_page):
 def test_closeness_of_a_long_page(long_page):
     got = network.closeness_stats(long_page).where("page_id = 1").first().closeness_mean
     assert got == pytest.approx(sum(2 / (i + 1) * i / (LONG - 1) for i in range(1, LONG)) / LONG)
+
+
+def test_weak_components_of_a_long_page(long_page):
+    got = network.component_summary(network.components(long_page), over=2, prefix="weak").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 1, LONG), (2, 1, 0, 2)]
