@@ -118,3 +118,8 @@ def test_closeness_of_a_long_page(long_page):
 def test_weak_components_of_a_long_page(long_page):
     got = network.component_summary(network.components(long_page), over=2, prefix="weak").orderBy("page_id").collect()
     assert [tuple(r) for r in got] == [(1, 1, 1, LONG), (2, 1, 0, 2)]
+
+
+def test_a_long_ring_is_biconnected(spark):
+    ring = spark.range(LONG).selectExpr("1L page_id", "id src", f"(id + 1) % {LONG} dst", "1L weight")
+    assert network.cut_counts(ring).first().is_biconnected == 1
