@@ -123,3 +123,8 @@ def test_weak_components_of_a_long_page(long_page):
 def test_a_long_ring_is_biconnected(spark):
     ring = spark.range(LONG).selectExpr("1L page_id", "id src", f"(id + 1) % {LONG} dst", "1L weight")
     assert network.cut_counts(ring).first().is_biconnected == 1
+
+
+def test_strong_components_of_a_long_page(long_page):
+    got = network.component_summary(network.components(long_page, directed=True), over=1, prefix="strong").orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, LONG, 0, 1), (2, 2, 0, 1)]
