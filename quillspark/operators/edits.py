@@ -77,17 +77,16 @@ def history_join(editors: DataFrame, history: DataFrame, at: str) -> DataFrame:
 def history_totals(editors: DataFrame, history: DataFrame, at: str, *values: str) -> DataFrame:
     """page_id, user_id, n and the sum of each value of what the editor (page_id, user_id, cutoff) did on other pages up to the cutoff.
 
-    What history_join gives, summed up, without its rows: running totals of each user's history at the cutoff, less what is on
-    the page itself. A user of e edits and p pages costs e + p rows here and e p there."""
-    per = history.groupBy("user_id", "page_id", F.col(at).alias("at")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(v) for v in values))
+    What history_join gives, summed up, without its rows: running totals of each user's history at the cutoff, less those of the
+    page itself. A user of e edits and p pages costs e + p rows, which are exchanged once."""
     names = ["n", *values]
-    marks = per.groupBy("user_id", "at").agg(*(F.sum(c).alias(c) for c in names)).select("user_id", "at", F.lit(None).cast("long").alias("page_id"), *names)
-    asked = editors.select("user_id", F.col("cutoff").alias("at"), "page_id", *(F.lit(None).cast(per.schema[c].dataType).alias(c) for c in names))
-    so_far = Window.partitionBy("user_id").orderBy("at", F.col("page_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    running = marks.unionByName(asked).select("user_id", "page_id", *(F.sum(c).over(so_far).alias(c) for c in names)).where("page_id is not null")
-    own = editors.select("page_id", "user_id", "cutoff").join(per, ["page_id", "user_id"]).where("at <= cutoff").groupBy("page_id", "user_id").agg(*(F.sum(c).alias(f"own_{c}") for c in names))
-    out = running.join(own, ["page_id", "user_id"], "left")
-    return out.select("page_id", "user_id", *((F.coalesce(c, F.lit(0)) - F.coalesce(f"own_{c}", F.lit(0))).alias(c) for c in names))
+    past = history.where(F.col(at).isNotNull()).select("user_id", F.col(at).alias("at"), "page_id", F.lit(False).alias("asked"), F.lit(1).cast("long").alias("n"), *values)
+    asked = editors.select("user_id", F.col("cutoff").alias("at"), "page_id", F.lit(True).alias("asked"), *(F.lit(None).cast(past.schema[c].dataType).alias(c) for c in names))
+    so_far = [Window.partitionBy(*keys).orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0) for keys in (["user_id"], ["user_id", "page_id"])]
+    both = past.unionByName(asked).repartition("user_id")
+    for w, prefix in zip(so_far, ("all", "own"), strict=True):
+        both = both.withColumns({f"{prefix}_{c}": F.sum(c).over(w) for c in names})
+    return both.where("asked").select("page_id", "user_id", *((F.coalesce(f"all_{c}", F.lit(0)) - F.coalesce(f"own_{c}", F.lit(0))).alias(c) for c in names))
 
 
 def editors_of(pages: DataFrame, shares: DataFrame, cutoff: str) -> DataFrame:
@@ -106,7 +105,7 @@ def ledger_scores(editors: DataFrame, ledger: DataFrame) -> DataFrame:
 def site_activity(editors: DataFrame, log: DataFrame) -> DataFrame:
     """Other pages, edits on them and users with such edits up to the cutoff, each per contributor. Pages are counted on each
     user's first visits, edits and users on running totals."""
-    first = log.groupBy("user_id", "page_id").agg(F.min("timestamp").alias("timestamp"))
+    first = log.repartition("user_id").groupBy("user_id", "page_id").agg(F.min("timestamp").alias("timestamp"))
     pages = history_join(editors.select("page_id", "user_id", "cutoff"), first, "timestamp").groupBy("page_id").agg(F.count_distinct("other_page").alias("p"))
     per = history_totals(editors, log, "timestamp").groupBy("page_id").agg(F.sum("n").alias("e"), F.count(F.when(F.col("n") > 0, 1)).alias("u"))
     out = editors.groupBy("page_id").agg(F.count(F.lit(1)).alias("k")).join(pages, "page_id", "left").join(per, "page_id", "left").na.fill(0, ["p", "e", "u"])

@@ -90,8 +90,8 @@ def life(spark, sf):
     return L.lifecycle_build(V.revisions(spark, sf), V.talk_dates(spark, sf), V.lists(spark, sf))
 
 
-def until(spark, sf, date="fa_promotion", first=None):
-    return L.filter_until(V.revisions(spark, sf), L.dump_timeline(V.revisions(spark, sf)), date, first=first)
+def until(spark, sf, date="fa_promotion", first=None, view=V.revisions):
+    return L.filter_until(view(spark, sf), L.dump_timeline(view(spark, sf)), date, first=first)
 
 
 def scratch(spark) -> str:
@@ -219,14 +219,15 @@ SELECT CAST(source AS BIGINT) AS source, count(*) AS n, count(DISTINCT c) AS pag
     hit = "hit AS (SELECT u.page_id, u.user_id, r.page_id AS other FROM up u JOIN d ON d.page_id = u.page_id JOIN revisions r ON r.user_id = u.user_id AND r.ts <= d.promotion AND r.page_id <> u.page_id)"
     site = f"{TIMELINE}, {dates}, {shares('up', 'promotion')}, {hit}"
     activity = "SELECT page_id, round(coalesce(p, 0) / k, 6) AS other_pages, round(coalesce(e, 0) / k, 6) AS other_edits, round(coalesce(u, 0) / k, 6) AS active_users FROM (SELECT page_id, count(*) AS k FROM up GROUP BY 1) LEFT JOIN (SELECT page_id, count(DISTINCT other) AS p, count(*) AS e, count(DISTINCT user_id) AS u FROM hit GROUP BY 1) USING (page_id)"
-    log = lambda s, sf: rev(s, sf).select("user_id", "page_id", F.col("ts").alias("timestamp"))
-    register("site_activity", lambda s, sf: E.site_activity(editors(s, sf), log(s, sf)), w(site, activity))
+    by_page = V.revisions_by_page
+    log = lambda s, sf, view=rev: view(s, sf).select("user_id", "page_id", F.col("ts").alias("timestamp"))
+    register("site_activity", lambda s, sf: E.site_activity(editors(s, sf, by_page), log(s, sf, by_page)), w(site, activity))
     register("site_history_join", lambda s, sf: E.history_join(editors(s, sf), log(s, sf), "timestamp").groupBy("page_id").agg(F.count("*").alias("n")), w(site, "SELECT page_id, count(*) AS n FROM hit GROUP BY 1"))
     down_past = past.replace("past AS", "past_d AS").replace("FROM up u", "FROM down u").replace("d.promotion", "d.demotion")
     down_scored = scored.replace("FROM up u LEFT JOIN past p", "FROM down u LEFT JOIN past_d p")
     at = lambda sql, event: f"SELECT page_id, COLUMNS(lambda c: c <> 'page_id') AS '\\0_{event}' FROM ({sql})"
     experience = f"SELECT * FROM (SELECT page_id FROM timeline) LEFT JOIN ({at(scored, 'promotion')}) USING (page_id) LEFT JOIN ({activity}) USING (page_id) LEFT JOIN ({at(down_scored, 'demotion')}) USING (page_id)"
-    register("experience_features", lambda s, sf: E.experience_features(fa_dates(s, sf), {"promotion": until(s, sf), "demotion": until(s, sf, "fa_demotion")}, ledger(s, sf), log(s, sf)), w(f"{ledger_sql}, {past}, {down_past}, {hit}", experience))
+    register("experience_features", lambda s, sf: E.experience_features(fa_dates(s, sf, by_page), {"promotion": until(s, sf, view=by_page), "demotion": until(s, sf, "fa_demotion", view=by_page)}, ledger(s, sf, by_page), log(s, sf, by_page)), w(f"{ledger_sql}, {past}, {down_past}, {hit}", experience))
     register("edit_features", lambda s, sf: E.edit_features(until(s, sf), L.dump_timeline(rev(s, sf)).withColumn("promotion", F.col("fa_promotion"))), w(TIMELINE, f"""SELECT page_id, count(DISTINCT user_id) AS EDIT_num_authors, round(count(DISTINCT user_id) / greatest(1, count(*)), 6) AS EDIT_num_authors_normalized, count(*) AS EDIT_num_revisions,
  round(count(*) / greatest(1, {fd('max(ts)', 'min(ts)')}), 6) AS EDIT_num_revisions_normalized, min({fd('fa_promotion', 'creation')}) AS EDIT_time_to_promotion, CAST(CAST(min(coalesce(ga_promotion < fa_promotion, FALSE)) AS INTEGER) AS BIGINT) AS EDIT_used_to_be_good
  FROM revisions JOIN timeline USING (page_id) WHERE ts < fa_promotion GROUP BY page_id"""))
@@ -236,13 +237,13 @@ def required(spark, sf):
     return V.read(spark, sf, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("user_id"))
 
 
-def fa_dates(spark, sf):
-    return L.dump_timeline(V.revisions(spark, sf)).select("page_id", F.col("fa_promotion").alias("promotion"), F.col("fa_demotion").alias("demotion"))
+def fa_dates(spark, sf, view=V.revisions):
+    return L.dump_timeline(view(spark, sf)).select("page_id", F.col("fa_promotion").alias("promotion"), F.col("fa_demotion").alias("demotion"))
 
 
-def ledger(spark, sf):
-    return E.credit_ledger(until(spark, sf), until(spark, sf, "fa_demotion"), fa_dates(spark, sf))
+def ledger(spark, sf, view=V.revisions):
+    return E.credit_ledger(until(spark, sf, view=view), until(spark, sf, "fa_demotion", view=view), fa_dates(spark, sf, view))
 
 
-def editors(spark, sf):
-    return E.editors_of(fa_dates(spark, sf), E.contribution_share(until(spark, sf)), "promotion")
+def editors(spark, sf, view=V.revisions):
+    return E.editors_of(fa_dates(spark, sf, view), E.contribution_share(until(spark, sf, view=view)), "promotion")

@@ -39,6 +39,11 @@ def revisions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def revisions_by_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The revisions for jobs that read them several times: joined, dealt out by page and ordered once, and kept."""
+    return revisions(spark, sf).repartition("page_id").sortWithinPartitions("page_id", "ts", "rev_id").persist()
+
+
 REVISIONS = f"""ph AS (SELECT *, (CAST(floor((epoch(l_shipdate) - {ORIGIN}) / 86400) AS BIGINT) + 37 * l_suppkey) % 1500 AS phase FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 revisions AS (SELECT l_suppkey AS page_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS rev_id, l_shipdate AS ts, o_custkey AS user_id,
  CASE WHEN phase < 400 THEN NULL WHEN phase < 800 THEN 'ga' WHEN phase < 1200 THEN 'fa' END AS level FROM ph)"""
