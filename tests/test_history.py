@@ -21,3 +21,7 @@ def sources(df):
 
 def test_site_activity_reads_revisions_once(spark, sf_small):
     assert sources(catalog.queries()["site_activity"](spark, sf_small)) == {"InMemoryRelation"}
+
+
+def test_experience_reads_revisions_once(spark, sf_small):
+    assert sources(catalog.queries()["experience_features"](spark, sf_small)) == {"InMemoryRelation"}
