@@ -145,27 +145,29 @@ def level_sums(rows: DataFrame, nodes: Nodes, trees: range, level: int, first: i
 
     def run(batches):
         nodes = sent.value
-        sums = np.zeros((3, cells), np.int64)
+        own_cells = cells // len(trees)
+        sums = np.zeros((3, len(trees), own_cells), np.int64)  # tree by tree, so that a tree's counts are as small as its own cells
         for b in batches:
             fold, ids, y, bins = columns(b, d)
+            own, each = np.unique(ids, return_inverse=True)  # an id is drawn alike in all folds
             for k, t in enumerate(trees):
-                node = nodes.leaves(fold, t, bins, level)
-                here = node >= wide  # rows of leaves further up take no part
                 if boosted:
                     base = b.column(b.schema.names.index("base")).to_numpy()
                     p = 1 / (1 + np.exp(-(base + scores(nodes, fold, bins, first, t)) / ONE))
-                    g, h, n = np.rint((y - p) * ONE), np.rint(p * (1 - p) * ONE), np.ones(len(y))
+                    kept, weights = np.arange(len(y)), (np.rint((y - p) * ONE), np.rint(p * (1 - p) * ONE), np.ones(len(y)))
                 else:
-                    n = draws(ids, t).astype(np.float64)
-                    g, h = n * y, n
-                    here &= n > 0
-                at = ((fold[here] * len(trees) + k) * wide + node[here] - wide) * d
+                    n = draws(own, t)[each].astype(np.float64)
+                    kept = np.flatnonzero(n)
+                    weights = n * y, n
+                node = nodes.leaves(fold[kept], t, bins[kept], level)
+                kept, node = kept[node >= wide], node[node >= wide]  # rows of leaves further up take no part
+                at, some = (fold[kept] * wide + node - wide) * d, [w[kept] for w in weights]
                 for j in range(d):
-                    cell = (at + j) * BINS + bins[here, j]
-                    low = int(cell.min()) if len(cell) else 0
-                    for row, w in zip(sums, (g, h, n), strict=True):
-                        got = np.bincount(cell - low, w[here])  # whole numbers below 2**53: exact
-                        row[low : low + len(got)] += got.astype(np.int64)
+                    cell = (at + j) * BINS + bins[kept, j]
+                    got = [np.bincount(cell, w, own_cells).astype(np.int64) for w in some]  # whole numbers below 2**53: exact
+                    for row, x in zip(sums, got if boosted else (*got, got[1]), strict=True):
+                        row[k] += x
+        sums = sums.reshape(3, len(trees), len(nodes.folds), -1).swapaxes(1, 2).reshape(3, -1)
         at = np.flatnonzero(sums[2])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(s[at]) for s in sums)], ["cell", "g", "h", "n"])
 
